@@ -32,37 +32,46 @@ from tallyguard.functions.text import money, percent, vendor_key
 from tallyguard.policy import (
     AMOUNT_TOLERANCE, CONFIRMED_DUPLICATE, DATE_WINDOW_DAYS, NEAR_DUPLICATE, W_AMOUNT, W_DATE,
 )
+from tallyguard.session import materialize
 
 DEFAULT_MIN_SCORE = W_DATE      # at or below this a pair may share nothing but a date
-DENSE_LIMIT = 2_000
+DENSE_LIMIT = 4_000
 
 _KEY = ["_vkey", "_amount", "_date", "_excl"]
 _EPOCH = "1970-01-01"
 
 
 class _Blocks:
-    """Block widths that a minimum score allows."""
+    """How far apart matches may lie, and blocks twice that wide.
+
+    A search row then meets two blocks per dimension on average; narrower blocks
+    would pair fewer rows but copy every search row more often.
+    """
 
     def __init__(self, min_score: float):
         if not W_DATE <= min_score <= 1.0:
             raise ValueError(f"min_score must lie in [{W_DATE}, 1]")
         self.min_score = min_score
         self.gap = AMOUNT_TOLERANCE * (1.0 - (min_score - W_DATE) / W_AMOUNT)
-        self.width = -math.log(1.0 - self.gap - 1e-9)
+        self.reach = -math.log(1.0 - self.gap - 1e-9)
         self.far = min_score <= W_AMOUNT
         self.days = DATE_WINDOW_DAYS - 1 if self.far else math.floor(
             DATE_WINDOW_DAYS * (1.0 - (min_score - W_AMOUNT) / W_DATE) + 1e-9)
 
     def amount_bucket(self, amount: Column, shift: float = 0.0) -> Column:
         log = F.log(F.greatest(F.abs(amount), F.lit(1.0)))
-        return F.floor((log + F.lit(shift)) / F.lit(self.width)).cast("int")
+        return F.floor((log + F.lit(shift)) / F.lit(2 * self.reach)).cast("int")
 
     def amount_buckets(self, amount: Column) -> Column:
-        reach = self.width + 1e-9
+        reach = self.reach + 1e-9
         return F.sequence(self.amount_bucket(amount, -reach), self.amount_bucket(amount, reach))
 
+    @property
+    def day_width(self) -> int:
+        return 2 * self.days + 1
+
     def date_bucket(self, day: Column) -> Column:
-        return F.floor(day / F.lit(self.days + 1)).cast("int")
+        return F.floor(day / F.lit(self.day_width)).cast("int")
 
     def date_buckets(self, day: Column) -> Column:
         return F.sequence(self.date_bucket(day - self.days), self.date_bucket(day + self.days))
@@ -148,13 +157,17 @@ def _sweep(search: DataFrame, profiles: DataFrame, blocks: _Blocks, cells: list[
     return _scored(pairs, blocks)
 
 
-def _search_keys(rows: DataFrame, profiles: DataFrame, same_table: bool) -> DataFrame:
+def _search_keys(
+    rows: DataFrame, profiles: DataFrame, blocks: _Blocks, same_table: bool
+) -> DataFrame:
     """Distinct (vendor key, amount, date, id to skip) that their own profile does not answer."""
     if same_table:
         # An id is only ever alone in its profile here, unless the date is missing.
         alone = profiles.where("r2 IS NULL AND date IS NOT NULL").select(
             F.col("vkey").alias("_vkey"), F.col("amount").alias("_amount"),
             F.col("date").alias("_date"), F.col("r1.id").alias("_excl"))
+        if not blocks.far:      # without a date no score above 0.75 is possible
+            return alone
         undated = rows.where("_date IS NULL").select(*_KEY).distinct()
         return alone.unionByName(undated)
     own = profiles.select(
@@ -180,6 +193,9 @@ def closest_matches(
     that carry the query's own id never match it. ``links`` (see
     :func:`vendor_links`) lets different spellings match; without it the
     normalised names must be equal. Below ``min_score`` the match is empty.
+
+    The profile table is read by several branches, so it is written once to the
+    shared folder when this is called; the rest stays lazy.
     """
     blocks = _Blocks(min_score)
     same_table = history is None
@@ -191,7 +207,7 @@ def closest_matches(
     ).where("vkey != '' AND amount IS NOT NULL AND NOT isnan(amount)")
     # The date is part of the key and of the representative.
     profiles = _first_two(usable.withColumn("pdate", F.col("date")), ["vkey", "amount", "pdate"])
-    profiles = profiles.withColumnRenamed("pdate", "date")
+    profiles = materialize(profiles.withColumnRenamed("pdate", "date"), "profiles")
 
     rows = (queries.withColumn("_vkey", vendor_key(F.col("vendor")))
             .withColumn("_amount", F.col("amount")).withColumn("_date", F.col("posting_date")))
@@ -202,7 +218,7 @@ def closest_matches(
         rows = rows.join(known, rows["invoice_id"] == known["_excl"], "left")
     eligible = rows.where("_vkey != '' AND _amount IS NOT NULL AND NOT isnan(_amount)")
 
-    search = _search_keys(eligible, profiles, same_table)
+    search = _search_keys(eligible, profiles, blocks, same_table)
     if links is None:
         search = search.withColumn("vkey", F.col("_vkey")).withColumn("_v", F.lit(1.0))
     else:
@@ -215,27 +231,32 @@ def closest_matches(
     blocked = profiles.where("date IS NOT NULL").select(
         "*", blocks.amount_bucket(F.col("amount")).alias("_k"), blocks.date_bucket(day).alias("_h"))
     block = ["vkey", "_k", "_h"]
-    dense = (blocked.groupBy(*block).count().where(F.col("count") > dense_limit).drop("count"))
+    dense = blocked.groupBy(*block).count().where(F.col("count") > dense_limit).drop("count")
+    any_dense = not dense.isEmpty()
     dated = search.where("_date IS NOT NULL")
     probes = dated.select(
         "*", F.explode(blocks.amount_buckets(F.col("_amount"))).alias("_k")
     ).select("*", F.explode(blocks.date_buckets(_day(F.col("_date")))).alias("_h"))
 
-    sparse_side = blocked.join(dense, block, "left_anti").select(
-        *block, F.col("amount").alias("c_amount"), "r1", "r2")
-    pairs = probes.join(sparse_side, block).select(
-        *_KEY, "_v", "c_amount", _pick(F.struct("r1", "r2"), F.col("_excl")).alias("c"))
+    sparse = blocked.join(dense, block, "left_anti") if any_dense else blocked
+    slim = probes if links is not None else probes.drop("_vkey")
+    pairs = slim.join(
+        sparse.select(*block, F.col("amount").alias("c_amount"), "r1", "r2"), block)
+    if links is None:       # one name column is enough in the shuffle
+        pairs = pairs.withColumn("_vkey", F.col("vkey"))
+    pairs = pairs.select(*_KEY, "_v", "c_amount", _pick(F.struct("r1", "r2"), F.col("_excl")).alias("c"))
     hits = _scored(pairs, blocks)
 
-    first = F.col("_h") * (blocks.days + 1)
-    lo = F.greatest(first, _day(F.col("_date")) - blocks.days)
-    hi = F.least(first + blocks.days, _day(F.col("_date")) + blocks.days)
-    cells = (probes.join(dense, block, "left_semi")
-             .select(*_KEY, "vkey", "_v", "_h").distinct()
-             .where(lo <= hi)
-             .withColumn("_cell", F.explode(F.sequence(lo, hi))))
-    dense_side = blocked.join(dense, block, "left_semi").withColumn("_cell", day)
-    hits = hits.unionByName(_sweep(cells, dense_side, blocks, ["vkey", "_cell"]))
+    if any_dense:
+        first = F.col("_h") * blocks.day_width
+        lo = F.greatest(first, _day(F.col("_date")) - blocks.days)
+        hi = F.least(first + (blocks.day_width - 1), _day(F.col("_date")) + blocks.days)
+        cells = (probes.join(dense, block, "left_semi")
+                 .select(*_KEY, "vkey", "_v", "_h").distinct()
+                 .where(lo <= hi)
+                 .withColumn("_cell", F.explode(F.sequence(lo, hi))))
+        dense_side = blocked.join(dense, block, "left_semi").withColumn("_cell", day)
+        hits = hits.unionByName(_sweep(cells, dense_side, blocks, ["vkey", "_cell"]))
 
     if blocks.far:
         reps = profiles.select("vkey", "amount", F.explode(F.array("r1", "r2")).alias("r"))
