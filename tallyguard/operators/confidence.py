@@ -9,32 +9,36 @@ from tallyguard.functions.text import percent
 from tallyguard.policy import SPLIT_SPREAD
 
 
+COLUMNS = {
+    "probabilities": "map<string,double>", "confidence_mean": "double",
+    "confidence_spread": "double", "confidence_bands": "map<string,string>",
+    "confidence_band": "string", "confidence_label": "string", "confidence_rank": "int",
+    "is_split": "boolean", "agreement": "string",
+}
+
+
 def with_assessment(df: DataFrame, probabilities: Column) -> DataFrame:
-    """Adds ``assessment`` for a model -> probability map; null for no scores.
+    """Adds the assessment of a model -> probability map as flat ``COLUMNS``.
 
-    The mean is taken in map order, so equal input gives equal bits.
+    All are null where there are no scores. The mean is taken in map order, so
+    equal input gives equal bits.
     """
-    out = once(df, _p=probabilities)
-    values = F.map_values("_p")
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    out = once(df, _p=F.when(F.size(probabilities) > 0, probabilities))
+    out = out.drop("probabilities").withColumnRenamed("_p", "probabilities")
+    values = F.map_values("probabilities")
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     out = once(
-        out, _mean=F.when(n > 0, mean / n),
-        _spread=F.array_max(values) - F.array_min(values),
-        _bands=F.transform_values("_p", lambda _, p: band_for(p)))
-    out = once(out, _band=band_for(F.col("_mean")),
-               _kinds=F.size(F.array_distinct(F.map_values("_bands"))))
-    split = F.col("_spread") >= SPLIT_SPREAD
-    agreement = (F.when(split, "split").when(F.col("_kinds") == 1, "unanimous")
-                 .otherwise("aligned"))
-    struct = F.struct(
-        F.col("_p").alias("probabilities"), F.col("_mean").alias("mean"),
-        F.col("_spread").alias("spread"), F.col("_band").alias("band"),
-        band_label(F.col("_band")).alias("label"), band_rank(F.col("_band")).alias("rank"),
-        F.col("_bands").alias("per_model_bands"), split.alias("is_split"),
-        agreement.alias("agreement"))
-    out = once(out, assessment=F.when(F.col("_mean").isNotNull(), struct))
-    return out.drop("_p", "_mean", "_spread", "_bands", "_band", "_kinds")
+        out, confidence_mean=total / F.size(values),
+        confidence_spread=F.array_max(values) - F.array_min(values),
+        confidence_bands=F.transform_values("probabilities", lambda _, p: band_for(p)))
+    out = once(out, confidence_band=band_for(F.col("confidence_mean")),
+               _kinds=F.size(F.array_distinct(F.map_values("confidence_bands"))))
+    split = F.col("confidence_spread") >= SPLIT_SPREAD
+    agreement = F.when(split, "split").when(F.col("_kinds") == 1, "unanimous").otherwise("aligned")
+    band = F.col("confidence_band")
+    return out.withColumns({
+        "confidence_label": band_label(band), "confidence_rank": band_rank(band),
+        "is_split": split, "agreement": F.when(band.isNotNull(), agreement)}).drop("_kinds")
 
 
 def model_list(probabilities: Column) -> Column:
@@ -44,6 +48,6 @@ def model_list(probabilities: Column) -> Column:
         lambda e: F.concat(e["key"], F.lit(" "), percent(e["value"]))), ", ")
 
 
-def summary(assessment: Column) -> Column:
-    return F.concat(assessment["label"], F.lit(" ("), percent(assessment["mean"]),
-                    F.lit(" mean): "), model_list(assessment["probabilities"]))
+def summary(label: Column, mean: Column, probabilities: Column) -> Column:
+    return F.concat(label, F.lit(" ("), percent(mean), F.lit(" mean): "),
+                    model_list(probabilities))

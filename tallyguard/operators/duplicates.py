@@ -305,6 +305,12 @@ def duplicate_score(match: Column) -> Column:
     return half_up(match["score"], 4)
 
 
+def flat(found: DataFrame) -> DataFrame:
+    """``match`` reduced to the two columns that features and rules read."""
+    return (found.withColumn("duplicate_score", duplicate_score(F.col("match")))
+            .withColumn("duplicate_match_id", F.col("match.matched_invoice_id")).drop("match"))
+
+
 def is_confirmed(match: Column) -> Column:
     return match["score"] >= CONFIRMED_DUPLICATE
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.numeric import clip, half_up
+from tallyguard.functions.staging import once
 from tallyguard.policy import FEATURES, REPORTING_THRESHOLD
 
 
@@ -47,9 +48,9 @@ def with_zscore(invoices: DataFrame, over: DataFrame | None = None) -> DataFrame
 
 
 def _bounds(df: DataFrame, *names: str) -> Column:
-    """Smallest and largest value of columns as one scalar subquery."""
-    parts = [f(n).alias(f"{n}_{s}") for n in names for f, s in ((F.min, "min"), (F.max, "max"))]
-    return df.agg(*parts).select(F.struct("*")).scalar()
+    """[min, max] of each column as one scalar subquery."""
+    parts = [f(n).cast("double") for n in names for f in (F.min, F.max)]
+    return df.agg(F.array(*parts).alias("bounds")).scalar()
 
 
 def min_max(x: Column, lo: Column, hi: Column) -> Column:
@@ -71,14 +72,13 @@ def base_features(invoices: DataFrame, over: DataFrame | None = None) -> DataFra
     scored = _raw(invoices, over)
     b = _bounds(_raw(over), "amount_zscore", "days_to_due")
     return (
-        scored.withColumn("_b", b)
+        once(scored, _b=b)
         .withColumn("amount_zscore_norm", min_max(
-            F.col("amount_zscore"), F.col("_b.amount_zscore_min"), F.col("_b.amount_zscore_max")))
+            F.col("amount_zscore"), F.col("_b")[0], F.col("_b")[1]))
         .withColumn("threshold_proximity", threshold_proximity(F.col("amount")))
         .withColumn("weekend_flag", weekend_flag(F.col("posting_date")))
         .withColumn("days_to_due_norm", min_max(
-            F.col("days_to_due").cast("double"), F.col("_b.days_to_due_min"),
-            F.col("_b.days_to_due_max")))
+            F.col("days_to_due").cast("double"), F.col("_b")[2], F.col("_b")[3]))
         .drop("_b", "vendor_n", "vendor_mean", "vendor_sd"))
 
 
@@ -91,26 +91,24 @@ def incremental_features(incoming: DataFrame, history: DataFrame) -> DataFrame:
     Values are rounded to four decimals.
     """
     b = _bounds(_raw(history), "amount_zscore", "days_to_due")
-    overall = history.agg(F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("sd")).select(
-        F.struct("*")).scalar()
-    rows = (incoming.join(vendor_stats(history), "vendor", "left")
-            .withColumn("_b", b).withColumn("_all", overall))
+    overall = history.agg(
+        F.array(F.avg("amount"), F.stddev_samp("amount")).alias("overall")).scalar()
+    rows = once(incoming.join(vendor_stats(history), "vendor", "left"), _b=b, _all=overall)
     own = F.col("vendor_n") >= 2
-    mean = F.when(own, F.col("vendor_mean")).otherwise(F.col("_all.mean"))
-    sd = F.when(own, F.col("vendor_sd")).otherwise(F.col("_all.sd"))
+    mean = F.when(own, F.col("vendor_mean")).otherwise(F.col("_all")[0])
+    sd = F.when(own, F.col("vendor_sd")).otherwise(F.col("_all")[1])
 
-    def extended(x: Column, name: str) -> Column:
-        lo = F.col(f"_b.{name}_min")
-        hi = F.greatest(F.col(f"_b.{name}_max"), x)
+    def extended(x: Column, i: int) -> Column:
+        lo, hi = F.col("_b")[i], F.greatest(F.col("_b")[i + 1], x)
         return F.when(x.isNotNull(), F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(F.lit(0.0)))
 
-    rows = rows.withColumn("_z", F.abs(F.col("amount") - mean) / safe_std(sd)).withColumn(
-        "_d", days_to_due(F.col("posting_date"), F.col("due_date")).cast("double"))
+    rows = once(rows, _z=F.abs(F.col("amount") - mean) / safe_std(sd),
+                _d=days_to_due(F.col("posting_date"), F.col("due_date")).cast("double"))
     return (
-        rows.withColumn("amount_zscore_norm", half_up(extended(F.col("_z"), "amount_zscore"), 4))
+        rows.withColumn("amount_zscore_norm", half_up(extended(F.col("_z"), 0), 4))
         .withColumn("threshold_proximity", half_up(threshold_proximity(F.col("amount")), 4))
         .withColumn("weekend_flag", weekend_flag(F.col("posting_date")))
-        .withColumn("days_to_due_norm", half_up(extended(F.col("_d"), "days_to_due"), 4))
+        .withColumn("days_to_due_norm", half_up(extended(F.col("_d"), 2), 4))
         .drop("_b", "_all", "_z", "_d", "vendor_n", "vendor_mean", "vendor_sd"))
 
 

@@ -35,7 +35,7 @@ def full_features(spark: SparkSession, sf_dir: str,
                   min_score: float = P.NEAR_DUPLICATE) -> DataFrame:
     """Invoices with all five features."""
     return features.base_features(
-        matched(spark, sf_dir, min_score), over=td.invoices(spark, sf_dir))
+        matched(spark, sf_dir, min_score).drop("match"), over=td.invoices(spark, sf_dir))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,8 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).select(
         F.date_format("posting_date", "yyyyMM").cast("long").alias("run_id"),
         F.trunc("posting_date", "month").cast("timestamp").alias("started_at"),
-        "invoice_id", "vendor", "amount", F.col("assessment.mean").alias("confidence"),
-        F.col("assessment.band").alias("band"), F.col("assessment.is_split").alias("split"),
+        "invoice_id", "vendor", "amount", F.col("confidence_mean").alias("confidence"),
+        F.col("confidence_band").alias("band"), F.col("is_split").alias("split"),
         "duplicate_score", "duplicate_match_id", "route", "rules",
         F.lit(False).alias("failed"))
 

@@ -36,7 +36,7 @@ def _case(x: str, table: dict, default: str = "NULL") -> str:
 def _vkey(x: str) -> str:
     words = ", ".join(f"'{w}'" for w in P.LEGAL_SUFFIXES)
     return (f"array_to_string(list_filter(string_split(trim(regexp_replace(lower({x}), "
-            f"'[^a-z0-9]+', ' ', 'g')), ' '), w -> w NOT IN ({words})), ' ')")
+            f"'[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ({words})), ' ')")
 
 
 _RANK = {r: i for i, r in enumerate(P.LADDER)}
@@ -213,9 +213,9 @@ SELECT user_id AS chain_id, event_id AS seq, concat_ws('|', event_id, event_type
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events""")
 _step("chained", f"""
 SELECT chain_id, seq, payload, pos,
-  list_reduce(list_prepend('{P.GENESIS_HASH}', ps[1:pos]), (a, x) -> sha256(a || '|' || x))
+  list_reduce(list_prepend('{P.GENESIS_HASH}', ps[1:pos]), lambda a, x: sha256(a || '|' || x))
     AS entry_hash,
-  list_reduce(list_prepend('{P.GENESIS_HASH}', ps[1:pos - 1]), (a, x) -> sha256(a || '|' || x))
+  list_reduce(list_prepend('{P.GENESIS_HASH}', ps[1:pos - 1]), lambda a, x: sha256(a || '|' || x))
     AS prev_hash
 FROM ledger JOIN (SELECT chain_id, list(payload ORDER BY seq) AS ps FROM ledger GROUP BY chain_id)
   USING (chain_id)""")
@@ -331,7 +331,7 @@ hb AS (SELECT min(z) AS z_lo, max(z) AS z_hi, min(dd) AS d_lo, max(dd) AS d_hi,
                     due_date - posting_date AS dd, (SELECT avg(amount) FROM hist) AS gm,
                     (SELECT stddev_samp(amount) FROM hist) AS gsd
              FROM hist JOIN hv USING (vendor))),
-raw AS (SELECT inc.*, z_lo, greatest(z_hi, z) AS z_hi, z, d_lo, greatest(d_hi, dd) AS d_hi, dd
+raw AS (SELECT * REPLACE (greatest(z_hi, z) AS z_hi, greatest(d_hi, dd) AS d_hi)
   FROM (SELECT inc.*, hb.*, due_date - posting_date AS dd,
         abs(amount - CASE WHEN n >= 2 THEN m ELSE gm END)
           / CASE WHEN (CASE WHEN n >= 2 THEN sd ELSE gsd END) > 0
@@ -642,3 +642,22 @@ FROM (SELECT model, count(*) FILTER (label = 1 AND p >= 0.5) AS tp,
 _q("stratified_split", """
 SELECT label, count(*) AS n, cast(round(count(*) * 0.7::double) AS bigint) AS n_train
 FROM truth GROUP BY label""")
+
+# Streams must end where the batch queries do.
+ORACLE["stream_score_route"] = ORACLE["features_incremental"]
+ORACLE["stream_queue_state"] = ORACLE["review_events"]
+ORACLE["stream_chain"] = ORACLE["chain_build"]
+_q("stream_once_only", """
+SELECT user_id, count(*) AS events, count(DISTINCT event_id) AS distinct_events
+FROM events GROUP BY user_id""")
+_q("stream_vendor_counters", f"""
+SELECT vendor, total AS total_invoices, flagged AS flagged_invoices, approved_flagged
+FROM ({_VENDOR})""")
+# A day is closed once an event two days after its end has been seen.
+_q("stream_fp_trend", f"""
+SELECT {_day('date')} AS date, decided, false_positives,
+       {_r('false_positives::double / decided')} AS false_positive_rate
+FROM (SELECT decided_at::date AS date, {_FP} FROM queue
+      WHERE rank > 0 AND status IN ('approved', 'rejected') GROUP BY 1)
+WHERE date + 1 <= (SELECT max(decided_at)::date - 2 FROM queue
+                   WHERE rank > 0 AND status IN ('approved', 'rejected'))""")

@@ -25,6 +25,7 @@ from tallyguard.operators.ordering import top
 from tallyguard.plans import frames
 from tallyguard.session import materialize, scratch
 from tallyguard.sources import testdata as td
+from tallyguard.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,12 +106,10 @@ def feat_amount_zscore(spark, d):
 @register
 def features_incremental(spark, d):
     past = td.history(spark, d)
-    rows = duplicates.closest_matches(td.incoming(spark, d), past)
+    rows = duplicates.flat(duplicates.closest_matches(td.incoming(spark, d), past))
     return features.incremental_features(rows, past).select(
-        "invoice_id", "amount_zscore_norm", "threshold_proximity",
-        duplicates.duplicate_score(F.col("match")).alias("duplicate_score"),
-        "weekend_flag", "days_to_due_norm",
-        F.col("match.matched_invoice_id").alias("duplicate_match_id"))
+        "invoice_id", "amount_zscore_norm", "threshold_proximity", "duplicate_score",
+        "weekend_flag", "days_to_due_norm", "duplicate_match_id")
 
 
 @register
@@ -227,7 +226,7 @@ def duplicate_false_positives(spark, d):
 
 @register
 def band_for(spark, d):
-    p = F.explode("assessment.probabilities").alias("model", "p")
+    p = F.explode("probabilities").alias("model", "p")
     rows = frames.scored(spark, d).select("invoice_id", p)
     band = bands.band_for(F.col("p"))
     return rows.select("invoice_id", "model", band.alias("band"), bands.band_label(band).alias("label"),
@@ -236,11 +235,10 @@ def band_for(spark, d):
 
 @register
 def ensemble_assess(spark, d):
-    a = F.col("assessment")
     return frames.scored(spark, d).select(
-        "invoice_id", r6(a["mean"]).alias("mean"), r6(a["spread"]).alias("spread"),
-        a["band"].alias("band"), a["label"].alias("label"), a["rank"].alias("rank"),
-        a["is_split"].alias("is_split"), a["agreement"].alias("agreement"))
+        "invoice_id", r6("confidence_mean").alias("mean"), r6("confidence_spread").alias("spread"),
+        F.col("confidence_band").alias("band"), F.col("confidence_label").alias("label"),
+        F.col("confidence_rank").alias("rank"), "is_split", "agreement")
 
 
 def _fired(df: DataFrame, code: str) -> DataFrame:
@@ -500,8 +498,7 @@ def training_rows(spark, d):
 
 @register
 def classification_metrics(spark, d):
-    scored = frames.scored(spark, d).withColumn("probabilities", F.col("assessment.probabilities"))
-    labelled = features.join_labels(scored, td.ground_truth(spark, d)).where("label IS NOT NULL")
+    labelled = features.join_labels(frames.scored(spark, d), td.ground_truth(spark, d)).where("label IS NOT NULL")
     out = kpis.classification_metrics(kpis.confusion(models.predictions(labelled)))
     return out.select("model", "tp", "fp", "fn", "tn",
                       *[half_up(F.col(c), 3).alias(c)
@@ -537,8 +534,8 @@ def score_and_route(spark, d):
     ensemble = models.train(rows)
     scores = ensemble.score(rows)
     routed = rules.evaluate(confidence.with_assessment(scores, F.col("probabilities")))
-    return routed.select("invoice_id", r6(F.col("assessment.mean")).alias("mean"),
-                         F.col("assessment.band").alias("band"), "route",
+    return routed.select("invoice_id", r6("confidence_mean").alias("mean"),
+                         F.col("confidence_band").alias("band"), "route",
                          rules.rule_codes(F.col("rules")).alias("rules_fired"))
 
 
@@ -551,3 +548,76 @@ def retrain(spark, d):
     return spark.read.parquet(f"{root}/index").select(
         "stamp", F.array_join("models", ",").alias("models_trained"), "feedback_count",
         "false_positives", "true_positives", "training_samples")
+
+
+# ---- streams: the tables arrive in slices, the result is read from the sink ----
+
+def _stream(spark: SparkSession, df: DataFrame, order: str, job, slices: int = 3) -> str:
+    """Feeds ``df`` to ``job(stream, out, checkpoint)`` and returns the sink path."""
+    source, out, mark = (scratch(spark, n) for n in ("source", "sink", "checkpoint"))
+    jobs.feed_in_slices(df, order, source, lambda s: job(s, out, mark), slices)
+    return out
+
+
+@register
+def stream_score_route(spark, d):
+    past = materialize(td.history(spark, d), "history")
+    rows = td.incoming(spark, d).withColumn("_day", F.unix_date("posting_date"))
+    out = _stream(spark, rows, "_day", lambda s, path, mark: jobs.score_stream(
+        s.drop("_day"), past, path, mark), slices=2)
+    return spark.read.parquet(out).select(
+        "invoice_id", "amount_zscore_norm", "threshold_proximity", "duplicate_score",
+        "weekend_flag", "days_to_due_norm", "duplicate_match_id")
+
+
+@register
+def stream_queue_state(spark, d):
+    none = F.lit(None).cast("string")
+    first = td.review_intake(spark, d).select(
+        "invoice_id", F.lit(-1).cast("long").alias("seq"), F.lit("submit").alias("kind"), "route",
+        none.alias("action"), F.lit("intake").alias("actor"))
+    acts = td.review_actions(spark, d).select(
+        "invoice_id", F.col("action_seq").alias("seq"), F.lit("action").alias("kind"),
+        none.alias("route"), "action", "actor")
+    out = _stream(spark, first.unionByName(acts), "seq", lambda s, path, mark: jobs.append_to(
+        jobs.queue_state(s), path, mark))
+    return spark.read.parquet(out).where("refusal IS NULL AND seq >= 0").select(
+        "invoice_id", "seq", "event_type", "actor", "from_status", "to_status", "route_before",
+        "route_after", "first_approver")
+
+
+@register
+def stream_once_only(spark, d):
+    ev = td.table(spark, d, "events").select(
+        F.col("event_id"), F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    twice = ev.unionByName(ev.where("event_id % 3 = 0"))
+    out = _stream(spark, twice, "ts", lambda s, path, mark: jobs.append_to(
+        jobs.once_only(s, ["event_id"]), path, mark))
+    return spark.read.parquet(out).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("distinct_events"))
+
+
+@register
+def stream_fp_trend(spark, d):
+    rows = frames.queue(spark, d).where("decided_at IS NOT NULL").select(
+        "route", "status", "decided_at")
+    out = _stream(spark, rows, "decided_at", lambda s, path, mark: jobs.append_to(
+        jobs.false_positive_days(s), path, mark))
+    return spark.read.parquet(out).select(
+        day("date"), "decided", "false_positives",
+        r6("false_positive_rate").alias("false_positive_rate"))
+
+
+@register
+def stream_vendor_counters(spark, d):
+    rows = frames.queue(spark, d).select("vendor", "route", "status", "submitted_at")
+    out = _stream(spark, rows, "submitted_at", lambda s, path, mark: jobs.versions_to(
+        jobs.vendor_counters(s), path, mark))
+    return jobs.latest_versions(spark, out, "vendor")
+
+
+@register
+def stream_chain(spark, d):
+    out = _stream(spark, td.audit_payloads(spark, d), "seq", lambda s, path, mark: jobs.append_to(
+        jobs.chained(s), path, mark))
+    return spark.read.parquet(out).select("chain_id", "seq", "prev_hash", "entry_hash")
