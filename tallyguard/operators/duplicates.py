@@ -32,6 +32,7 @@ from tallyguard.functions.text import money, percent, vendor_key
 from tallyguard.policy import (
     AMOUNT_TOLERANCE, CONFIRMED_DUPLICATE, DATE_WINDOW_DAYS, NEAR_DUPLICATE, W_AMOUNT, W_DATE,
 )
+from tallyguard.operators.ordering import join_per_key
 from tallyguard.session import materialize
 
 DEFAULT_MIN_SCORE = W_DATE      # at or below this a pair may share nothing but a date
@@ -267,14 +268,24 @@ def closest_matches(
 
     best = hits.groupBy(*_KEY).agg(F.min("best").alias("_best"))
 
-    own = profiles.select(
+    # A row's own profile can answer it if it holds two ids; on file it may also hold another's.
+    answers = profiles.where("date IS NOT NULL")
+    if same_table:
+        answers = answers.where("r2 IS NOT NULL")
+    own = answers.select(
         F.col("vkey").alias("_vkey"), F.col("amount").alias("_amount"),
         F.col("date").alias("_date"), F.struct("r1", "r2").alias("_own"))
-    joined = rows.join(own, ["_vkey", "_amount", "_date"], "left")
-    on = [joined["_vkey"] == best["_vkey"], joined["_amount"] == best["_amount"],
-          joined["_date"].eqNullSafe(best["_date"]), joined["_excl"].eqNullSafe(best["_excl"])]
-    joined = joined.join(best, on, "left").select(
-        *[joined[c] for c in joined.columns], best["_best"])
+    joined = join_per_key(rows, own, ["_vkey", "_amount", "_date"], "invoice_id", salts=4)
+    # Keys as plain values: a missing date or id to skip still has to meet itself.
+    on_date = F.coalesce("_date", F.lit("0001-01-01").cast("date"))
+    on_excl = F.coalesce("_excl", F.lit(""))
+    plain = {"_on_date": on_date, "_on_excl": on_excl, "_on_none": F.col("_excl").isNull()}
+    best = best.withColumns(plain).drop("_date", "_excl")
+    joined = joined.withColumns(plain)
+    keys = ["_vkey", "_amount", *plain]
+    # In one table the skipped id is the row's own, so no key repeats; arrivals may be copies.
+    joined = joined.join(best, keys, "left") if same_table else join_per_key(
+        joined, best, keys, "invoice_id", salts=4)
 
     copy = _pick(F.col("_own"), F.col("_excl"))
     is_copy = copy.isNotNull()

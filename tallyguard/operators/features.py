@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions.numeric import clip, half_up
 from tallyguard.functions.staging import once
+from tallyguard.operators.ordering import join_per_key
 from tallyguard.policy import FEATURES, REPORTING_THRESHOLD
 
 
@@ -40,11 +41,11 @@ def with_zscore(invoices: DataFrame, over: DataFrame | None = None) -> DataFrame
     """Adds ``amount_zscore``: distance from the vendor's mean in deviations.
 
     Grouped statistics joined back, not a window: a vendor with a large share of
-    the rows is pre-aggregated, and the join can be split on the invoice side.
+    the rows is pre-aggregated, and the join spreads its invoices over several tasks.
     """
     stats = vendor_stats(invoices if over is None else over)
     z = F.abs(F.col("amount") - F.col("vendor_mean")) / safe_std(F.col("vendor_sd"))
-    return invoices.join(stats, "vendor", "left").withColumn("amount_zscore", z)
+    return join_per_key(invoices, stats, "vendor", "invoice_id").withColumn("amount_zscore", z)
 
 
 def _bounds(df: DataFrame, *names: str) -> Column:
@@ -93,7 +94,8 @@ def incremental_features(incoming: DataFrame, history: DataFrame) -> DataFrame:
     b = _bounds(_raw(history), "amount_zscore", "days_to_due")
     overall = history.agg(
         F.array(F.avg("amount"), F.stddev_samp("amount")).alias("overall")).scalar()
-    rows = once(incoming.join(vendor_stats(history), "vendor", "left"), _b=b, _all=overall)
+    rows = join_per_key(incoming, vendor_stats(history), "vendor", "invoice_id")
+    rows = once(rows, _b=b, _all=overall)
     own = F.col("vendor_n") >= 2
     mean = F.when(own, F.col("vendor_mean")).otherwise(F.col("_all")[0])
     sd = F.when(own, F.col("vendor_sd")).otherwise(F.col("_all")[1])

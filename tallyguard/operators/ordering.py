@@ -1,4 +1,4 @@
-"""Order-dependent helpers that keep every group bounded."""
+"""Helpers that keep every group bounded: previous rows, top rows, per-key joins."""
 
 from __future__ import annotations
 
@@ -7,6 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = 100_000
+SALTS = 16
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], spread: str,
+                 how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Joins a table with one row per key, spreading each key over ``salts`` tasks.
+
+    A key may hold a large share of ``rows``, and adaptive execution does not
+    split a join whose other side is an aggregate. ``spread`` is a column that
+    varies within a key; the small side is repeated once per salt.
+    """
+    keys = [key] if isinstance(key, str) else key
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def with_previous(df: DataFrame, key: str, seq: str, value: Column, name: str,

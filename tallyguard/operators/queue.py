@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyguard import policy as P
 from tallyguard.operators.notify import build_notifications
+from tallyguard.operators.ordering import join_per_key
 
 
 def queue_key() -> Column:
@@ -53,7 +54,7 @@ def submission_outcomes(submissions: DataFrame) -> DataFrame:
     keyed = submissions.withColumn("queue_id", queue_key())
     first = keyed.groupBy("queue_id").agg(
         F.min("seq").alias("_first_seq"), F.min_by("route", "seq").alias("_first_route"))
-    return (keyed.join(first, "queue_id")
+    return (join_per_key(keyed, first, "queue_id", "seq", "inner")
             .withColumn("was_new", F.col("seq") == F.col("_first_seq"))
             .withColumn("status", first_status(F.col("_first_route")))
             .drop("_first_seq", "_first_route"))

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyguard import policy as P
-from tallyguard.operators.ordering import CHUNK, with_previous
+from tallyguard.operators.ordering import CHUNK, join_per_key, with_previous
 
 _NEVER = 2 ** 62
 _TOP = len(P.LADDER) - 1
@@ -35,8 +35,8 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
     status = F.col("status") if "status" in intake.columns else F.lit("pending_review")
     start = intake.select("invoice_id", P.route_rank(F.col("route")).alias("_rank0"),
                           status.alias("_status0"))
-    rows = actions.withColumn("actor", F.trim("actor")).join(
-        start, "invoice_id", "left")
+    rows = join_per_key(actions.withColumn("actor", F.trim("actor")), start, "invoice_id",
+                        "action_seq")
     bad = (F.when(~F.coalesce(F.col("action").isin(*P.ACTIONS), F.lit(False)), "unknown action")
            .when(F.coalesce(F.col("actor"), F.lit("")) == "", "reviewer name required")
            .when(F.col("_rank0").isNull(), "not in the review queue")
@@ -51,7 +51,7 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
         F.max(F.when(F.col("_n") == i, F.col("action_seq"))).alias(f"_e{i}")
         for i in range(1, _TOP + 1)])
 
-    legal = legal.join(climbs, "invoice_id", "left")
+    legal = join_per_key(legal, climbs, "invoice_id", "action_seq")
     # Sequence number after which the invoice is under dual control.
     dual_after = F.when(F.col("_rank0") == _TOP, F.lit(-_NEVER))
     for i in range(1, _TOP + 1):
@@ -72,7 +72,7 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
         approve & F.col("_dual") & after_approval & ~same)
     legal = legal.withColumn("_closes", closes)
     ends = legal.where("_closes").groupBy("invoice_id").agg(F.min("action_seq").alias("_end"))
-    legal = legal.join(ends, "invoice_id", "left")
+    legal = join_per_key(legal, ends, "invoice_id", "action_seq")
 
     late = F.coalesce(F.col("action_seq") > F.col("_end"), F.lit(False))
     repeat = approve & F.col("_dual") & after_approval & same
@@ -102,7 +102,7 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
     # The first approver as they signed; the action before may be a refused repeat.
     signed = done.where("event_type = 'review.first_approval'").groupBy("invoice_id").agg(
         F.max_by("actor", "action_seq").alias("_signed"))
-    done = done.join(signed, "invoice_id", "left").withColumn(
+    done = join_per_key(done, signed, "invoice_id", "action_seq").withColumn(
         "first_approver", F.when(F.col("_second"), F.col("_signed")))
 
     shape = [*actions.columns, "refusal", "event_type", "from_status", "to_status",
