@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.functions import similarity as sim
 from tallyguard.functions.numeric import half_up
-from tallyguard.functions.text import money, percent, vendor_key
+from tallyguard.functions.text import percent, vendor_key
 from tallyguard.policy import (
     AMOUNT_TOLERANCE, CONFIRMED_DUPLICATE, DATE_WINDOW_DAYS, NEAR_DUPLICATE, W_AMOUNT, W_DATE,
 )
@@ -249,14 +249,13 @@ def closest_matches(
     hits = _scored(pairs, blocks)
 
     if any_dense:
-        first = F.col("_h") * blocks.day_width
-        lo = F.greatest(first, _day(F.col("_date")) - blocks.days)
-        hi = F.least(first + (blocks.day_width - 1), _day(F.col("_date")) + blocks.days)
-        cells = (probes.join(dense, block, "left_semi")
-                 .select(*_KEY, "vkey", "_v", "_h").distinct()
-                 .where(lo <= hi)
-                 .withColumn("_cell", F.explode(F.sequence(lo, hi))))
         dense_side = blocked.join(dense, block, "left_semi").withColumn("_cell", day)
+        # Only days that hold something are searched: at most 2 * days + 1 per row.
+        days = dense_side.select("vkey", "_h", "_cell").distinct()
+        rows_in = (probes.join(dense, block, "left_semi")
+                   .select(*_KEY, "vkey", "_v", "_h").distinct())
+        cells = join_per_key(rows_in, days, ["vkey", "_h"], "_amount", "inner").where(
+            F.abs(F.col("_cell") - _day(F.col("_date"))) <= blocks.days)
         hits = hits.unionByName(_sweep(cells, dense_side, blocks, ["vkey", "_cell"]))
 
     if blocks.far:
