@@ -44,3 +44,21 @@ ORACLE: dict[str, str] = {
            (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
     FROM ledger""",
 }
+
+_BITS = " + ".join(
+    f"{1 << (4 - k)} * CAST(substr(bits, CAST(5 * i + {k + 1} AS INT), 1) AS INT)" for k in range(5))
+
+ORACLE["op10_warc"] = f"""
+    WITH base AS (
+      SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+    hashed AS (
+      SELECT page_id, coalesce(url, '') AS url, octet_length(payload) AS payload_bytes,
+             CAST(CAST(unhex(sha1(payload)) AS BIT) AS VARCHAR) AS bits,
+             min(page_id) OVER (PARTITION BY payload) AS first
+      FROM base)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to, url, true AS verified
+    FROM hashed"""

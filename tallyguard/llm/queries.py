@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import pii, quality, secrets, urls
+from tallyguard.llm import mixing, pii, quality, secrets, urls, warc
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.report(table(spark, sf_dir, "pages"))
 
@@ -30,5 +34,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op6_urls, op7_pii, op9_quality)}
+    f.__name__: f for f in (
+        op1_secrets, op4_mixing, op6_urls, op7_pii, op9_quality, op10_warc)}
