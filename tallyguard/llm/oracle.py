@@ -62,3 +62,22 @@ ORACLE["op10_warc"] = f"""
            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id <> first THEN first END AS refers_to, url, true AS verified
     FROM hashed"""
+
+_SHINGLES = r"""
+      SELECT DISTINCT {id}, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s FROM (
+        SELECT {id}, w, unnest(range(0, len(w) - 4)) AS i FROM (
+          SELECT {id}, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w
+          FROM {table}) WHERE len(w) >= 5)"""
+
+_LEAKS = f"""
+    WITH q AS ({_SHINGLES.format(id='item_id', table='benchmark')}),
+    d AS ({_SHINGLES.format(id='doc_id', table='{docs}')}),
+    sizes AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+    leaks AS (
+      SELECT d.doc_id, q.item_id, count(*) AS shared, any_value(n) AS item_shingles
+      FROM d JOIN q ON d.s = q.s JOIN sizes ON sizes.item_id = q.item_id
+      GROUP BY d.doc_id, q.item_id HAVING 100 * count(*) >= 80 * any_value(n))
+"""
+
+ORACLE["op2_decontaminate"] = _LEAKS.replace("{docs}", "documents") + """
+    SELECT doc_id, item_id, shared, item_shingles FROM leaks"""

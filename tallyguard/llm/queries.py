@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import mixing, pii, quality, secrets, urls, warc
+from tallyguard.llm import decontaminate, mixing, pii, quality, secrets, urls, warc
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -18,6 +18,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -40,4 +44,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secrets, op4_mixing, op6_urls, op7_pii, op9_quality, op10_warc)}
+        op1_secrets, op2_decontaminate, op4_mixing, op6_urls, op7_pii, op9_quality, op10_warc)}
