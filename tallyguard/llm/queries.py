@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import decontaminate, mixing, pii, quality, secrets, urls, warc
+from tallyguard.llm import decontaminate, mixing, neardup, pii, quality, secrets, urls, warc
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -34,6 +34,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secrets, op2_decontaminate, op4_mixing, op6_urls, op7_pii, op9_quality, op10_warc)}
+        op1_secrets, op2_decontaminate, op4_mixing, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc)}
