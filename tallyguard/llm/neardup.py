@@ -323,5 +323,6 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = classes(docs, text)
     first = rows.where("label is not null").groupBy("label").agg(
         F.min_by("rid", F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "rid")).alias("rid"))
-    kept = rows.join(first.select("rid"), "rid", "left_semi").union(rows.where("label is null"))
+    kept = rows.join(first.select("rid"), "rid", "left_semi").unionByName(
+        rows.where("label is null"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
