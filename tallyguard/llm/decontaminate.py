@@ -30,7 +30,7 @@ BROADCAST_ROWS = 200_000
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """Marks a written table for broadcast if a count proves it small."""
+    """Marks a table for broadcast if a count proves it small. Pass what a written table gives."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -104,7 +104,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(or_empty(text).alias("t"))
     found = materialize(candidates(texts, sketch), "leak-candidates")
     held = texts.withColumn("digest", F.md5("t")).join(
-        found.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+        if_small(found.select("digest").distinct()), "digest", "left_semi").dropDuplicates(["digest"])
     counted = (spelled(held, "t").select("digest", "shingle")
                .join(if_small(shingles.select("item_id", "shingle", "q", "need")), "shingle")
                .groupBy("digest", "item_id", "q", "need").agg(F.count("*").alias("shared"))
@@ -119,7 +119,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per document and benchmark item that it contains."""
     rows = docs.select("doc_id", F.md5(or_empty("text")).alias("digest"))
-    return rows.join(leaks(docs, items), "digest").select(
+    return rows.join(if_small(leaks(docs, items)), "digest").select(
         "doc_id", "item_id", "shared", "item_shingles")
 
 
@@ -127,4 +127,4 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataF
     """The documents that contain no item, with their own columns."""
     rows = packed(docs).withColumn("digest", F.md5(or_empty(F.col("row")[text])))
     bad = leaks(docs, items, text).select("digest").distinct()
-    return unpacked(rows.join(bad, "digest", "left_anti"), docs)
+    return unpacked(rows.join(if_small(bad), "digest", "left_anti"), docs)
