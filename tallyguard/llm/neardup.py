@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyguard.llm.components import components
 from tallyguard.llm.decontaminate import if_small
@@ -272,9 +273,8 @@ def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         F.struct(*[F.col("row")[c].alias(c) for c in carry or docs.columns]).alias("row"),
         F.col("row")["doc_id"].cast("long").alias("doc_id"))
     source = source.select("t", "row", "doc_id", F.md5("t").alias("digest"))
-    kind = source.schema["row"].dataType.simpleString()
-    signed = source.mapInArrow(
-        _sign, f"row {kind}, doc_id long, digest string, n long, sig array<long>")
+    kinds = T.StructType(source.schema.fields[1:]).add("n", "long").add("sig", "array<long>")
+    signed = source.mapInArrow(_sign, kinds)
     signed = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "near-signed")
     lost = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
     nodes = materialize(

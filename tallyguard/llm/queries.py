@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import decontaminate, lines, mixing, neardup, pii, quality, secrets, urls, warc
+from tallyguard.llm import decontaminate, lines, lm, mixing, neardup, pii, quality, secrets, urls, warc
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -22,6 +22,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secrets, op2_decontaminate, op4_mixing, op5_lines, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc)}
+        op1_secrets, op2_decontaminate, op3_lm, op4_mixing, op5_lines, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc)}

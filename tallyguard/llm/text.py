@@ -24,7 +24,8 @@ def words(text: Column) -> Column:
 
 def packed(df: DataFrame) -> DataFrame:
     """The rows as one struct column ``row``; working columns then clash with nothing."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    quoted = [f"`{c.replace('`', '``')}`" for c in df.columns]
+    return df.select(F.struct(*[F.col(c) for c in quoted]).alias("row"))
 
 
 def unpacked(df: DataFrame, like: DataFrame, *more: Column) -> DataFrame:
