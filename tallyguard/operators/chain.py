@@ -34,7 +34,12 @@ def build_chain(events: DataFrame, key: str, seq: str = "seq", payload: str = "p
     hash at a time, so a long chain needs no memory. ``heads`` (key, head) gives
     the last stored hash of chains that are continued.
     """
-    rows = events if heads is None else events.join(heads, key, "left")
+    if heads is None:
+        rows = events
+    else:
+        rows = events.alias("e").join(
+            heads.alias("h"), F.col(f"e.{key}").eqNullSafe(F.col(f"h.{key}")), "left").select(
+                "e.*", "h.head")
     if heads is None:
         rows = rows.withColumn("head", F.lit(P.GENESIS_HASH))
     rows = rows.withColumn("head", F.coalesce("head", F.lit(P.GENESIS_HASH)))
@@ -46,6 +51,8 @@ def build_chain(events: DataFrame, key: str, seq: str = "seq", payload: str = "p
         for pdf in batches:
             before, after = [], []
             for k, text, head in zip(pdf[key], pdf[payload], pdf["head"]):
+                if k != k:      # a null number arrives as NaN
+                    k = None
                 if k != current:
                     current, running = k, head
                 before.append(running)

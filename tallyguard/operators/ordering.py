@@ -40,9 +40,11 @@ def with_previous(df: DataFrame, key: str, seq: str, value: Column, name: str,
     carried = tails.select(
         key, "_chunk",
         F.lag("_tail").over(W.partitionBy(key).orderBy("_chunk")).alias("_carry"))
-    return (rows.join(carried, [key, "_chunk"], "left")
+    same = (F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))
+            & F.col("r._chunk").eqNullSafe(F.col("c._chunk")))
+    return (rows.alias("r").join(carried.alias("c"), same, "left")
             .withColumn(name, F.coalesce("_lag", "_carry")["v"])
-            .select(*df.columns, name))
+            .select(*[F.col(f"r.{x}") for x in df.columns], name))
 
 
 def top(df: DataFrame, order: list[Column], limit: int, position: str = "position") -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tallyguard import policy as P
 from tallyguard.operators.ordering import CHUNK, join_per_key, with_previous
 
+#: Everything that counts as white space around a name, as in the stream.
+_AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
 _NEVER = 2 ** 62
 _TOP = len(P.LADDER) - 1
 
@@ -27,16 +30,17 @@ _TOP = len(P.LADDER) - 1
 def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Every action with its outcome.
 
-    ``intake``: invoice_id, route and optionally status of the queued invoices.
+    ``intake``: invoice_id, route and optionally status and first_approver of the queued
+    invoices; a row that awaits its second approval goes on from its first.
     ``actions``: invoice_id, action_seq (unique per invoice), action, actor, note, ts.
     Adds ``refusal`` (null when applied), event_type, from_status, to_status,
     route_before, route_after and first_approver.
     """
     status = F.col("status") if "status" in intake.columns else F.lit("pending_review")
     start = intake.select("invoice_id", P.route_rank(F.col("route")).alias("_rank0"),
-                          status.alias("_status0"))
-    rows = join_per_key(actions.withColumn("actor", F.trim("actor")), start, "invoice_id",
-                        "action_seq")
+                          status.alias("_status0"), _signer(intake).alias("_signer0"))
+    named = actions.withColumn("actor", F.regexp_replace("actor", _AROUND, ""))
+    rows = join_per_key(named, start, "invoice_id", "action_seq")
     bad = (F.when(~F.coalesce(F.col("action").isin(*P.ACTIONS), F.lit(False)), "unknown action")
            .when(F.coalesce(F.col("actor"), F.lit("")) == "", "reviewer name required")
            .when(F.col("_rank0").isNull(), "not in the review queue")
@@ -65,6 +69,11 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
     legal = with_previous(legal, "invoice_id", "action_seq",
                           F.struct("action", F.lower("actor").alias("who")), "_prev", chunk)
 
+    # A pending first approval counts as the action before the first.
+    pending = F.when(F.col("_status0") == "awaiting_second_approval", F.struct(
+        F.lit("approve").alias("action"), F.lower(F.coalesce("_signer0", F.lit(""))).alias("who")))
+    legal = legal.withColumn("_prev", F.coalesce("_prev", pending))
+
     approve = F.col("action") == "approve"
     after_approval = F.coalesce(F.col("_prev.action") == "approve", F.lit(False))
     same = F.col("_prev.who") == F.lower("actor")
@@ -103,7 +112,7 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
     signed = done.where("event_type = 'review.first_approval'").groupBy("invoice_id").agg(
         F.max_by("actor", "action_seq").alias("_signed"))
     done = join_per_key(done, signed, "invoice_id", "action_seq").withColumn(
-        "first_approver", F.when(F.col("_second"), F.col("_signed")))
+        "first_approver", F.when(F.col("_second"), F.coalesce("_signed", "_signer0")))
 
     shape = [*actions.columns, "refusal", "event_type", "from_status", "to_status",
              "route_before", "route_after", "first_approver"]
@@ -112,6 +121,11 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
         refused.select(*actions.columns, "refusal"), allowMissingColumns=True)
 
 
+def _signer(intake: DataFrame) -> Column:
+    return (F.col("first_approver") if "first_approver" in intake.columns
+            else F.lit(None).cast("string"))
+
+
 def _route(rank: Column) -> Column:
     return P.lookup(rank, dict(enumerate(P.LADDER)))
 
@@ -151,13 +165,16 @@ def reviewed_queue(intake: DataFrame, replayed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("applied"))
     status = F.col("status") if "status" in intake.columns else F.lit("pending_review")
     base = intake.withColumn("_status0", status).withColumnRenamed("route", "_route0")
-    keep = [c for c in intake.columns if c not in ("route", "status")]
+    base = base.withColumn("_signer0", _signer(intake))
+    keep = [c for c in intake.columns if c not in ("route", "status", "first_approver")]
+    untouched = F.col("_sign_seq").isNull() & F.col("_climb_seq").isNull()
     # An escalation clears a first approval; asking for information does not.
     valid = F.col("_sign_seq") > F.coalesce(F.col("_climb_seq"), F.lit(-_NEVER))
     return base.join(folded, "invoice_id", "left").select(
         *keep, F.coalesce("_status", "_status0").alias("status"),
         F.coalesce("_route", "_route0").alias("route"), "updated_at",
-        F.when(valid, F.col("_signed_by")).alias("first_approver"),
+        F.when(valid, F.col("_signed_by")).when(untouched, F.col("_signer0"))
+        .alias("first_approver"),
         F.when(valid, F.col("_signed_at")).alias("first_approved_at"),
         "decided_by", "decided_at", "decision_note",
         F.coalesce("applied", F.lit(0)).alias("applied"))

@@ -577,8 +577,9 @@ SELECT run_id, {_stamp('started_at::timestamp')} AS started_at,
        total AS invoice_count, auto_approved AS auto_approved_count, routed AS flagged_count,
        {_r('auto_approved::double / total')} AS touchless_rate,
        {_r('sum(auto_approved) OVER w::double / sum(total) OVER w')} AS cumulative_touchless_rate
-FROM (SELECT * FROM ({_BATCH}) ORDER BY started_at DESC LIMIT {P.RUN_HISTORY_LIMIT})
-WINDOW w AS (ORDER BY started_at, run_id)""".replace(
+FROM ({_BATCH})
+WINDOW w AS (ORDER BY started_at, run_id)
+ORDER BY started_at DESC, run_id DESC LIMIT {P.RUN_HISTORY_LIMIT}""".replace(
     "sum(auto_approved) OVER w::double", "(sum(auto_approved) OVER w)::double"))
 _q("touchless_rate", f"""
 SELECT {_r('avg(CASE WHEN rank = 0 THEN 1.0 ELSE 0.0 END)')} AS touchless_rate FROM queue""")

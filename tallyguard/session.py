@@ -34,10 +34,14 @@ def local_session(cores: str | int = "*", name: str = "tallyguard", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the session names none (single-machine tests) is one made here.
+    Only where the session names none and runs on one machine (tests) is one made here;
+    on a cluster a folder of this machine would be out of the executors' reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallyguard-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

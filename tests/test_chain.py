@@ -59,3 +59,18 @@ def test_event_list(spark):
     assert [r.transition for r in out] == ["Approved", "Pending review -> Approved"]
     assert [r.note for r in out] == ["N/A", "why"]
     assert [r.seq for r in chain.load_events(df, invoice_id="I1").collect()] == [2, 1]
+
+
+def test_events_without_a_key_form_one_chain(spark):
+    rows = [(None, s, f"p{s}") for s in range(1, 6)] + [(1, s, f"q{s}") for s in range(1, 4)]
+    df = spark.createDataFrame(rows, "chain_id long, seq long, payload string")
+    built = spark.createDataFrame(chain.build_chain(df, "chain_id").collect())
+    got = {r.chain_id: (r.events, r.ok) for r in chain.verify_chain(built, "chain_id", chunk=2).collect()}
+    assert got == {None: (5, True), 1: (3, True)}
+    heads = built.groupBy("chain_id").agg(F.max_by("entry_hash", "seq").alias("head"))
+    more = spark.createDataFrame([(None, 6, "p6")], df.schema)
+    after = chain.build_chain(more, "chain_id", heads=heads).first()
+    last = built.where("chain_id IS NULL AND seq = 5").first().entry_hash
+    assert after.prev_hash == last
+    longer = built.unionByName(spark.createDataFrame([after], built.schema))
+    assert all(r.ok for r in chain.verify_chain(longer, "chain_id", chunk=3).collect())

@@ -1,8 +1,10 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyguard import policy as P
 from tallyguard.operators import extract, features, feedback, kpis, models
 
 T = dt.datetime
@@ -28,9 +30,9 @@ def test_run_history_order_and_limit(spark):
                                      "auto_approved_count long")
     out = kpis.run_history(df, limit=3).orderBy("started_at").collect()
     assert [r.run_id for r in out] == [1, 0, 9]
-    assert [r.run_label for r in out] == ["Run 1", "Run 2", "Run 3"]
+    assert [r.run_label for r in out] == ["Run 4", "Run 5", "Run 6"]
     assert out[0].flagged_count == 9 and out[2].touchless_rate is None
-    assert out[2].cumulative_touchless_rate == pytest.approx(0.05)
+    assert out[2].cumulative_touchless_rate == pytest.approx(0.2)
 
 
 @pytest.fixture(scope="module")
@@ -135,3 +137,28 @@ def test_train_save_load(spark, tmp_path):
         assert a[k] == pytest.approx(b[k])
     m = kpis.classification_metrics(kpis.confusion(models.predictions(e.score(rows))))
     assert all(r.accuracy > 0.9 for r in m.collect())
+
+
+def test_run_totals_do_not_depend_on_the_limit(spark):
+    t = dt.datetime(2025, 1, 1)
+    rows = [(i, t + dt.timedelta(hours=10 * i), 10, i % 4) for i in range(12)]
+    runs = spark.createDataFrame(
+        rows, "run_id long, started_at timestamp, invoice_count long, auto_approved_count long")
+    every = {r.run_id: r for r in kpis.run_history(runs, 200).collect()}
+    few = kpis.run_history(runs, 3).collect()
+    assert [r.run_id for r in few] == [9, 10, 11]
+    assert all(r == every[r.run_id] for r in few)
+    assert few[0].run_label == "Run 10"
+    assert few[0].cumulative_touchless_rate == pytest.approx(sum(i % 4 for i in range(10)) / 100)
+
+
+def test_one_class_fits_nothing_and_the_projection_is_the_kernel_map(spark):
+    df = spark.createDataFrame([(str(i), .1 * i, .2, .3, .4, .5, 1) for i in range(5)],
+                               "invoice_id string, " + ", ".join(f"{n} double" for n in P.FEATURES)
+                               + ", label int")
+    assert models.train(df).models == {}
+    e = models.Ensemble(weights=[[1.0, 2.0], [0.5, -1.0]], offsets=[0.1, 0.2])
+    x = spark.createDataFrame([([0.3, 0.7],)], "x array<double>")
+    got = x.select(e.fourier(F.col("x")).alias("z")).first().z
+    want = [math.cos(0.3 + 1.4 + 0.1), math.cos(0.15 - 0.7 + 0.2)]
+    assert got == pytest.approx(want)

@@ -30,7 +30,7 @@ def test_replay_equals_stepwise(spark, seed, chunk):
     rng = random.Random(seed)
     intake = [(f"I{i}", rng.choice(["manager_review", "controller_review", "dual_control",
                                     "auto_approve"])) for i in range(40)]
-    names = ["Ann", "ann", "Bob", " ", None, "Cy "]
+    names = ["Ann", "ann", "Bob", " ", None, "Cy ", "\t", "\u2003Bob\n"]
     actions = []
     for seq in range(900):
         # one invoice takes a third of all actions
@@ -53,6 +53,27 @@ def test_replay_equals_stepwise(spark, seed, chunk):
     assert review.rejects(replayed).count() == sum(w[0] is not None for w in want.values())
 
 
+def test_replay_goes_on_from_a_pending_approval(spark):
+    intake = [(f"I{i}", "dual_control", "awaiting_second_approval", "Ann") for i in range(5)]
+    steps = {"I0": [("approve", "Bob")], "I1": [("approve", "ANN ")],
+             "I2": [("request_info", "Bob"), ("approve", "Ann"), ("approve", "Bob")],
+             "I3": [("escalate", "Cy"), ("approve", "Ann")], "I4": [("shred", "Bob")]}
+    actions = [(inv, 10 * i + n, act, who, None, T0) for i, (inv, todo) in enumerate(steps.items())
+               for n, (act, who) in enumerate(todo)]
+    df_i = spark.createDataFrame(
+        intake, "invoice_id string, route string, status string, first_approver string")
+    replayed = review.replay(df_i, spark.createDataFrame(actions, ACTS))
+    got = {r.action_seq: r for r in replayed.collect()}
+    state, last = {i: workflow.State(s, r, f) for i, r, s, f in intake}, {}
+    for inv, seq, act, who, _, _ in actions:
+        state[inv], want = workflow.act(state[inv], act, who)
+        assert (got[seq].refusal, got[seq].event_type, got[seq].first_approver) == (
+            want.refusal, want.event_type, want.first_approver)
+    rows = {r.invoice_id: r for r in review.reviewed_queue(df_i, replayed).collect()}
+    for inv, s in state.items():
+        assert (rows[inv].status, rows[inv].first_approver) == (s.status, s.signer), inv
+
+
 def test_submission_fold(spark):
     auto, mgr, dual = "auto_approve", "manager_review", "dual_control"
     rows = [("A", None, 100.0, auto, 1), ("A", None, 900.0, mgr, 2),        # refused

@@ -58,13 +58,14 @@ def test_details_and_alerts(spark):
         (9800.0, {}), (500.0, {"dup": 1.0, "match": "INV-0019"}), (500.0, scores(0.85, 0.10, 0.15)),
         (500.0, scores(0.55, 0.60, 0.58)), (75000.0, {}), (800.0, {})])
     rows = {r.id: r for r in out.collect()}
-    assert rows[0].rules[0].detail == ("$9,800.00 sits $200.00 below the $10,000 reporting "
-                                       "threshold, consistent with structuring.")
-    assert "against INV-0019" in rows[1].rules[0].detail
+    assert rows[0].rules[0].detail == (
+        "$9,800.00 stays $200.00 under $10,000, where reporting starts; "
+        "the amount may have been chosen for that.")
+    assert "100% alike to INV-0019" in rows[1].rules[0].detail
     assert rows[2].rules[0].detail.startswith(
-        "Models disagree by 75% (LogReg 85%, Quantum 15%, RBF-SVM 10%)")
+        "Model scores lie 75% apart (LogReg 85%, Quantum 15%, RBF-SVM 10%)")
     assert rows[3].rules[0].detail == (
-        "Ensemble risk score 58% falls in the Elevated band "
+        "Mean model risk 58%, band Elevated "
         "(Elevated (58% mean): LogReg 55%, Quantum 58%, RBF-SVM 60%).")
     queue = out.withColumn("invoice_id", F.when(F.col("id") > 0, F.lit("INV-1"))).withColumn(
         "vendor", F.lit(None).cast("string")).withColumn(
