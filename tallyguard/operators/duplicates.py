@@ -12,9 +12,11 @@ vendor, day or group of copies holds a large share of all rows:
   the score only falls as the amount gap widens, so the neighbour below and the
   neighbour above in amount order are enough: a sorted sweep per vendor and day;
 * matches more than 89 days apart score on the amount alone, so one more sweep
-  over (vendor, amount) finds them without pairing dates.
+  over (vendor, amount) finds them without pairing dates;
+* pairs whose amounts are too far apart score on the date alone, so the nearest days
+  of the vendor before and after are enough: one sweep over distinct days.
 
-All three give the same answer as comparing every pair; ties go to the smallest
+All four give the same answer as comparing every pair; ties go to the smallest
 invoice id.
 """
 
@@ -35,8 +37,8 @@ from tallyguard.policy import (
 from tallyguard.operators.ordering import join_per_key
 from tallyguard.session import materialize
 
-DEFAULT_MIN_SCORE = W_DATE      # at or below this a pair may share nothing but a date
-DENSE_LIMIT = 4_000
+DEFAULT_MIN_SCORE = 0.0         # any likeness at all
+DENSE_LIMIT = 400
 
 _KEY = ["_vkey", "_amount", "_date", "_excl"]
 _EPOCH = "1970-01-01"
@@ -50,10 +52,12 @@ class _Blocks:
     """
 
     def __init__(self, min_score: float):
-        if not W_DATE <= min_score <= 1.0:
-            raise ValueError(f"min_score must lie in [{W_DATE}, 1]")
+        if not 0.0 <= min_score <= 1.0:
+            raise ValueError("min_score must lie in [0, 1]")
         self.min_score = min_score
-        self.gap = AMOUNT_TOLERANCE * (1.0 - (min_score - W_DATE) / W_AMOUNT)
+        # Up to the date's weight a pair may share nothing but a date.
+        self.by_date = min_score <= W_DATE
+        self.gap = AMOUNT_TOLERANCE * (1.0 - (max(min_score, W_DATE) - W_DATE) / W_AMOUNT)
         self.reach = -math.log(1.0 - self.gap - 1e-9)
         self.far = min_score <= W_AMOUNT
         self.days = DATE_WINDOW_DAYS - 1 if self.far else math.floor(
@@ -78,7 +82,7 @@ class _Blocks:
         return F.sequence(self.date_bucket(day - self.days), self.date_bucket(day + self.days))
 
     def keeps(self, score: Column) -> Column:
-        return score > self.min_score if self.min_score <= W_DATE else score >= self.min_score
+        return score > self.min_score if self.min_score in (0.0, W_DATE) else score >= self.min_score
 
 
 def _day(date: Column) -> Column:
@@ -158,6 +162,47 @@ def _sweep(search: DataFrame, profiles: DataFrame, blocks: _Blocks, cells: list[
     return _scored(pairs, blocks)
 
 
+def _days(search: DataFrame, profiles: DataFrame, blocks: _Blocks) -> DataFrame:
+    """The vendor's nearest usable day at or before and at or after each search day.
+
+    Works on distinct days: a vendor has as many rows here as days with invoices or
+    searches, however many invoices a day holds. Each day keeps its two smallest ids.
+    """
+    reps = profiles.where("date IS NOT NULL").select(
+        "vkey", "date", "amount", F.explode(F.array("r1", "r2")).alias("r")).where("r IS NOT NULL")
+    one = reps.groupBy("vkey", "date", "r.id").agg(F.min(F.struct("amount", "r.vendor")).alias("x"))
+    order = W.partitionBy("vkey", "date").orderBy("id")
+    rep = F.struct("id", "date", F.col("x.vendor").alias("vendor"), F.col("x.amount").alias("amount"))
+    two = one.withColumn("_rn", F.row_number().over(order)).where("_rn <= 2")
+    filed = two.select("vkey", "date", "_rn", rep.alias("r1"), F.lead(rep).over(order).alias("r2"))
+    filed = filed.where("_rn = 1").select("vkey", F.col("date").alias("_date"),
+                                          F.struct("r1", "r2").alias("_p"))
+    asked = search.where("_date IS NOT NULL").select("vkey", "_date").distinct()
+    rows = asked.join(filed, ["vkey", "_date"], "full_outer")
+    group = W.partitionBy("vkey")
+    for side, way in (("lo", F.col("_date").asc()), ("hi", F.col("_date").desc())):
+        order = group.orderBy(way)
+        upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+        before = order.rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("_prev", F.last("_p", ignorenulls=True).over(before))
+        # A run of days that hold nothing but one id is stepped over as a whole.
+        sole = F.when(F.col("_p.r2").isNull(), F.col("_p.r1.id"))
+        prev_sole = F.when(F.col("_prev.r2").isNull(), F.col("_prev.r1.id"))
+        head = F.col("_p").isNotNull() & ~F.coalesce(sole == prev_sole, F.lit(False))
+        rows = (rows.withColumn(f"_{side}", F.last("_p", ignorenulls=True).over(upto))
+                .withColumn(f"_{side}_alt", F.last(F.when(head, F.struct(F.col("_prev").alias("p"))),
+                                                   ignorenulls=True).over(upto)).drop("_prev"))
+    near = join_per_key(
+        search.where("_date IS NOT NULL"),
+        rows.select("vkey", "_date", "_lo", "_hi", F.col("_lo_alt.p").alias("_lo_alt"),
+                    F.col("_hi_alt.p").alias("_hi_alt")),
+        ["vkey", "_date"], "_amount", "inner")
+    hits = [F.coalesce(_pick(F.col(f"_{s}"), F.col("_excl")), _pick(F.col(f"_{s}_alt"), F.col("_excl")))
+            for s in ("lo", "hi")]
+    found = near.select(*_KEY, "_v", F.explode(F.array(*hits)).alias("c")).where("c IS NOT NULL")
+    return _scored(found.withColumn("c_amount", F.col("c.amount")), blocks)
+
+
 def _search_keys(
     rows: DataFrame, profiles: DataFrame, blocks: _Blocks, same_table: bool
 ) -> DataFrame:
@@ -223,6 +268,10 @@ def closest_matches(
     if links is None:
         search = search.withColumn("vkey", F.col("_vkey")).withColumn("_v", F.lit(1.0))
     else:
+        # Links know the ratio they are complete for; a lower score needs more of them.
+        built = links.schema["v"].metadata.get("min_ratio")
+        if built is not None and built > min_score:
+            raise ValueError(f"links hold ratios from {built}; min_score is {min_score}")
         near_names = links.where(F.col("v") >= min_score).select(
             F.col("a").alias("_vkey"), F.col("b").alias("vkey"), F.col("v").alias("_v"))
         search = search.join(near_names, "_vkey")
@@ -265,6 +314,9 @@ def closest_matches(
             ["vkey", "amount"])
         hits = hits.unionByName(_sweep(search, by_amount, blocks, ["vkey"]))
 
+    if blocks.by_date:
+        hits = hits.unionByName(_days(search, profiles, blocks))
+
     best = hits.groupBy(*_KEY).agg(F.min("best").alias("_best"))
 
     # A row's own profile can answer it if it holds two ids; on file it may also hold another's.
@@ -368,7 +420,9 @@ def vendor_links(vendors: DataFrame, min_ratio: float) -> DataFrame:
     runs; the names then share at least r(m + n)/2 - (u + 1) two-letter pieces.
     Two piece sets with that overlap must meet within the rarest
     (size - overlap + 1) pieces of each, so only those are joined. Names too
-    short for the bound share a piece-free bucket by length.
+    short for that bound (all of them, for ratios up to 2/3) use a weaker one in the
+    same way: at least m r / (2 - r) of a name's m letters, counted with repeats, are
+    also the partner's.
     """
     names = vendors.select(vendor_key(F.col("vendor")).alias("a")).where("a != ''").distinct()
     size = F.length("a")
@@ -395,19 +449,23 @@ def vendor_links(vendors: DataFrame, min_ratio: float) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("a").orderBy("f", "g"))
     prefix = (pieces.join(freq, "g").withColumn("rk", rank)
               .where("need >= 1 AND rk <= n - need + 1").select("a", "g"))
-    # A name without a usable bound meets every piece of the others' full sets.
+    # A name without a usable bound is met through its rarest letters.
+    letters = F.filter(F.split("a", ""), lambda c: c != "")
+    counted = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(
+        F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    single = names.select("a", F.length("a").alias("m"), F.explode(counted).alias("c"))
+    often = single.groupBy("c").agg(F.count(F.lit(1)).alias("f"))
+    nth = F.row_number().over(W.partitionBy("a").orderBy("f", "c"))
+    share = F.ceil(F.col("m") * (min_ratio / (2.0 - min_ratio)) - 1e-9)
+    rare = (single.join(often, "c").withColumn("rk", nth)
+            .where(F.col("rk") <= F.col("m") - share + 1).select("a", "c"))
     loose = sized.where("need < 1").select("a")
     by_piece = prefix.select("g", F.col("a").alias("b"))
     strict_pairs = prefix.join(by_piece, "g").select("a", "b")
-    every = names.select(F.col("a").alias("b"), F.length("a").alias("lb"))
-    spans = loose.withColumn("lb", F.explode(F.sequence(
-        F.greatest(F.ceil(F.length("a") * (min_ratio / (2.0 - min_ratio)) - 1e-9).cast("int"),
-                   F.lit(1)),
-        F.floor(F.length("a") * ((2.0 - min_ratio) / min_ratio) + 1e-9).cast("int"))))
-    loose_pairs = spans.join(every, "lb").select("a", "b")
+    loose_pairs = loose.join(rare, "a").join(rare.withColumnRenamed("a", "b"), "c").select("a", "b")
     both = strict_pairs.unionByName(loose_pairs).unionByName(
         loose_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     la, lb = F.length("a"), F.length("b")
     possible = both.where(2.0 * F.least(la, lb) >= (la + lb) * min_ratio - 1e-9)
-    return (possible.withColumn("v", sim.name_ratio("a", "b"))
-            .where(F.col("v") >= min_ratio))
+    kept = possible.withColumn("v", sim.name_ratio("a", "b")).where(F.col("v") >= min_ratio)
+    return kept.withMetadata("v", {"min_ratio": min_ratio})

@@ -36,7 +36,7 @@ def brute(queries, history, tau, fuzzy=False):
                 amt = max(0.0, 1.0 - (abs(a - b) / max(abs(a), abs(b), 1.0)) / 0.10)
                 dat = 0.0 if d is None or e is None else max(0.0, 1.0 - abs((d - e).days) / 90.0)
                 s = ratio(key(v), key(w)) * (0.75 * amt + 0.25 * dat)
-                if s > 0.25 if tau == 0.25 else s >= tau:
+                if s > tau if tau in (0.0, 0.25) else s >= tau:
                     if s > best[0] or (s == best[0] and j < best[1]):
                         best = (s, j)
         out[(i, v, a, d)] = (round(best[0], 9), best[1])
@@ -73,7 +73,7 @@ def tables():
     return filed, new
 
 
-@pytest.mark.parametrize("tau,dense", [(0.25, 4000), (0.25, 3), (0.8, 4000), (0.8, 3)])
+@pytest.mark.parametrize("tau,dense", [(0.0, 4000), (0.0, 3), (0.25, 3), (0.8, 4000), (0.8, 3)])
 def test_equals_all_pairs(spark, tables, tau, dense):
     filed, new = tables
     h = spark.createDataFrame(filed, SCHEMA).repartition(3)
