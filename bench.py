@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,8 +22,14 @@ HEADLINE = [
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        run(shared)
+
+
+def run(shared: str) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench",
+                          **{"spark.checkpoint.dir": shared})
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()    # start the executors
     seconds = {}

@@ -9,8 +9,12 @@ from tallyguard import policy as P
 from tallyguard.operators import chain, confidence, duplicates, features, kpis, rules
 from tallyguard.operators.extract import extract_fields
 from tallyguard.operators.feedback import with_feedback
+from tallyguard.session import materialize
 from tallyguard.sources import testdata as td
 
+#: Matches already written by this application: (application, input folder) to table.
+_MATCHED: dict[tuple[str, str], DataFrame] = {}
+
 
 def _assess(df: DataFrame) -> DataFrame:
     """Adds the assessment of the three closed-form scorers."""
@@ -24,18 +28,25 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assess(features.base_features(td.invoices(spark, sf_dir)))
 
 
-def matched(spark: SparkSession, sf_dir: str, min_score: float = P.NEAR_DUPLICATE) -> DataFrame:
-    """Invoices with their closest match as columns."""
-    found = duplicates.closest_matches(td.invoices(spark, sf_dir), min_score=min_score)
-    return (found.withColumn("duplicate_score", duplicates.duplicate_score(F.col("match")))
-            .withColumn("duplicate_match_id", F.col("match.matched_invoice_id")))
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices with their closest match, whatever its score, as columns.
+
+    Features, rules, queue and training rows all start here, so the search runs once per
+    application and input and its result is a written table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MATCHED:
+        found = duplicates.closest_matches(td.invoices(spark, sf_dir))
+        _MATCHED[key] = materialize(
+            found.withColumn("duplicate_score", duplicates.duplicate_score(F.col("match")))
+            .withColumn("duplicate_match_id", F.col("match.matched_invoice_id")), "matched")
+    return _MATCHED[key]
 
 
-def full_features(spark: SparkSession, sf_dir: str,
-                  min_score: float = P.NEAR_DUPLICATE) -> DataFrame:
+def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with all five features."""
     return features.base_features(
-        matched(spark, sf_dir, min_score).drop("match"), over=td.invoices(spark, sf_dir))
+        matched(spark, sf_dir).drop("match"), over=td.invoices(spark, sf_dir))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +54,6 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(_assess(full_features(spark, sf_dir)), texts=False)
 
 
-def first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions before the duplicate search has run."""
-    return rules.evaluate(scored(spark, sf_dir), texts=False)
-
-
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review queue: routed invoices whose order status tells how review ended."""
     decided = F.when(F.col("order_status") == "F", "approved").when(
@@ -57,7 +63,7 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "awaiting_second_approval").otherwise("pending_review"))
     status = F.when(F.col("is_auto"), "auto_approved").otherwise(F.coalesce(decided, waiting))
     wait = F.make_dt_interval((1 + F.col("order_key") % 5).cast("int"))
-    out = (first_pass(spark, sf_dir).withColumn("status", status)
+    out = (decisions(spark, sf_dir).withColumn("status", status)
            .withColumn("submitted_at", F.col("posting_date").cast("timestamp")))
     out = out.withColumn("decided_at", F.when(
         F.col("status").isin(*P.DECIDED_STATUSES), F.col("submitted_at") + wait))
@@ -103,10 +109,10 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tampered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log after somebody edited one event in a thousand."""
+    """The same log after somebody edited one event in a thousand and removed some."""
     edited = F.when(F.col("seq") % 1000 == 7, F.concat("payload", F.lit("!"))).otherwise(
         F.col("payload"))
-    return audit_log(spark, sf_dir).withColumn("payload", edited)
+    return audit_log(spark, sf_dir).where("seq % 1700 <> 1699").withColumn("payload", edited)
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

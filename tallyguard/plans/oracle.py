@@ -116,7 +116,7 @@ WHERE s {tau} GROUP BY id"""
 
 
 _step("screened", _closest("invoices", ">= 0.8"))
-_step("closest", _closest("invoices", "> 0.25"))
+_step("closest", _closest("invoices", "> 0"))
 _step("pairs", """
 SELECT *, NULL AS is_duplicate_of FROM invoices
 UNION ALL
@@ -126,8 +126,7 @@ _step("pair_hits", _closest("pairs", ">= 0.8"))
 
 _step("dup", """
 SELECT a.*, coalesce(floor(s * 10000.0 + 0.5) / 10000.0, 0.0) AS dscore, m AS match_id
-FROM assessed a LEFT JOIN screened ON id = invoice_id""")
-_step("nodup", "SELECT *, 0.0 AS dscore, NULL AS match_id FROM assessed")
+FROM assessed a LEFT JOIN closest ON id = invoice_id""")
 
 
 def _ranked(source: str) -> str:
@@ -160,7 +159,6 @@ FROM (SELECT *, {top} AS rank, {n} AS hits FROM ({_ranked(source)}))"""
 
 
 _step("decided", _routed("dup"))
-_step("first_pass", _routed("nodup"))
 
 _step("queue", """
 SELECT *, coalesce(decided_at, submitted_at) AS updated_at,
@@ -172,7 +170,7 @@ FROM (SELECT *, CASE WHEN rank = 0 THEN 'auto_approved' WHEN order_status = 'F'
              WHEN order_status = 'O' THEN 'rejected' WHEN order_key % 5 = 0 THEN 'info_requested'
              WHEN rank = 3 AND order_key % 5 = 1 THEN 'awaiting_second_approval'
              ELSE 'pending_review' END AS status,
-             cast(posting_date AS timestamp) AS submitted_at FROM first_pass))""")
+             cast(posting_date AS timestamp) AS submitted_at FROM decided))""")
 
 _step("doc_fields", """
 SELECT invoice_id || '.txt' AS source_file, invoice_id,
@@ -345,7 +343,7 @@ best AS (
              / greatest(abs(a.amount), abs(b.amount), 1.0)) / 0.1::double) AS amt,
            greatest(0.0::double, 1.0 - abs(a.posting_date - b.posting_date) / 90.0::double) AS prox
     FROM inc a JOIN hist b ON {_vkey('a.vendor')} = {_vkey('b.vendor')}
-     AND a.invoice_id <> b.invoice_id)) WHERE s > 0.25 GROUP BY id)"""
+     AND a.invoice_id <> b.invoice_id)) WHERE s > 0 GROUP BY id)"""
 ORACLE["features_incremental"] = f"""
 WITH invoices AS ({_STEPS['invoices']}), {_INC}
 SELECT invoice_id,
@@ -425,7 +423,7 @@ _NAMES = {
 for _i, _name in _NAMES.items():
     _q(f"rule_r0{_i}", f"""
 SELECT invoice_id, {_name} AS rule, {_case(f'r{_i}', _ROUTE)} AS route
-FROM {'decided' if _i == 3 else 'first_pass'} WHERE r{_i} IS NOT NULL""")
+FROM decided WHERE r{_i} IS NOT NULL""")
 _q("rule_r06", """
 SELECT invoice_id, 'Off-cycle posting' AS rule, 'manager_review' AS route FROM invoices
 WHERE isodow(posting_date) >= 6 AND (order_key % 41 = 0 OR amount >= 1000)""")
@@ -451,6 +449,17 @@ FROM (SELECT *, CASE WHEN amount >= 50000 THEN 3 WHEN amount >= 10000 THEN 2
                      WHEN amount >= 2500 THEN 1 END AS r1,
              CASE WHEN amount >= 9500 AND amount < 10000 THEN 2 END AS r2
       FROM doc_fields WHERE NOT extraction_ok)""")
+_q("score_and_route_fixed", f"""
+SELECT invoice_id, {_r('mean')} AS mean, band, route, codes AS rules_fired FROM decided
+WHERE order_key % 37 <> 0 AND order_key % 41 <> 0
+UNION ALL
+SELECT invoice_id, NULL, NULL, {_case('greatest(coalesce(r1, 0), coalesce(r2, 0), 1)', _ROUTE)},
+       concat_ws(', ', CASE WHEN r1 = 3 THEN 'R-01' END, CASE WHEN r1 = 2 THEN 'R-01' END,
+                 CASE WHEN r2 = 2 THEN 'R-02' END, CASE WHEN r1 = 1 THEN 'R-01' END, 'R-08')
+FROM (SELECT *, CASE WHEN amount >= 50000 THEN 3 WHEN amount >= 10000 THEN 2
+                     WHEN amount >= 2500 THEN 1 END AS r1,
+             CASE WHEN amount >= 9500 AND amount < 10000 THEN 2 END AS r2
+      FROM doc_fields WHERE NOT extraction_ok)""")
 _OPEN = ", ".join(f"'{s}'" for s in P.OPEN_STATUSES)
 _q("escalate", f"""
 SELECT invoice_id, route, {_case('least(rank + 1, 3)', _ROUTE)} AS escalated
@@ -538,13 +547,20 @@ FROM walked GROUP BY invoice_id""")
 
 _q("chain_build", "SELECT chain_id, seq, prev_hash, entry_hash FROM chained")
 _q("chain_verify", """
-SELECT chain_id, events, bad IS NULL AS ok, bad AS first_bad_seq,
-       CASE WHEN bad IS NOT NULL THEN 'tampered content' END AS reason,
+SELECT chain_id, events, bad IS NULL AS ok, bad AS first_bad_seq, reason,
        CASE WHEN bad IS NULL THEN 'Verified ' || events || ' event(s); hash chain intact.'
+            WHEN reason = 'chain break'
+              THEN 'Chain break at event #' || bad || ': predecessor hash does not match.'
             ELSE 'Tampered content at event #' || bad || ': recomputed hash does not match.'
        END AS message
 FROM (SELECT user_id AS chain_id, count(*) AS events,
-             min(event_id) FILTER (event_id % 1000 = 7) AS bad FROM events GROUP BY user_id)""")
+             min(event_id) FILTER (what IS NOT NULL) AS bad,
+             arg_min(what, event_id) FILTER (what IS NOT NULL) AS reason
+      FROM (SELECT user_id, event_id, CASE
+              WHEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) % 1700 = 1699
+                THEN 'chain break' WHEN event_id % 1000 = 7 THEN 'tampered content' END AS what
+            FROM events)
+      WHERE event_id % 1700 <> 1699 GROUP BY user_id)""")
 _ST = "[" + ", ".join(f"'{v}'" for v in P.STATUS_LABELS.values()) + "]"
 _q("event_timeline", f"""
 SELECT position, seq, 'INV-' || chain_id AS invoice_id, event_type, 'rev' || (seq % 3) AS actor,
@@ -623,7 +639,7 @@ FROM (SELECT count(feedback) AS total, count(*) FILTER (feedback = 'false_positi
       FROM queue)""")
 _q("training_rows", f"""
 SELECT invoice_id, {_r('zn')} AS amount_zscore_norm, {_r('tp')} AS threshold_proximity,
-       0.0::double AS duplicate_score, wf AS weekend_flag, {_r('dn')} AS days_to_due_norm,
+       {_r('dscore')} AS duplicate_score, wf AS weekend_flag, {_r('dn')} AS days_to_due_norm,
        CASE feedback WHEN 'true_positive' THEN 1 ELSE 0 END AS label
 FROM queue WHERE feedback IS NOT NULL AND order_key % 71 <> 0
   AND (SELECT count(feedback) FROM queue) >= {P.RETRAIN_THRESHOLD}""")

@@ -483,7 +483,7 @@ def feedback_summary(spark, d):
 
 def _feedback_rows(spark, d):
     """Feedback with the features stored as JSON, as the queue keeps them."""
-    rows = frames.queue(spark, d).withColumn("duplicate_score", F.lit(0.0))
+    rows = frames.queue(spark, d)
     blob = feedback.features_json({n: F.col(n) for n in P.FEATURES})
     broken = F.col("order_key") % 71 == 0
     return feedback.load_feedback(rows.withColumn(
@@ -512,15 +512,17 @@ def stratified_split(spark, d):
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_train"), 1)).alias("n_train"))
 
 
-def _labelled_features(spark, d):
+def _with_labels(spark, d):
+    """Every invoice with its features; the label is null where nobody gave one."""
     rows = features.join_labels(frames.full_features(spark, d), td.ground_truth(spark, d))
-    return materialize(rows.where("label IS NOT NULL").select(
+    return materialize(rows.select(
         "invoice_id", "amount", *P.FEATURES, "duplicate_match_id", "label"), "labelled")
 
 
 @register
 def train_models(spark, d):
-    split = materialize(models.stratified_split(_labelled_features(spark, d)), "split")
+    split = materialize(
+        models.stratified_split(_with_labels(spark, d).where("label IS NOT NULL")), "split")
     ensemble = models.train(split.where("is_train"))
     held_out = ensemble.score(split.where("NOT is_train"))
     out = kpis.classification_metrics(kpis.confusion(models.predictions(held_out)))
@@ -530,13 +532,30 @@ def train_models(spark, d):
 
 @register
 def score_and_route(spark, d):
-    rows = _labelled_features(spark, d)
+    """Every invoice: fitted on labelled rows, unreadable documents routed without scores."""
+    rows = _with_labels(spark, d)
     ensemble = models.train(rows)
     scores = ensemble.score(rows)
     routed = rules.evaluate(confidence.with_assessment(scores, F.col("probabilities")))
-    return routed.select("invoice_id", r6("confidence_mean").alias("mean"),
-                         F.col("confidence_band").alias("band"), "route",
-                         rules.rule_codes(F.col("rules")).alias("rules_fired"))
+    return _read_and_unread(spark, d, routed)
+
+
+def _read_and_unread(spark, d, routed):
+    unread = frames.extracted(spark, d).where("NOT extraction_ok")
+    readable = routed.join(unread.select("invoice_id"), "invoice_id", "left_anti")
+    codes = rules.rule_codes(F.col("rules")).alias("rules_fired")
+    none = F.lit(None)
+    return readable.select(
+        "invoice_id", r6("confidence_mean").alias("mean"), F.col("confidence_band").alias("band"),
+        "route", codes).unionByName(rules.evaluate(unread).select(
+            "invoice_id", none.cast("double").alias("mean"), none.cast("string").alias("band"),
+            "route", codes))
+
+
+@register
+def score_and_route_fixed(spark, d):
+    """The same path with the closed-form scorers in place of fitted models."""
+    return _read_and_unread(spark, d, frames.decisions(spark, d))
 
 
 @register
