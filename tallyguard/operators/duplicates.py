@@ -23,6 +23,7 @@ invoice id.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -224,9 +225,27 @@ def _search_keys(
     return open_rows.select(*_KEY).distinct()
 
 
+@dataclass(frozen=True)
+class Filed:
+    """Invoices on file as the search reads them, written once for any number of searches."""
+    profiles: DataFrame
+    ids: DataFrame
+
+
+def file_invoices(invoices: DataFrame) -> Filed:
+    usable = invoices.select(
+        vendor_key(F.col("vendor")).alias("vkey"), "amount", F.col("posting_date").alias("date"),
+        F.col("invoice_id").alias("id"), "vendor",
+    ).where("vkey != '' AND amount IS NOT NULL AND NOT isnan(amount)")
+    # The date is part of the key and of the representative.
+    profiles = _first_two(usable.withColumn("pdate", F.col("date")), ["vkey", "amount", "pdate"])
+    ids = invoices.select(F.col("invoice_id").alias("_excl")).where("_excl IS NOT NULL").distinct()
+    return Filed(materialize(profiles.withColumnRenamed("pdate", "date"), "profiles"), ids)
+
+
 def closest_matches(
     queries: DataFrame,
-    history: DataFrame | None = None,
+    history: DataFrame | Filed | None = None,
     *,
     min_score: float = DEFAULT_MIN_SCORE,
     links: DataFrame | None = None,
@@ -241,27 +260,20 @@ def closest_matches(
     normalised names must be equal. Below ``min_score`` the match is empty.
 
     The profile table is read by several branches, so it is written once to the
-    shared folder when this is called; the rest stays lazy.
+    shared folder when this is called, or comes written as ``Filed``.
     """
     blocks = _Blocks(min_score)
     same_table = history is None
-    filed = queries if same_table else history
-
-    usable = filed.select(
-        vendor_key(F.col("vendor")).alias("vkey"), "amount", F.col("posting_date").alias("date"),
-        F.col("invoice_id").alias("id"), "vendor",
-    ).where("vkey != '' AND amount IS NOT NULL AND NOT isnan(amount)")
-    # The date is part of the key and of the representative.
-    profiles = _first_two(usable.withColumn("pdate", F.col("date")), ["vkey", "amount", "pdate"])
-    profiles = materialize(profiles.withColumnRenamed("pdate", "date"), "profiles")
+    filed = history if isinstance(history, Filed) else file_invoices(
+        queries if same_table else history)
+    profiles = filed.profiles
 
     rows = (queries.withColumn("_vkey", vendor_key(F.col("vendor")))
             .withColumn("_amount", F.col("amount")).withColumn("_date", F.col("posting_date")))
     if same_table:
         rows = rows.withColumn("_excl", F.col("invoice_id"))
     else:
-        known = filed.select(F.col("invoice_id").alias("_excl")).where("_excl IS NOT NULL").distinct()
-        rows = rows.join(known, rows["invoice_id"] == known["_excl"], "left")
+        rows = rows.join(filed.ids, rows["invoice_id"] == filed.ids["_excl"], "left")
     eligible = rows.where("_vkey != '' AND _amount IS NOT NULL AND NOT isnan(_amount)")
 
     search = _search_keys(eligible, profiles, blocks, same_table)

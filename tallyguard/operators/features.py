@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyguard.functions.numeric import clip, half_up
 from tallyguard.functions.staging import once
 from tallyguard.operators.ordering import join_per_key
 from tallyguard.policy import FEATURES, REPORTING_THRESHOLD
+from tallyguard.session import materialize
 
 
 def threshold_proximity(amount: Column) -> Column:
@@ -83,7 +86,26 @@ def base_features(invoices: DataFrame, over: DataFrame | None = None) -> DataFra
         .drop("_b", "vendor_n", "vendor_mean", "vendor_sd"))
 
 
-def incremental_features(incoming: DataFrame, history: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Statistics:
+    """What new invoices are set against: per vendor a written table, overall a few numbers."""
+    vendors: DataFrame
+    bounds: Column
+    overall: Column
+
+
+def history_statistics(history: DataFrame) -> Statistics:
+    """One pass per figure over the history, for any number of incoming batches."""
+    b = history.sparkSession.range(1).select(
+        _bounds(_raw(history), "amount_zscore", "days_to_due").alias("b"),
+        history.agg(F.array(F.avg("amount"), F.stddev_samp("amount")).alias("o")).scalar().alias("o"),
+    ).first()
+    return Statistics(
+        materialize(vendor_stats(history), "vendor-stats"),
+        *[F.array(*[F.lit(x).cast("double") for x in row]) for row in (b.b, b.o)])
+
+
+def incremental_features(incoming: DataFrame, history: DataFrame | Statistics) -> DataFrame:
     """Features of new invoices from the statistics of invoices on file.
 
     The smallest value comes from history; the largest is extended by the new
@@ -91,11 +113,9 @@ def incremental_features(incoming: DataFrame, history: DataFrame) -> DataFrame:
     fewer than two invoices on file falls back to the overall statistics.
     Values are rounded to four decimals.
     """
-    b = _bounds(_raw(history), "amount_zscore", "days_to_due")
-    overall = history.agg(
-        F.array(F.avg("amount"), F.stddev_samp("amount")).alias("overall")).scalar()
-    rows = join_per_key(incoming, vendor_stats(history), "vendor", "invoice_id")
-    rows = once(rows, _b=b, _all=overall)
+    stats = history if isinstance(history, Statistics) else history_statistics(history)
+    rows = join_per_key(incoming, stats.vendors, "vendor", "invoice_id")
+    rows = once(rows, _b=stats.bounds, _all=stats.overall)
     own = F.col("vendor_n") >= 2
     mean = F.when(own, F.col("vendor_mean")).otherwise(F.col("_all")[0])
     sd = F.when(own, F.col("vendor_sd")).otherwise(F.col("_all")[1])

@@ -16,7 +16,7 @@ from tallyguard.sources import testdata as td
 _MATCHED: dict[tuple[str, str], DataFrame] = {}
 
 
-def _assess(df: DataFrame) -> DataFrame:
+def assess(df: DataFrame) -> DataFrame:
     """Adds the assessment of the three closed-form scorers."""
     p = td.model_scores(F.col("amount_zscore_norm"), F.col("threshold_proximity"),
                         F.col("weekend_flag"), F.col("days_to_due_norm"))
@@ -25,7 +25,7 @@ def _assess(df: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices with features (duplicates aside) and their assessment."""
-    return _assess(features.base_features(td.invoices(spark, sf_dir)))
+    return assess(features.base_features(td.invoices(spark, sf_dir)))
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def full_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every invoice with all features, assessment, fired rules and route."""
-    return rules.evaluate(_assess(full_features(spark, sf_dir)), texts=False)
+    return rules.evaluate(assess(full_features(spark, sf_dir)), texts=False)
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:

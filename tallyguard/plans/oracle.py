@@ -661,7 +661,17 @@ SELECT label, count(*) AS n, cast(round(count(*) * 0.7::double) AS bigint) AS n_
 FROM truth GROUP BY label""")
 
 # Streams must end where the batch queries do.
-ORACLE["stream_score_route"] = ORACLE["features_incremental"]
+_LIVE = f"""
+SELECT f.*, amount, amount_zscore_norm AS zn, threshold_proximity AS tp, weekend_flag AS wf,
+       days_to_due_norm AS dn, duplicate_score AS dscore
+FROM ({ORACLE['features_incremental']}) f
+JOIN ({_STEPS['invoices']}) i ON i.invoice_id = f.invoice_id"""
+ORACLE["stream_score_route"] = f"""
+WITH feats AS ({_LIVE}), scores AS ({_STEPS['scores']}), assessed AS ({_STEPS['assessed']}),
+decided AS ({_routed('assessed')})
+SELECT invoice_id, amount_zscore_norm, threshold_proximity, duplicate_score, weekend_flag,
+       days_to_due_norm, duplicate_match_id, route, {_r('mean')} AS mean, band,
+       codes AS rules_fired FROM decided"""
 ORACLE["stream_queue_state"] = ORACLE["review_events"]
 ORACLE["stream_chain"] = ORACLE["chain_build"]
 _q("stream_once_only", """

@@ -580,13 +580,16 @@ def _stream(spark: SparkSession, df: DataFrame, order: str, job, slices: int = 3
 
 @register
 def stream_score_route(spark, d):
-    past = materialize(td.history(spark, d), "history")
+    past = td.history(spark, d)
+    filed, stats = duplicates.file_invoices(past), features.history_statistics(past)
     rows = td.incoming(spark, d).withColumn("_day", F.unix_date("posting_date"))
     out = _stream(spark, rows, "_day", lambda s, path, mark: jobs.score_stream(
-        s.drop("_day"), past, path, mark), slices=2)
+        s.drop("_day"), filed, stats, frames.assess, path, mark), slices=2)
     return spark.read.parquet(out).select(
         "invoice_id", "amount_zscore_norm", "threshold_proximity", "duplicate_score",
-        "weekend_flag", "days_to_due_norm", "duplicate_match_id")
+        "weekend_flag", "days_to_due_norm", "duplicate_match_id", "route",
+        r6("confidence_mean").alias("mean"), F.col("confidence_band").alias("band"),
+        rules.rule_codes(F.col("rules")).alias("rules_fired"))
 
 
 @register
