@@ -13,12 +13,16 @@ so no invoice is folded row by row and none has to fit into one task:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyguard import policy as P
 from tallyguard.operators.ordering import CHUNK, join_per_key, with_previous
+from tallyguard.streaming.workflow import OUTCOME, State, outcome
 
 #: Everything that counts as white space around a name, as in the stream.
 _AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -121,6 +125,32 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
         refused.select(*actions.columns, "refusal"), allowMissingColumns=True)
 
 
+def fold_interleaved(items: DataFrame) -> DataFrame:
+    """Outcome of submissions and reviewer actions in one log, in ``seq`` order per invoice.
+
+    ``items``: invoice_id, seq, kind (submit or action), route, action, actor. A
+    resubmission may change the route between any two actions, which has no closed
+    form, so a case is walked: rows arrive sorted and stream through with one small
+    state, and a case of any length needs no memory. Cases run in parallel.
+    """
+    columns = [c.split()[0] for c in OUTCOME.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, now = object(), State()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.invoice_id != current:
+                    current, now = r.invoice_id, State()
+                now, said = outcome(now, r.kind, r.route, r.action, r.actor)
+                out.append((r.invoice_id, r.seq, *said))
+            yield pd.DataFrame(out, columns=columns)
+
+    rows = items.select("invoice_id", "seq", "kind", "route", "action", "actor")
+    return rows.repartition("invoice_id").sortWithinPartitions("invoice_id", "seq").mapInPandas(
+        walk, OUTCOME)
+
+
 def _signer(intake: DataFrame) -> Column:
     return (F.col("first_approver") if "first_approver" in intake.columns
             else F.lit(None).cast("string"))

@@ -267,6 +267,49 @@ SELECT w.invoice_id, a.seq, a.ts, a.action, a.actor, a.note, w.refusal, w.was AS
 FROM walk w JOIN acts a USING (invoice_id, n)""")
 
 
+_step("items", """
+SELECT invoice_id, seq, n, actor, seq % 7 = 3 AS submitted, action,
+       CASE WHEN seq % 70 = 3 THEN 0 ELSE (seq % 3 + 1)::integer END AS new_rank FROM acts""")
+_step("tread", """
+  SELECT 'INV-' || user_id AS invoice_id, 0::bigint AS n, NULL::varchar AS status,
+         NULL::integer AS rank, NULL::varchar AS signer, NULL::varchar AS refusal,
+         NULL::varchar AS event_type, NULL::varchar AS was, NULL::integer AS was_rank,
+         NULL::varchar AS was_signer
+  FROM events GROUP BY user_id
+  UNION ALL
+  SELECT invoice_id, n,
+         CASE event_type WHEN 'intake.scored'
+                THEN CASE WHEN new_rank = 0 THEN 'auto_approved' ELSE 'pending_review' END
+              WHEN 'review.rejected' THEN 'rejected' WHEN 'review.info_requested' THEN 'info_requested'
+              WHEN 'review.escalated' THEN 'pending_review' WHEN 'review.approved' THEN 'approved'
+              WHEN 'review.first_approval' THEN 'awaiting_second_approval' ELSE status END,
+         CASE WHEN event_type IN ('intake.scored', 'intake.rescored') THEN new_rank
+              WHEN event_type = 'review.escalated' THEN least(rank + 1, 3) ELSE rank END,
+         CASE event_type WHEN 'review.escalated' THEN NULL WHEN 'review.first_approval' THEN actor
+              ELSE signer END,
+         refusal, event_type, status, rank, signer
+  FROM (SELECT *, CASE WHEN refusal IS NOT NULL THEN NULL
+          WHEN submitted THEN CASE WHEN status IS NULL THEN 'intake.scored'
+            WHEN status IN ('approved', 'rejected', 'auto_approved')
+              THEN 'intake.duplicate_submission' ELSE 'intake.rescored' END
+          WHEN action = 'reject' THEN 'review.rejected'
+          WHEN action = 'request_info' THEN 'review.info_requested'
+          WHEN action = 'escalate' THEN 'review.escalated'
+          WHEN rank = 3 AND status <> 'awaiting_second_approval' THEN 'review.first_approval'
+          ELSE 'review.approved' END AS event_type
+    FROM (SELECT t.invoice_id, a.n, t.status, t.rank, t.signer, a.action, a.actor, a.submitted,
+                 a.new_rank,
+                 CASE WHEN a.submitted THEN NULL WHEN a.action = 'shred' THEN 'unknown action'
+                      WHEN a.actor = '' THEN 'reviewer name required'
+                      WHEN t.status IS NULL THEN 'not in the review queue'
+                      WHEN t.status IN ('approved', 'rejected', 'auto_approved')
+                        THEN 'already decided'
+                      WHEN a.action = 'approve' AND t.rank = 3
+                       AND t.status = 'awaiting_second_approval' AND t.signer = a.actor
+                        THEN 'same approver twice' END AS refusal
+          FROM tread t JOIN items a ON a.invoice_id = t.invoice_id AND a.n = t.n + 1))""")
+
+
 def _sql(body: str) -> str:
     """A full statement: every step the body needs, in order, before it."""
     import re
@@ -281,7 +324,7 @@ def _sql(body: str) -> str:
 
     visit(body)
     steps = ",\n".join(f"{n} AS ({s})" for n, s in _STEPS.items() if n in need)
-    word = "WITH RECURSIVE" if "walk" in need else "WITH"
+    word = "WITH RECURSIVE" if need & {"walk", "tread"} else "WITH"
     return f"{word} {steps}\n{body}" if need else body
 
 
@@ -545,6 +588,15 @@ SELECT invoice_id, arg_max(to_status, n) AS status, arg_max(route_after, n) AS r
        count(*) FILTER (refusal IS NULL) AS applied
 FROM walked GROUP BY invoice_id""")
 
+_q("workflow_replay", f"""
+SELECT t.invoice_id, seq, event_type, actor, refusal,
+       CASE WHEN refusal IS NULL THEN was END AS from_status,
+       CASE WHEN refusal IS NULL THEN status END AS to_status,
+       CASE WHEN refusal IS NULL THEN {_case('was_rank', _ROUTE)} END AS route_before,
+       CASE WHEN refusal IS NULL THEN {_case('rank', _ROUTE)} END AS route_after,
+       CASE WHEN event_type = 'review.approved' AND was_rank = 3 THEN was_signer END AS first_approver
+FROM tread t JOIN items a ON a.invoice_id = t.invoice_id AND a.n = t.n""")
+ORACLE["stream_workflow"] = ORACLE["workflow_replay"]
 _q("chain_build", "SELECT chain_id, seq, prev_hash, entry_hash FROM chained")
 _q("chain_verify", """
 SELECT chain_id, events, bad IS NULL AS ok, bad AS first_bad_seq, reason,

@@ -392,6 +392,12 @@ def review_rejects(spark, d):
     return review.rejects(_replayed(spark, d))
 
 
+@register
+def workflow_replay(spark, d):
+    """Submissions and actions interleaved: cases enter, are resubmitted and closed in one log."""
+    return review.fold_interleaved(td.workflow_items(spark, d))
+
+
 @register
 def chain_build(spark, d):
     return frames.audit_log(spark, d).select("chain_id", "seq", "prev_hash", "entry_hash")
@@ -608,6 +614,13 @@ def stream_queue_state(spark, d):
         "route_after", "first_approver")
 
 
+@register
+def stream_workflow(spark, d):
+    out = _stream(spark, td.workflow_items(spark, d), "seq", lambda s, path, mark: jobs.append_to(
+        jobs.queue_state(s), path, mark))
+    return spark.read.parquet(out)
+
+
 @register
 def stream_once_only(spark, d):
     ev = td.table(spark, d, "events").select(

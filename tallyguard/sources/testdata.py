@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard import policy as P
+
 HISTORY_CUTOFF = "2001-01-01"
 
 
@@ -161,3 +163,15 @@ def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("chain_id"), F.col("event_id").alias("seq"),
                      F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
+
+
+def workflow_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submissions and reviewer actions interleaved: a case may be resubmitted at any time."""
+    seq = F.col("action_seq")
+    submitted = seq % 7 == 3
+    route = F.when(seq % 70 == 3, P.LADDER[0]).otherwise(F.element_at(
+        F.array(*[F.lit(r) for r in P.LADDER[1:]]), (seq % 3 + 1).cast("int")))
+    return review_actions(spark, sf_dir).select(
+        "invoice_id", seq.alias("seq"), F.when(submitted, "submit").otherwise("action").alias("kind"),
+        F.when(submitted, route).alias("route"), F.when(~submitted, F.col("action")).alias("action"),
+        "actor")

@@ -12,6 +12,11 @@ from typing import NamedTuple
 from tallyguard.policy import ACTIONS, LADDER, TERMINAL_STATUSES
 
 
+OUTCOME = ("invoice_id string, seq long, event_type string, actor string, refusal string, "
+           "from_status string, to_status string, route_before string, route_after string, "
+           "first_approver string")
+
+
 class State(NamedTuple):
     status: str | None = None       # None: not in the queue yet
     route: str | None = None
@@ -24,6 +29,18 @@ class Outcome(NamedTuple):
     first_approver: str | None = None
 
 
+def outcome(state: State, kind: str, route: str | None, action: str | None,
+            actor: str | None) -> tuple[State, tuple]:
+    """The next state and (event_type, actor, refusal, from and to status, route before and
+    after, first approver) of one submission or action."""
+    after, said = submit(state, route) if kind == "submit" else act(state, action, actor)
+    done = said.refusal is None
+    return after, (
+        said.event_type, (actor or "").strip(), said.refusal,
+        state.status if done else None, after.status if done else None,
+        state.route if done else None, after.route if done else None, said.first_approver)
+
+
 def submit(state: State, route: str) -> tuple[State, Outcome]:
     if state.status is None:
         status = "auto_approved" if route == LADDER[0] else "pending_review"
