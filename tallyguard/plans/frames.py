@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import policy as P
-from tallyguard.operators import chain, confidence, duplicates, features, kpis, rules
+from tallyguard.operators import chain, confidence, duplicates, features, kpis, review, rules
 from tallyguard.operators.extract import extract_fields
 from tallyguard.operators.feedback import with_feedback
 from tallyguard.session import materialize
@@ -115,6 +115,28 @@ def tampered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_log(spark, sf_dir).where("seq % 1700 <> 1699").withColumn("payload", edited)
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audit log: what submissions, reviewers and batch runs left, in canonical form,
+    chained per invoice; runs have no invoice and form a chain of their own."""
+    when = td.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    done = review.fold_interleaved(td.workflow_items(spark, sf_dir)).where("refusal IS NULL")
+    columns = ("invoice_id", "seq", "ts", "event_type", "actor", "from_status", "to_status", "detail")
+    workflow = done.join(when, "seq").withColumn("detail", F.to_json(
+        F.struct("first_approver", "route_after", "route_before"), {"ignoreNullFields": "false"}))
+    none = F.lit(None).cast("string")
+    batches = kpis.run_events(runs(spark, sf_dir)).withColumns({"from_status": none, "to_status": none})
+    log = workflow.select(*columns).unionByName(batches.select(*columns))
+    return chain.build_chain(log.withColumn("payload", chain.canonical_event()), "invoice_id")
+
+
+def damaged_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger after somebody renamed an actor in some events and removed others."""
+    edited = F.when(F.col("seq") % 500 == 8, F.replace("payload", F.lit("actor"), F.lit("Actor")))
+    return (ledger(spark, sf_dir).where("seq % 900 <> 21")
+            .withColumn("payload", F.coalesce(edited, F.col("payload"))))
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workflow events in one log with statuses, detail text and chained hashes."""
     statuses = F.array(*[F.lit(s) for s in P.STATUS_LABELS])

@@ -410,6 +410,19 @@ def chain_verify(spark, d):
                       chain.verdict().alias("message"))
 
 
+@register
+def ledger_chain(spark, d):
+    return frames.ledger(spark, d).select("invoice_id", "seq", "event_type", "payload", "prev_hash",
+                                          "entry_hash")
+
+
+@register
+def ledger_verify(spark, d):
+    out = chain.verify_chain(frames.damaged_ledger(spark, d), "invoice_id")
+    return out.select("invoice_id", "events", "ok", "first_bad_seq", "reason",
+                      chain.verdict().alias("message"))
+
+
 @register
 def event_timeline(spark, d):
     newest = chain.load_events(frames.event_log(spark, d), limit=P.EVENT_VIEW_ROWS)
