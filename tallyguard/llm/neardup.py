@@ -273,7 +273,8 @@ def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         F.struct(*[F.col("row")[c].alias(c) for c in carry or docs.columns]).alias("row"),
         F.col("row")["doc_id"].cast("long").alias("doc_id"))
     source = source.select("t", "row", "doc_id", F.md5("t").alias("digest"))
-    kinds = T.StructType(source.schema.fields[1:]).add("n", "long").add("sig", "array<long>")
+    kinds = T.StructType(source.schema.fields[1:]).add("n", T.LongType()).add(
+        "sig", T.ArrayType(T.LongType()))
     signed = source.mapInArrow(_sign, kinds)
     signed = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "near-signed")
     lost = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
