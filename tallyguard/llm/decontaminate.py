@@ -29,9 +29,9 @@ PERCENT = 80
 BROADCAST_ROWS = 200_000
 
 
-def if_small(df: DataFrame) -> DataFrame:
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if a count proves it small. Pass what a written table gives."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _words(text: Column) -> Column:
