@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.functions.numeric import nan_to_null
 from tallyguard.schemas import INVOICE, LABEL
+from tallyguard.session import materialize
+
+#: Partitions of an upsert table; fixed for its life.
+BUCKETS = 64
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = INVOICE) -> DataFrame:
@@ -25,7 +30,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """One row per text file: its name and its whole text."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", suffix).text(path)
+    return (spark.read.option("pathGlobFilter", suffix).text(path, wholetext=True)
             .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"),
                     F.col("value").alias("text")))
 
@@ -44,3 +49,29 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType | None = None)
     if schema is not None:
         return spark.read.schema(schema).parquet(path)
     return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def upsert(rows: DataFrame, path: str, key: str = "invoice_id", buckets: int = BUCKETS) -> None:
+    """Replaces rows of a table by ``key``; only the hash buckets that rows fall in are rewritten.
+
+    ``rows`` has each key once. The table is partitioned by bucket, so what an upsert
+    reads and writes follows the buckets it touches. The merged buckets are written
+    aside first: a table is never read while it is overwritten, and a run that breaks
+    off leaves it as it was or can be repeated.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]     # at most ``buckets``
+    try:
+        old = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        merged = new
+    else:
+        kept = old.alias("o").join(
+            new.select(F.col(key).alias("_key")),
+            F.col(f"o.{key}").eqNullSafe(F.col("_key")), "left_anti")
+        merged = kept.unionByName(new, allowMissingColumns=True)
+    (materialize(merged, "upsert").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path))
