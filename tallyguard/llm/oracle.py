@@ -25,7 +25,8 @@ _MEASURES = rf"""
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
              len(lines) AS n_lines, length(t) AS n_chars_all,
-             len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper
+             len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
+             len(list_filter(range(1, len(w)), lambda i: w[i + 1] = w[i])) AS n_stutters
       FROM base b LEFT JOIN covered c ON b.doc_id = c.doc_id),
     ledger AS (
       SELECT *, CAST(
@@ -34,7 +35,8 @@ _MEASURES = rf"""
              + 4 * (word_chars < 3 * n_words)::INT + 8 * (word_chars > 12 * n_words)::INT
              + 16 * (10 * n_symbols > n_words)::INT
              + 32 * (100 * n_dup_lines > 35 * n_lines)::INT
-             + 64 * (100 * n_upper > 30 * n_chars_all)::INT AS BIGINT) AS failed_bits
+             + 64 * (100 * n_upper > 30 * n_chars_all)::INT
+             + 128 * (100 * n_stutters > 20 * n_words)::INT AS BIGINT) AS failed_bits
       FROM measured)
 """
 
@@ -81,3 +83,25 @@ _LEAKS = f"""
 
 ORACLE["op2_decontaminate"] = _LEAKS.replace("{docs}", "documents") + """
     SELECT doc_id, item_id, shared, item_shingles FROM leaks"""
+
+_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz')")
+
+ORACLE["op8_neardup"] = rf"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (
+      SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 3), ' ') AS s FROM (
+        SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+      JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id
+      HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+    reach AS (
+      SELECT doc_id, doc_id AS other FROM documents
+      UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN component c ON c.doc_id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id"""

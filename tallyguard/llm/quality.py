@@ -33,12 +33,13 @@ def _rules() -> dict[str, Column]:
         "symbols": 10 * c("n_symbols") > c("n_words"),
         "duplicate_lines": 100 * c("n_dup_lines") > 35 * c("n_lines"),
         "shouting": 100 * c("n_upper") > 30 * c("n_chars_all"),
+        "stuttering": 100 * c("n_stutters") > 20 * c("n_words"),
     }
 
 
 #: In bit order; bits are never reused, so old ledgers stay readable.
 RULE_NAMES = ("few_words", "repeated_windows", "short_words", "long_words", "symbols",
-              "duplicate_lines", "shouting")
+              "duplicate_lines", "shouting", "stuttering")
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
-STRICT = Policy("web", 2, RULE_NAMES)
+STRICT = Policy("web", 3, RULE_NAMES)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -87,7 +88,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length("t").cast("long").alias("n_chars_all"),
-        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"))
+        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.size(F.filter("h", lambda x, i: x == F.get(F.col("h"), i - 1))).cast("long")
+        .alias("n_stutters"))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

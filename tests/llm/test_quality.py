@@ -31,11 +31,13 @@ def texts():
 def test_measures(spark):
     rows = [(i if i % 9 else None, t, "q") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
-    got = quality.ledger(docs).select("row.text", *[
+    got = quality.ledger(docs).select("row.text", "n_stutters", *[
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert tuple(r)[1:] == brute(r.text), r.text
+        assert tuple(r)[2:] == brute(r.text), r.text
+        w = WORD.findall(r.text or "")
+        assert r.n_stutters == sum(a == b for a, b in zip(w, w[1:]))
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert {r.text for r in kept.collect()} <= {t for _, t, _ in rows}
