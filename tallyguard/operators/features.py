@@ -48,7 +48,7 @@ def with_zscore(invoices: DataFrame, over: DataFrame | None = None) -> DataFrame
     """
     stats = vendor_stats(invoices if over is None else over)
     z = F.abs(F.col("amount") - F.col("vendor_mean")) / safe_std(F.col("vendor_sd"))
-    return join_per_key(invoices, stats, "vendor", "invoice_id").withColumn("amount_zscore", z)
+    return join_per_key(invoices, stats, "vendor", "invoice_id", count="vendor_n").withColumn("amount_zscore", z)
 
 
 def _bounds(df: DataFrame, *names: str) -> Column:
@@ -114,7 +114,7 @@ def incremental_features(incoming: DataFrame, history: DataFrame | Statistics) -
     Values are rounded to four decimals.
     """
     stats = history if isinstance(history, Statistics) else history_statistics(history)
-    rows = join_per_key(incoming, stats.vendors, "vendor", "invoice_id")
+    rows = join_per_key(incoming, stats.vendors, "vendor", "invoice_id", count="vendor_n")
     rows = once(rows, _b=stats.bounds, _all=stats.overall)
     own = F.col("vendor_n") >= 2
     mean = F.when(own, F.col("vendor_mean")).otherwise(F.col("_all")[0])

@@ -53,11 +53,12 @@ def submission_outcomes(submissions: DataFrame) -> DataFrame:
     """Adds ``queue_id``, ``was_new`` and the ``status`` each submission returned."""
     keyed = submissions.withColumn("queue_id", queue_key())
     first = keyed.groupBy("queue_id").agg(
-        F.min("seq").alias("_first_seq"), F.min_by("route", "seq").alias("_first_route"))
-    return (join_per_key(keyed, first, "queue_id", "seq", "inner")
+        F.min("seq").alias("_first_seq"), F.min_by("route", "seq").alias("_first_route"),
+        F.count(F.lit(1)).alias("_n"))
+    return (join_per_key(keyed, first, "queue_id", "seq", "inner", count="_n")
             .withColumn("was_new", F.col("seq") == F.col("_first_seq"))
             .withColumn("status", first_status(F.col("_first_route")))
-            .drop("_first_seq", "_first_route"))
+            .drop("_first_seq", "_first_route", "_n"))
 
 
 def intake_events(submissions: DataFrame) -> DataFrame:
