@@ -23,6 +23,7 @@ invoice id.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -424,8 +425,18 @@ def pair_scores(pairs: DataFrame) -> DataFrame:
                     "score"))
 
 
-def vendor_links(vendors: DataFrame, min_ratio: float) -> DataFrame:
-    """Ordered pairs (a, b, v) of normalised names with name ratio >= ``min_ratio``.
+def edit_ratio(a: str, b: str) -> Column:
+    return sim.name_edit_ratio(F.col(a), F.col(b))
+
+
+def vendor_links(vendors: DataFrame, min_ratio: float,
+                 measure: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Ordered pairs (a, b, v) of normalised names with ``measure`` >= ``min_ratio``.
+
+    The measure is the matching-blocks ratio, or the edit ratio (:func:`edit_ratio`),
+    which stays in built-in functions; the bounds below hold for both, since an edit
+    distance of d leaves at least the longer name's length less d letters matched in at
+    most d + 1 runs.
 
     Candidates come from a lossless prefix filter. A ratio r over lengths m, n
     leaves u = (1 - r)(m + n) characters unmatched and so at most u + 1 matched
@@ -479,5 +490,6 @@ def vendor_links(vendors: DataFrame, min_ratio: float) -> DataFrame:
         loose_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     la, lb = F.length("a"), F.length("b")
     possible = both.where(2.0 * F.least(la, lb) >= (la + lb) * min_ratio - 1e-9)
-    kept = possible.withColumn("v", sim.name_ratio("a", "b")).where(F.col("v") >= min_ratio)
+    measure = measure or sim.name_ratio
+    kept = possible.withColumn("v", measure("a", "b")).where(F.col("v") >= min_ratio)
     return kept.withMetadata("v", {"min_ratio": min_ratio})

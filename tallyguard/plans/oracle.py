@@ -432,6 +432,27 @@ _MATCH = f"""{_r('coalesce(s, 0.0)')} AS score, m AS matched_invoice_id,
        coalesce(s, 0.0) >= 0.95 AS is_confirmed"""
 _q("closest_match", f"SELECT invoice_id, {_MATCH} FROM invoices LEFT JOIN closest ON id = invoice_id")
 _q("duplicate_screen", f"SELECT id AS invoice_id, {_MATCH} FROM screened")
+_step("respelled", """
+SELECT * REPLACE (CASE WHEN order_key % 3 = 0 THEN name[1:11] || 'z' ELSE name END AS vendor)
+FROM (SELECT *, translate(md5(invoice_id[14:19])[1:12], '0123456789', 'ghijklmnop') AS name
+      FROM invoices)""")
+_step("spellings", """
+SELECT a.vendor AS a, b.vendor AS b, 1.0::double - levenshtein(a.vendor, b.vendor)
+         / greatest(length(a.vendor), length(b.vendor))::double AS v
+FROM (SELECT DISTINCT vendor FROM respelled) a, (SELECT DISTINCT vendor FROM respelled) b""")
+_q("duplicate_screen_fuzzy", f"""
+SELECT id AS invoice_id, {_r('max(s)')} AS score, arg_min(m, (-s, m)) AS matched_invoice_id,
+       {_r('arg_min(v, (-s, m))')} AS vendor_similarity, arg_min(m_vendor, (-s, m)) AS matched_vendor,
+       arg_min(days, (-s, m)) AS days_apart
+FROM (SELECT *, v * (0.75::double * amt + 0.25::double * prox) AS s FROM (
+  SELECT x.invoice_id AS id, y.invoice_id AS m, y.vendor AS m_vendor, v,
+         abs(x.posting_date - y.posting_date) AS days,
+         greatest(0.0::double, 1.0 - (abs(x.amount - y.amount)
+           / greatest(abs(x.amount), abs(y.amount), 1.0)) / 0.1::double) AS amt,
+         greatest(0.0::double, 1.0 - abs(x.posting_date - y.posting_date) / 90.0::double) AS prox
+  FROM respelled x JOIN spellings ON a = x.vendor AND v >= 0.8
+  JOIN respelled y ON y.vendor = b AND y.invoice_id <> x.invoice_id))
+WHERE s >= 0.8 GROUP BY id""")
 _q("top_duplicates", f"""
 SELECT invoice_id, match_id AS duplicate_match_id, dscore AS duplicate_score,
        row_number() OVER (ORDER BY dscore DESC, invoice_id) AS position

@@ -194,6 +194,20 @@ def duplicate_screen(spark, d):
     return found.where(duplicates.is_near(F.col("match"))).select(*_match_columns())
 
 
+@register
+def duplicate_screen_fuzzy(spark, d):
+    """The screen across spellings: names linked by edit ratio, down to the screen's score."""
+    rows = td.respelled(spark, d)
+    links = materialize(duplicates.vendor_links(
+        rows.select("vendor").distinct(), P.NEAR_DUPLICATE, duplicates.edit_ratio), "vendor-links")
+    found = duplicates.closest_matches(rows, min_score=P.NEAR_DUPLICATE, links=links)
+    m = F.col("match")
+    return found.where(duplicates.is_near(m)).select(
+        "invoice_id", r6(m["score"]).alias("score"), m["matched_invoice_id"].alias("matched_invoice_id"),
+        r6(m["vendor_similarity"]).alias("vendor_similarity"), m["matched_vendor"].alias("matched_vendor"),
+        m["days_apart"].alias("days_apart"))
+
+
 @register
 def top_duplicates(spark, d):
     found = frames.matched(spark, d).where(F.col("duplicate_score") >= P.NEAR_DUPLICATE)

@@ -175,3 +175,12 @@ def workflow_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "invoice_id", seq.alias("seq"), F.when(submitted, "submit").otherwise("action").alias("kind"),
         F.when(submitted, route).alias("route"), F.when(~submitted, F.col("action")).alias("action"),
         "actor")
+
+
+def respelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices whose vendors have names of twelve letters, every third with a slip in the last."""
+    key = F.substring(F.split("invoice_id", "-")[2], 1, 6)
+    name = F.translate(F.substring(F.md5(key), 1, 12), "0123456789", "ghijklmnop")
+    slip = F.concat(F.substring(name, 1, 11), F.lit("z"))
+    return invoices(spark, sf_dir).withColumn(
+        "vendor", F.when(F.col("order_key") % 3 == 0, slip).otherwise(name))
