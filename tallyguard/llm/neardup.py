@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from tallyguard.llm.components import components
 from tallyguard.llm.decontaminate import if_small
+from tallyguard.llm.tables import Tables
 from tallyguard.llm.text import in_pieces, or_empty, packed
-from tallyguard.session import materialize
 
 SHINGLE = 3
 PERCENT = 85
@@ -228,15 +228,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         _linked, "a long, b long")
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
+def prefixes(texts: DataFrame, tables: Tables) -> DataFrame:
     """(token, node, n, pos, rare): the rarest shingles of each set, as many as can matter.
 
     Of two linked sets each shares at least 85 % of itself with the other, so the first
     n - ceil(0.85 n) + 1 in any common order hold a shared one. ``rare`` counts those
     that nothing else has.
     """
-    tokens = materialize(texts.mapInArrow(_tokens, "node long, token long"), "near-tokens")
-    df = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "near-df")
+    tokens = tables.put(texts.mapInArrow(_tokens, "node long, token long"), "near-tokens")
+    df = tables.put(tokens.groupBy("token").agg(F.count("*").alias("df")), "near-df")
     own = W.partitionBy("node")
     rows = tokens.join(df, "token").select(
         "token", "node", "df", F.count("*").over(own).alias("n"),
@@ -246,20 +246,20 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return rows.where(short & (F.col("df") > 1)).drop("df")
 
 
-def _dense_links(texts: DataFrame, links: DataFrame) -> DataFrame:
+def _dense_links(texts: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
     """All links among the classes of ``texts`` that components need."""
-    pref = materialize(prefixes(texts), "near-prefixes")
-    centre = materialize(pref.groupBy("token").agg(
+    pref = tables.put(prefixes(texts, tables), "near-prefixes")
+    centre = tables.put(pref.groupBy("token").agg(
         F.min_by("node", F.struct("rare", "node")).alias("c")), "near-centres")
     star = (pref.join(centre, "token").where("node <> c")
             .select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct())
-    first = materialize(verified(star, texts), "near-stars")
-    labels = components(links.union(first))
+    first = tables.put(verified(star, texts), "near-stars")
+    labels = components(links.union(first), tables)
     rest = (pref.join(labels, "node", "left")
             .select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label")))
     rest = (rest.repartition(F.col("token")).sortWithinPartitions("token")
             .mapInArrow(_apart, "a long, b long").distinct())
-    return first.union(materialize(verified(rest, texts), "near-rest"))
+    return first.union(tables.put(verified(rest, texts), "near-rest"))
 
 
 def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -268,6 +268,7 @@ def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     ``label`` is the smallest node of the component; a node is the smallest id among
     exact copies. Texts are shuffled only for classes with a candidate.
     """
+    tables = Tables(docs.sparkSession)
     source = packed(docs).select(
         or_empty(F.col("row")[text]).alias("t"),
         F.struct(*[F.col("row")[c].alias(c) for c in carry or docs.columns]).alias("row"),
@@ -276,9 +277,9 @@ def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     kinds = T.StructType(source.schema.fields[1:]).add("n", T.LongType()).add(
         "sig", T.ArrayType(T.LongType()))
     signed = source.mapInArrow(_sign, kinds)
-    signed = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "near-signed")
+    signed = tables.put(signed.withColumn("rid", F.monotonically_increasing_id()), "near-signed")
     lost = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 2)
-    nodes = materialize(
+    nodes = tables.put(
         signed.where("n > 0").groupBy("digest").agg(
             F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         .select("digest", F.coalesce("node", lost).alias("node"), "n", "sig"), "near-nodes")
@@ -287,23 +288,24 @@ def classes(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
             F.sequence(i + 1, F.lit(COLLECTIONS - 1)),
             lambda j: F.xxhash64(i, j, F.col("sig")[i], F.col("sig")[j]))))
     keyed = nodes.select(F.explode(tensor).alias("key"), "node", "n")
-    found = materialize(
+    found = tables.put(
         keyed.repartition(F.col("key")).sortWithinPartitions("key")
         .mapInArrow(_few, "a long, b long").distinct(), "near-candidates")
     pairs, many = found.where("b >= 0"), found.where("b < 0").select(F.col("a").alias("node"))
-    wanted = materialize(
+    wanted = tables.put(
         pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(many).distinct()
         .join(nodes.select("node", "digest"), "node"), "near-wanted")
-    texts = materialize(
+    texts = tables.put(
         source.select("t", "digest").join(if_small(wanted), "digest")
         .dropDuplicates(["digest"]).select("node", "t"), "near-texts")
-    links = materialize(verified(pairs, texts), "near-links")
+    links = tables.put(verified(pairs, texts), "near-links")
     dense = texts.join(many, "node", "left_semi")
     if not many.isEmpty():
-        links = links.union(_dense_links(dense, links))
-    labels = components(links)
-    named = materialize(nodes.select("digest", "node").join(labels, "node", "left").select(
+        links = links.union(_dense_links(dense, links, tables))
+    labels = components(links, tables)
+    named = tables.put(nodes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("label", "node").alias("label")), "near-labels")
+    tables.drop_all_but(signed, named)
     return signed.select("row", "rid", "doc_id", "n", "digest").join(named, "digest", "left")
 
 
