@@ -1,13 +1,15 @@
 """Personal data: pattern spans, then terms that give a protected value away.
 
 Base spans (e-mail, ip, card, phone) are protected values. Corpus co-occurrence says
-how much a word near a value reveals it: with n contexts of the value, n' of them with
-the word, df documents with the word and N documents, the word's pointwise mutual
-information log(n' N / (n df)) is set against the value's own information log(N / n).
-Their ratio is the share of the value that the word discloses. At ``GENERALISE`` or
-more a word is generalised, at ``REMOVE`` or more removed, in the documents that hold
-the value. Contexts are counted as distinct texts, so copies of one document are one
-context, and fewer than ``SUPPORT`` contexts prove nothing.
+how much a word of a text, near the value or not, reveals it: with n texts that hold the
+value, df texts with the word, n' of them with the value too, and N texts in all, the
+word's pointwise mutual information log(n' N / (n df)) is set against the value's own
+information log(N / n). Their ratio is the share of the value that the word discloses. Few
+texts prove little: n' / df enters as the lower end of its Wilson interval, so no count is
+too small to be scored but small counts score low. At ``GENERALISE`` or more a word is
+generalised, at ``REMOVE`` or more removed, in the documents that hold the value. A word
+is a run of letters outside e-mail addresses, in lower case. Copies of a text count once
+in n and n'.
 
 A null text is read as empty and has no spans. Spans are in code points, end
 exclusive. Identical texts get identical spans; rows are never merged or dropped.
@@ -31,9 +33,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"\p{L}{4,}"
-NEAR = 120
-SUPPORT = 3
+TERM = r"\p{L}+"
+#: Normal deviate of the interval (95 %).
+SURE = 1.96
 GENERALISE, REMOVE = 0.75, 0.9
 BLOCK = 256
 SALTS = 8
@@ -110,52 +112,57 @@ def valid(kind: str, value: Column) -> Column:
 
 def base_spans(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (the input row, or its columns ``carry``), ``t``, per kind an array of valid
-    (s, e, v), and ``near``: the contexts. One pass without a shuffle.
+    (s, e, v), and ``held``: the distinct values. One pass without a shuffle.
     """
     df = packed(docs).select(
         F.struct(*[F.col("row")[c].alias(c) for c in carry or docs.columns]).alias("row"),
         or_empty(F.col("row")[text]).alias("t"))
-    near = []
+    held = []
     for kind, pattern in PATTERNS.items():
         df = located(df, "t", pattern, kind, F.contains("t", F.lit(NEEDS[kind])))
-        found, pieces = F.col(kind), F.col(f"{kind}_p")
-        sides = F.transform(found, lambda m, i: F.struct(
-            F.concat(F.lit(f"{kind}:"), F.lower(m["v"])).alias("value"),  # noqa: B023
-            F.concat_ws(" ", F.right(pieces[i], F.lit(NEAR)),  # noqa: B023
-                        F.left(pieces[i + 1], F.lit(NEAR))).alias("context"),  # noqa: B023
-            valid(kind, m["v"]).alias("ok")))  # noqa: B023
-        df = once(df, **{f"{kind}_n": sides})
         df = once(df, **{f"{kind}_k": F.coalesce(F.filter(
-            found, lambda m, i: F.col(f"{kind}_n")[i]["ok"]), F.array())})  # noqa: B023
-        near.append(F.coalesce(F.filter(f"{kind}_n", lambda x: x["ok"]), F.array()))
+            kind, lambda m: valid(kind, m["v"])), F.array())})  # noqa: B023
+        held.append(F.transform(f"{kind}_k", lambda m: F.concat(
+            F.lit(f"{kind}:"), F.lower(m["v"]))))  # noqa: B023
     return df.select("row", "t", *[F.col(f"{k}_k").alias(k) for k in PATTERNS],
-                     F.concat(*near).alias("near"))
+                     F.array_distinct(F.concat(*held)).alias("held"))
 
 
 def terms_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
+    """The distinct words of a text; e-mail addresses are the only values with letters."""
+    bare = F.regexp_replace(text, PATTERNS["email"], " ")
+    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), 0))
+
+
+def lower_share(k: Column, n: Column) -> Column:
+    """Lower end of the Wilson interval of the share k / n."""
+    p, z = k / n, SURE * SURE / n
+    return (p + z / 2 - SURE * F.sqrt(p * (1 - p) / n + z / (4 * n))) / (1 + z)
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, term, disclosure) of terms at or over the lower threshold.
 
-    ``found`` has (value, context), ``docs`` the texts ``t``. Shuffled are contexts of
-    personal data and, once, per-task vocabularies with counts.
+    ``found`` has (held, terms) of each distinct text with values, ``docs`` the texts ``t``.
+    Shuffled are values and terms of those texts and per-task vocabularies with counts.
     """
-    once_each = found.distinct()
-    values = once_each.groupBy("value").agg(F.count("*").alias("n"))
-    pairs = (once_each.select("value", F.explode(F.array_distinct(terms_of(F.col("context"))))
-                              .alias("term"))
-             .groupBy("value", "term").agg(F.count("*").alias("both"))
-             .where(F.col("both") >= SUPPORT))
-    pairs = materialize(pairs.join(values, "value"), "pii-pairs")
-    df = (docs.select(F.explode(F.array_distinct(terms_of(F.col("t")))).alias("term"))
+    pairs = found.select(F.explode("held").alias("value"), "terms")
+    values = pairs.groupBy("value").agg(F.count("*").alias("n"))
+    pairs = (pairs.select("value", F.explode("terms").alias("term"))
+             .groupBy("value", "term").agg(F.count("*").alias("both")))
+    df = (docs.select(F.explode(terms_of(F.col("t"))).alias("term"))
           .groupBy("term").agg(F.count("*").alias("df")))
     total = docs.agg(F.count("*").alias("total"))
-    scored = pairs.join(df, "term").crossJoin(F.broadcast(total))
-    pmi = F.log(F.col("both") * F.col("total") / (F.col("n") * F.greatest("df", "both")))
     own = F.log(F.col("total") / F.col("n"))
-    return (scored.withColumn("disclosure", F.when(own > 0, pmi / own))
+
+    def disclosure(of: Column) -> Column:
+        return F.when(own > 0, 1 + F.log(lower_share(F.col("both"), of)) / own)
+
+    # No word is in fewer texts than the pair is, so this loses none.
+    pairs = pairs.join(values, "value").crossJoin(F.broadcast(total)).where(
+        disclosure(F.col("both")) >= GENERALISE)
+    return (pairs.join(df, "term")
+            .withColumn("disclosure", disclosure(F.greatest("df", "both")))
             .where(F.col("disclosure") >= GENERALISE)
             .select("value", "term", "disclosure"))
 
@@ -169,15 +176,16 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     """
     base = base_spans(docs, text, carry)
     key = F.md5("t")
+    holds = F.size("held") > 0
     light = materialize(base.select(
-        "row", *PATTERNS, "near",
-        F.when(F.size("near") > 0, key).alias("digest")), "pii-base")
-    holds = light.where(F.size("near") > 0)
-    found = holds.select(F.explode("near").alias("x")).select("x.value", "x.context")
+        "row", *PATTERNS, "held", F.when(holds, terms_of(F.col("t"))).alias("words"),
+        F.when(holds, key).alias("digest")), "pii-base")
+    found = (light.where(holds).select("digest", "held", F.col("words").alias("terms"))
+             .dropDuplicates(["digest"]))
     texts = packed(docs).select(or_empty(F.col("row")[text]).alias("t"))
     flagged = materialize(disclosing(found, texts), "pii-flagged")
     # Which terms to look for in which text.
-    wanted = (holds.select("digest", F.explode("near.value").alias("value")).distinct()
+    wanted = (found.select("digest", F.explode("held").alias("value"))
               .join(flagged, "value").groupBy("digest", "term")
               .agg(F.max("disclosure").alias("disclosure"))
               .groupBy("digest").agg(F.map_from_entries(
@@ -195,7 +203,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
     # A document without personal data has a key of its own that matches nothing.
-    left = light.withColumn("salt", salt).withColumn(
+    left = light.drop("held", "words").withColumn("salt", salt).withColumn(
         "digest", F.coalesce("digest", F.xxhash64("row").cast("string")))
     return (left.join(spans, ["digest", "salt"], "left")
             .select("row", *PATTERNS, F.coalesce("terms", F.array()).alias("terms")))

@@ -75,3 +75,16 @@ def test_terms(spark):
     assert "zanzibar" not in clean[101].text and "[email]" in clean[101].text
     assert list(clean[0].asDict()) == docs.columns
     assert pii.report(docs.limit(0)).collect() == []
+
+
+def fillers(n):
+    return [(i, f"plain filler text number{chr(97 + i % 26)}{chr(97 + i // 26)} about nothing") for i in range(n)]
+
+
+def test_terms_anywhere_in_few_texts(spark):
+    """A short name in the heading of two texts, far from the value that it gives away."""
+    rest = "about nothing plain text " * 12
+    rows = fillers(400) + [(500 + i, f"Ann Li\n{'xyz'[i] * 4} {rest} text a@b.org about") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.row.doc_id: {m.v for m in r.terms} for r in pii.scan(docs).collect() if r.terms}
+    assert got == {500: {"Ann", "Li"}, 501: {"Ann", "Li"}}
