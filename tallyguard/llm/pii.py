@@ -9,7 +9,7 @@ texts prove little: n' / df enters as the lower end of its Wilson interval, so n
 too small to be scored but small counts score low. At ``GENERALISE`` or more a word is
 generalised, at ``REMOVE`` or more removed, in the documents that hold the value. A word
 is a run of letters outside e-mail addresses, in lower case. Copies of a text count once
-in n and n'.
+in all of n, n', df and N.
 
 A null text is read as empty and has no spans. Spans are in code points, end
 exclusive. Identical texts get identical spans; rows are never merged or dropped.
@@ -143,8 +143,8 @@ def lower_share(k: Column, n: Column) -> Column:
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, term, disclosure) of terms at or over the lower threshold.
 
-    ``found`` has (held, terms) of each distinct text with values, ``docs`` the texts ``t``.
-    Shuffled are values and terms of those texts and per-task vocabularies with counts.
+    ``found`` has (held, terms) of each distinct text with values, ``docs`` the distinct
+    texts ``t``. Shuffled are values and terms of those texts and per-task vocabularies with counts.
     """
     pairs = found.select(F.explode("held").alias("value"), "terms")
     values = pairs.groupBy("value").agg(F.count("*").alias("n"))
@@ -182,15 +182,16 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
         F.when(holds, key).alias("digest")), "pii-base")
     found = (light.where(holds).select("digest", "held", F.col("words").alias("terms"))
              .dropDuplicates(["digest"]))
-    texts = packed(docs).select(or_empty(F.col("row")[text]).alias("t"))
-    flagged = materialize(disclosing(found, texts), "pii-flagged")
+    texts = (packed(docs).select(or_empty(F.col("row")[text]).alias("t"))
+             .withColumn("digest", key))
+    flagged = materialize(disclosing(found, texts.dropDuplicates(["digest"])), "pii-flagged")
     # Which terms to look for in which text.
     wanted = (found.select("digest", F.explode("held").alias("value"))
               .join(flagged, "value").groupBy("digest", "term")
               .agg(F.max("disclosure").alias("disclosure"))
               .groupBy("digest").agg(F.map_from_entries(
                   F.collect_list(F.struct("term", "disclosure"))).alias("wanted")))
-    again = (texts.withColumn("digest", key).join(wanted, "digest")
+    again = (texts.join(wanted, "digest")
              .dropDuplicates(["digest"]))
     again = located(again, "t", TERM, "hits", F.lit(True))
     action = lambda m: F.when(

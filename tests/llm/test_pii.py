@@ -88,3 +88,12 @@ def test_terms_anywhere_in_few_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.row.doc_id: {m.v for m in r.terms} for r in pii.scan(docs).collect() if r.terms}
     assert got == {500: {"Ann", "Li"}, 501: {"Ann", "Li"}}
+
+
+def test_copies_hide_nothing(spark):
+    rows = fillers(400) + [(500 + i, f"Ann {'xyz'[i] * 4} text a@b.org about") for i in range(3)]
+    copies = [(1000 + i, rows[-1][1]) for i in range(300)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    got = {r.row.doc_id: {m.v for m in r.terms} for r in pii.scan(docs).collect() if r.terms}
+    assert set(got) == {500, 501, 502, *range(1000, 1300)}
+    assert all(words == {"Ann"} for words in got.values())
