@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import decontaminate, lines, lm, mixing, neardup, pii, quality, secrets, urls, warc
+from tallyguard.llm import bpe, decontaminate, lines, lm, mixing, neardup, pii, quality, secrets, urls, warc
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -54,6 +55,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.from_file(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.report(table(spark, sf_dir, "documents"), vocabulary)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_secrets, op2_decontaminate, op3_lm, op4_mixing, op5_lines, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc)}
+        op1_secrets, op2_decontaminate, op3_lm, op4_mixing, op5_lines, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc,
+        op11_bpe)}
