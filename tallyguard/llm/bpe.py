@@ -21,13 +21,13 @@ by piece so that their pre-tokens are not held at once.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache, partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from tallyguard.llm.text import in_pieces
 
-#: Pre-tokens remembered per task, and the longest that is worth it.
-MEMO, MEMO_CHARS = 400_000, 64
+#: Pre-tokens a worker remembers (about 150 bytes each), and the longest that is worth it.
+MEMO, MEMO_CHARS = 800_000, 64
 #: Texts from this many characters on are matched one pre-token at a time.
 LONG_TEXT = 1 << 20
 
@@ -112,6 +112,7 @@ class Vocabulary:
     _keys: list[bytes] = field(init=False)
     _ids: list[int] = field(init=False)
     longest: int = field(init=False)
+    fingerprint: str = field(init=False)
 
     def __post_init__(self):
         if len(set(self.ranks.values())) != len(self.ranks):
@@ -126,6 +127,8 @@ class Vocabulary:
             slot = self._slots.slot(key)
             self._keys[slot], self._ids[slot] = key, rank
         self.longest = max(map(len, self.ranks))
+        said = repr((sorted(self.ranks.items()), self.pattern)).encode()
+        self.fingerprint = hashlib.sha256(said).hexdigest()
         self._stand_ins = stand_ins()
         least = chr(min(self._stand_ins, default=0x10FFFF))
         self._strange = re.compile(f"[{least}-\U0010ffff]")
@@ -144,7 +147,7 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
         whole = self.rank(piece) if len(piece) <= self.longest else None
-        return [whole] if whole is not None else merged(piece, self.ranks, self.longest)
+        return [whole] if whole is not None else merged(piece, self.ranks)
 
     def pieces(self, text: str) -> Iterable[str]:
         """The pre-tokens in order."""
@@ -157,36 +160,37 @@ class Vocabulary:
         return dict(zip(self._ids, self._keys))
 
 
-def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges neighbours of lowest rank, leftmost first, until no pair is an entry.
 
     A heap entry is one number made of rank, start and end of the merged part, so that its
     order is the order of merging.
     """
     size = len(piece)
-    base = size + 1
-    stop = list(range(1, base))             # where the part that starts here ends; 0: no start
-    before = list(range(-1, size))          # start of the part before
-    rank = ranks.get
-    heap = [(r * base + i) * base + i + 2 for i in range(size - 1)
+    bits = size.bit_length()
+    low, high = (1 << bits) - 1, 2 * bits
+    stop = [*range(1, size + 1), 0]         # where the part that starts here ends; 0: no start
+    before = [-1, *range(size)]             # start of the part before
+    rank, push, pop = ranks.get, heapq.heappush, heapq.heappop
+    heap = [r << high | i << bits | i + 2 for i in range(size - 1)
             if (r := rank(piece[i:i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        entry, end = divmod(heapq.heappop(heap), base)
-        start = entry % base
+        entry = pop(heap)
+        start, end = entry >> bits & low, entry & low
         middle = stop[start]
-        if not middle or middle >= size or stop[middle] != end:
+        if not middle or stop[middle] != end:
             continue                        # one of the two was merged since
         stop[start], stop[middle] = end, 0
         if end < size:
             before[end] = start
             after = stop[end]
-            if after - start <= longest and (r := rank(piece[start:after])) is not None:
-                heapq.heappush(heap, (r * base + start) * base + after)
+            if (r := rank(piece[start:after])) is not None:
+                push(heap, r << high | start << bits | after)
         if start:
             left = before[start]
-            if end - left <= longest and (r := rank(piece[left:end])) is not None:
-                heapq.heappush(heap, (r * base + left) * base + end)
+            if (r := rank(piece[left:end])) is not None:
+                push(heap, r << high | left << bits | end)
     ids, start = [], 0
     while start < size:
         ids.append(ranks[piece[start:stop[start]]])
@@ -195,31 +199,46 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 
 
 class _Memo(dict):
-    """Ids of the pre-tokens met lately; bounded."""
+    """Packed ids of the pre-tokens met lately, in two generations.
+
+    When the younger one is full it becomes the older one; what is met again comes back.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.vocabulary.encode_piece(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
 
 
+#: What this worker remembers of the vocabulary it used last; its next task goes on with it.
+_LAST: list[_Memo] = []
+
+
+def _memo(vocabulary: Vocabulary) -> _Memo:
+    if not _LAST or _LAST[0].vocabulary.fingerprint != vocabulary.fingerprint:
+        _LAST[:] = [_Memo(vocabulary)]
+    return _LAST[0]
+
+
 def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    memo = _Memo(vocabulary)
+    memo = _memo(vocabulary)
     for batch in in_pieces(batches):
-        ids, ends = array("i"), [0]
-        for text in batch.column(1):
-            ids.extend(chain.from_iterable(map(memo.__getitem__, vocabulary.pieces(text.as_py() or ""))))
-            ends.append(len(ids))
+        texts = [b"".join(map(memo.__getitem__, vocabulary.pieces(text.as_py() or "")))
+                 for text in batch.column(1)]
+        ends = np.cumsum([0, *map(len, texts)]) // array("i").itemsize
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))],
+                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(texts), dtype=np.int32)))],
             ["doc_id", "ids"])
 
 
@@ -228,8 +247,8 @@ def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            texts = [None if ids is None else b"".join(map(token.__getitem__, ids))
-                     for ids in part.column(1).to_pylist()]
+            texts = [b"".join(map(token.__getitem__, ids.values.to_numpy().tolist()))
+                     if ids.is_valid else None for ids in part.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -80,6 +80,18 @@ def test_long_pieces_take_no_square(vocabulary, library):
         assert ids(vocabulary, text) == library.encode_ordinary(text)
 
 
+def test_memory_of_pieces_is_bounded(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 8)
+    memo = bpe._memo(vocabulary)
+    memo.clear()
+    for text in ("the cat", " sat on", "the mat", "x" * 70) * 5 + tuple(map(str, range(100, 130))):
+        got = b"".join(memo[p] for p in vocabulary.pieces(text))
+        assert list(memoryview(got).cast("i")) == library.encode_ordinary(text)
+        assert len(memo) <= 4 and len(memo.older) <= 4
+    other = bpe.Vocabulary(SMALL, public_tokenizers.PATTERN)
+    assert bpe._memo(vocabulary) is memo and bpe._memo(other) is not memo
+
+
 def test_vocabulary_is_checked():
     for ranks in ({b"a": 1}, SMALL | {b"x y": 0}, SMALL | {b"": 999}):
         with pytest.raises(ValueError):
