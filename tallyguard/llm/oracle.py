@@ -105,3 +105,68 @@ ORACLE["op8_neardup"] = rf"""
     component AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
     FROM documents d JOIN component c ON c.doc_id = d.doc_id LEFT JOIN size s ON s.doc_id = d.doc_id"""
+
+ORACLE["op12_phrases"] = rf"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (
+      SELECT lang, k, array_to_string(list_slice(w, i + 1, i + k), ' ') AS phrase FROM (
+        SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS i
+        FROM worded, (VALUES (1), (2), (3)) AS orders(k) WHERE len(w) >= k)),
+    counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+    words AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+    often AS (
+      SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE f >= 10),
+    cuts AS (
+      SELECT c.lang, c.phrase, c.f AS a, x.k AS cut, l.f AS l, r.f AS r,
+             (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+      FROM often c JOIN (VALUES (1), (2)) AS x(k) ON x.k < c.k
+      JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, x.k), ' ')
+      JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, x.k + 1, c.k), ' ')),
+    worst AS (
+      SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM cuts)
+      WHERE i = 1),
+    inner_pairs AS (
+      SELECT lang, array_to_string(list_slice(w, i, i + 1), ' ') AS phrase, f
+      FROM often, (VALUES (1), (2)) AS s(i) WHERE k = 3),
+    covered AS (SELECT lang, phrase, max(f) AS longer FROM inner_pairs GROUP BY lang, phrase),
+    ranked AS (
+      SELECT c.*, row_number() OVER (
+               PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank
+      FROM worst c LEFT JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase
+      WHERE v.longer IS NULL OR 100 * v.longer < 50 * c.a)
+    SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+    FROM ranked r JOIN words ON words.lang = r.lang WHERE r.rank <= 2000"""
+
+_TERMS = rf"""regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE["op13_search"] = f"""
+    WITH docs AS (
+      SELECT doc_id, row_number() OVER () AS d, {_TERMS} AS t FROM documents),
+    sized AS (SELECT doc_id, d, len(t) AS n, t FROM docs WHERE len(t) > 0),
+    whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM sized),
+    asked AS (
+      SELECT DISTINCT item_id, i, term FROM (
+        SELECT item_id, i, unnest({_TERMS}) AS term
+        FROM (SELECT *, row_number() OVER () AS i FROM benchmark))),
+    held AS (
+      SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM sized)
+      WHERE term IN (SELECT term FROM asked) GROUP BY d, term),
+    weights AS (
+      SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM held, whole GROUP BY term),
+    impacts AS (
+      SELECT held.d, held.term,
+             w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l))) AS impact
+      FROM held JOIN sized ON sized.d = held.d JOIN weights ON weights.term = held.term, whole),
+    scores AS (
+      SELECT item_id, i, d, CAST(sum(impact) AS BIGINT) AS score
+      FROM asked JOIN impacts ON impacts.term = asked.term GROUP BY item_id, i, d)
+    SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+      SELECT s.item_id, sized.doc_id, s.score,
+             row_number() OVER (PARTITION BY i ORDER BY s.score DESC, sized.doc_id) AS rank
+      FROM scores s JOIN sized ON sized.d = s.d WHERE s.score > 0)
+    WHERE rank <= 10"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm import bpe, decontaminate, lines, lm, mixing, neardup, pii, quality, secrets, urls, warc
+from tallyguard.llm import (
+    bpe, decontaminate, lines, lm, mixing, neardup, phrases, pii, quality, search, secrets, urls,
+    warc,
+)
 from tallyguard.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -61,7 +64,15 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secrets, op2_decontaminate, op3_lm, op4_mixing, op5_lines, op6_urls, op7_pii, op8_neardup, op9_quality, op10_warc,
-        op11_bpe)}
+        op11_bpe, op12_phrases, op13_search)}
