@@ -119,12 +119,16 @@ ORACLE["op12_phrases"] = rf"""
     words AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
     often AS (
       SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE f >= 10),
+    cut_at AS (
+      SELECT c.lang, c.phrase, c.f AS a, x.k AS cut,
+             array_to_string(list_slice(c.w, 1, x.k), ' ') AS p1,
+             array_to_string(list_slice(c.w, x.k + 1, c.k), ' ') AS p2
+      FROM often c, (VALUES (1), (2)) AS x(k) WHERE x.k < c.k),
     cuts AS (
-      SELECT c.lang, c.phrase, c.f AS a, x.k AS cut, l.f AS l, r.f AS r,
-             (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
-      FROM often c JOIN (VALUES (1), (2)) AS x(k) ON x.k < c.k
-      JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, x.k), ' ')
-      JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, x.k + 1, c.k), ' ')),
+      SELECT c.lang, c.phrase, a, cut, l.f AS l, r.f AS r,
+             (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+      FROM cut_at c JOIN often l ON l.lang = c.lang AND l.phrase = c.p1
+      JOIN often r ON r.lang = c.lang AND r.phrase = c.p2),
     worst AS (
       SELECT * FROM (
         SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM cuts)
