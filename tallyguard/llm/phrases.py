@@ -133,47 +133,54 @@ def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def live(run: Run, orders: int, filters: list[BitFilter]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Order by order: the positions where an n-gram starts that may be frequent, and its hash.
+
+    It passes the filter of its order, where there is one, and so do all n-grams in it.
+    """
+    tokens = run.tokens
+    seed = xxhash.xxh3_64_intdigest(run.lang.encode())
+    word = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in run.words), np.uint64, len(run.words))
+    real = np.arange(len(word)) > 0
+    if filters:
+        real &= filters[0].has(word)
+    starts, hashes = real[tokens], word[tokens]
+    yield 1, np.flatnonzero(starts), hashes
+    for order in range(2, orders + 1):
+        starts = starts[:-1] & starts[1:]
+        at = np.flatnonzero(starts)
+        longer = np.zeros(len(starts), dtype=np.uint64)
+        longer[at] = _mixed(hashes[at], word[tokens[at + order - 1]])
+        if order <= len(filters):
+            passed = filters[order - 1].has(longer[at])
+            starts[at[~passed]] = False
+            at = at[passed]
+        hashes = longer
+        yield order, at, hashes
+
+
 @dataclass
 class Grams:
-    """Distinct n-grams of one order in a run: hash, count, and where each comes first."""
+    """Distinct n-grams of one order in a run: count, and where each comes first."""
     order: int
-    hashes: np.ndarray
     counts: np.ndarray
     first: np.ndarray
 
 
 def grams(run: Run, orders: int, filters: list[BitFilter]) -> Iterator[Grams]:
-    """The n-grams of order 1 to ``orders`` that pass the filter of their order, if it has one.
+    """The n-grams of order 1 to ``orders`` that may be frequent, told apart by their words.
 
     An n-gram is numbered from the number of its beginning and its last word, so equal
-    numbers mean equal words and hashes decide nothing here.
+    numbers mean equal words and hashes decide nothing.
     """
-    tokens, total = run.tokens, len(run.words)
-    seed = xxhash.xxh3_64_intdigest(run.lang.encode())
-    word_hash = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in run.words), np.uint64, total)
-    number, live, hashes = tokens, tokens > 0, word_hash
-    for order in range(1, orders + 1):
-        size = len(tokens) - order + 1
-        if size <= 0:
-            return
-        if order > 1:
-            live = live[:size] & live[1:size + 1]
-        at = np.flatnonzero(live)
-        last = tokens[at + order - 1]
-        pairs = last if order == 1 else number[at] * total + last
-        _, first, which = np.unique(pairs, return_index=True, return_inverse=True)
-        first = at[first]
-        hashes = (word_hash[tokens[first]] if order == 1
-                  else _mixed(hashes[number[first]], word_hash[tokens[first + order - 1]]))
+    number = run.tokens
+    for order, at, _ in live(run, orders, filters):
+        codes = number[at] * len(run.words) + run.tokens[at + order - 1] if order > 1 else number[at]
+        _, first, which = np.unique(codes, return_index=True, return_inverse=True)
         counts = np.bincount(which[at + order > run.skip], minlength=len(first))
-        number = np.zeros(size, dtype=np.int64)
+        number = np.zeros(len(run.tokens), dtype=np.int64)
         number[at] = which
-        kept = counts > 0
-        if order <= len(filters):
-            passed = filters[order - 1].has(hashes)
-            live[at] = passed[which]
-            kept &= passed
-        yield Grams(order, hashes[kept], counts[kept], first[kept])
+        yield Grams(order, counts[counts > 0], at[first][counts > 0])
 
 
 def _partials(batches: Iterator[pa.RecordBatch], order: int, filters: list[BitFilter],
@@ -181,18 +188,17 @@ def _partials(batches: Iterator[pa.RecordBatch], order: int, filters: list[BitFi
     """Counts of one order per run, and before them the mass they add to each partition."""
     names = [f.split()[0] for f in _PARTIAL.split(", ")]
     for run in runs(batches, order):
-        for found in grams(run, order, filters):
-            if found.order < order:
-                continue
-            part = (found.hashes % np.uint64(parts)).astype(np.int32)
-            light = found.counts < threshold
-            mass = np.bincount(part[light], weights=found.counts[light], minlength=1)
-            heavy = np.flatnonzero(mass)
-            columns = (np.concatenate([heavy.astype(np.int32), part]),
-                       np.arange(len(heavy) + len(part)) >= len(heavy),
-                       np.concatenate([np.zeros(len(heavy), np.int64), found.hashes.view(np.int64)]),
-                       np.concatenate([mass[heavy], found.counts]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        *_, (_, at, hashes) = live(run, order, filters)
+        found, counts = np.unique(hashes[at[at + order > run.skip]], return_counts=True)
+        part = (found % np.uint64(parts)).astype(np.int32)
+        light = counts < threshold
+        mass = np.bincount(part[light], weights=counts[light], minlength=1)
+        heavy = np.flatnonzero(mass)
+        columns = (np.concatenate([heavy.astype(np.int32), part]),
+                   np.arange(len(heavy) + len(part)) >= len(heavy),
+                   np.concatenate([np.zeros(len(heavy), np.int64), found.view(np.int64)]),
+                   np.concatenate([mass[heavy], counts]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 class Summary:
