@@ -1,9 +1,8 @@
 """Similarity of two invoices.
 
 score = vendor * (0.75 * amount + 0.25 * date); the vendor term gates the rest.
-Amount and date terms are built-in expressions. The vendor term for names that
-differ after normalising has no built-in, so it is an Arrow UDF, and callers
-apply it to distinct name pairs only.
+All terms are built-in expressions. The vendor term is the edit ratio of the normalised
+names; the matching-blocks ratio stays as an optional Arrow UDF for distinct name pairs.
 """
 
 from __future__ import annotations
@@ -49,6 +48,6 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_edit_ratio(a: Column, b: Column) -> Column:
-    """Built-in alternative: 1 - edit distance over the longer length."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(F.lit(0.0))
+    """1 - edit distance over the longer length; 0 for an empty or missing name."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(shorter > 0, 1.0 - F.levenshtein(a, b) / longer).otherwise(F.lit(0.0))

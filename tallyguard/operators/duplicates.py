@@ -10,14 +10,15 @@ vendor, day or group of copies holds a large share of all rows:
   join, keeping its two first ids; a copy is answered from its own profile;
 * blocks with more than ``dense_limit`` profiles are not paired. On a fixed day
   the score only falls as the amount gap widens, so the neighbour below and the
-  neighbour above in amount order are enough: a sorted sweep per vendor and day;
-* matches more than 89 days apart score on the amount alone, so one more sweep
+  neighbour above in amount order are enough: a nearest search per vendor and day;
+* matches more than 89 days apart score on the amount alone, so one more nearest search
   over (vendor, amount) finds them without pairing dates;
 * pairs whose amounts are too far apart score on the date alone, so the nearest days
-  of the vendor before and after are enough: one sweep over distinct days.
+  of the vendor before and after are enough: a nearest search over distinct days.
 
-All four give the same answer as comparing every pair; ties go to the smallest
-invoice id.
+The last two are only run for rows whose best near match a far one could still reach. A
+nearest search works on chunks of its axis (:func:`_nearest`), so one vendor is many tasks.
+All give the same answer as comparing every pair; ties go to the smallest invoice id.
 """
 
 from __future__ import annotations
@@ -36,11 +37,15 @@ from tallyguard.functions.text import percent, vendor_key
 from tallyguard.policy import (
     AMOUNT_TOLERANCE, CONFIRMED_DUPLICATE, DATE_WINDOW_DAYS, NEAR_DUPLICATE, W_AMOUNT, W_DATE,
 )
-from tallyguard.operators.ordering import join_per_key
+from tallyguard.operators.names import LINK_RATIO, NameStore, vendor_names
+from tallyguard.operators.ordering import CHUNK, join_per_key
+from tallyguard.operators.store import Parted, near
 from tallyguard.session import materialize
 
 DEFAULT_MIN_SCORE = 0.0         # any likeness at all
 DENSE_LIMIT = 400
+AMOUNT_STEP = 0.001             # amounts have at most three decimals; a chunk counts these
+STORE_PARTS = 32
 
 _KEY = ["_vkey", "_amount", "_date", "_excl"]
 _EPOCH = "1970-01-01"
@@ -123,53 +128,108 @@ def _scored(pairs: DataFrame, blocks: _Blocks) -> DataFrame:
         F.col("c.date").alias("date"), F.col("_v").alias("v")).alias("best"))
 
 
-def _sweep(search: DataFrame, profiles: DataFrame, blocks: _Blocks, cells: list[str]) -> DataFrame:
-    """Nearest usable profile below and above each search amount, per cell.
+def _steps(rows: DataFrame, group: W, order: list[Column], side: str) -> DataFrame:
+    """Adds the last profile ``_p`` at or before each row, and the one to step back to.
 
-    A profile is stored in its own and both neighbouring amount bands, so a
-    search row sees everything within the allowed gap inside one partition.
-    Running frames keep one profile in memory however large the cell is.
+    The second one answers whoever has to skip the only id of the first: it precedes the
+    whole run of profiles that hold nothing but that id. Running frames keep one profile
+    in memory however long a group is.
     """
-    band = blocks.amount_bucket(F.col("amount"))
-    prof = F.struct("amount", "r1", "r2")
-    cand = profiles.select(
-        *cells, F.explode(F.sequence(band - 1, band + 1)).alias("_band"),
-        F.col("amount").alias("_pos"), F.lit(0).alias("_is_q"), prof.alias("_p"))
-    seek = search.select(
-        *cells, blocks.amount_bucket(F.col("_amount")).alias("_band"),
-        F.col("_amount").alias("_pos"), F.lit(1).alias("_is_q"), *_KEY, "_v")
-    rows = cand.unionByName(seek, allowMissingColumns=True)
-    group = W.partitionBy(*cells, "_band")
-    for side, pos in (("lo", F.col("_pos").asc()), ("hi", F.col("_pos").desc())):
-        order = group.orderBy(pos, F.col("_is_q").asc())
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-        rows = rows.withColumn("_prev", F.last("_p", ignorenulls=True).over(before))
-        # A run of profiles that hold nothing but one id is stepped over as a whole.
-        sole = F.when(F.col("_p.r2").isNull(), F.col("_p.r1.id"))
-        prev_sole = F.when(F.col("_prev.r2").isNull(), F.col("_prev.r1.id"))
-        head = F.col("_p").isNotNull() & ~F.coalesce(sole == prev_sole, F.lit(False))
-        rows = (rows
-                .withColumn("_alt", F.last(F.when(head, F.struct(F.col("_prev").alias("p"))),
-                                           ignorenulls=True).over(upto))
-                .withColumn("_near", F.last("_p", ignorenulls=True).over(upto)))
-        near = F.when(_pick(F.col("_near"), F.col("_excl")).isNotNull(), F.col("_near"))
-        rows = rows.withColumn(f"_{side}", F.coalesce(near, F.col("_alt.p"))).drop(
-            "_prev", "_alt", "_near")
-    found = rows.where("_is_q = 1").select(
-        *_KEY, "_v", F.explode(F.array("_lo", "_hi")).alias("_hit"))
-    pairs = found.where(F.col("_hit").isNotNull()).select(
-        *_KEY, "_v", F.col("_hit.amount").alias("c_amount"),
-        _pick(F.col("_hit"), F.col("_excl")).alias("c"))
-    return _scored(pairs, blocks)
-
-
-def _days(search: DataFrame, profiles: DataFrame, blocks: _Blocks) -> DataFrame:
-    """The vendor's nearest usable day at or before and at or after each search day.
-
-    Works on distinct days: a vendor has as many rows here as days with invoices or
-    searches, however many invoices a day holds. Each day keeps its two smallest ids.
+    ordered = group.orderBy(*order)
+    before = ordered.rowsBetween(W.unboundedPreceding, -1)
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_prev", F.last("_p", ignorenulls=True).over(before))
+    head = F.col("_p").isNotNull() & ~F.coalesce(_sole("_p") == _sole("_prev"), F.lit(False))
+    return (rows
+            .withColumn(f"_{side}", F.last("_p", ignorenulls=True).over(upto))
+            .withColumn(f"_{side}_alt", F.last(F.when(head, F.struct(F.col("_prev").alias("p"))),
+                                               ignorenulls=True).over(upto)["p"])
+            .drop("_prev"))
+
+
+def _sole(p: str) -> Column:
+    """The id of a profile that holds no other."""
+    return F.when(F.col(f"{p}.r2").isNull(), F.col(f"{p}.r1.id"))
+
+
+def _nearest(points: DataFrame, asked: DataFrame, cells: list[str], chunk: Column) -> DataFrame:
+    """Per asked position of a cell the nearest profiles at or below and at or above.
+
+    ``points`` (cells, _pos, _p) and ``asked`` (cells, _pos) each hold a position once,
+    so a cell is as long as its axis is, however many rows share a position. The axis is
+    cut into chunks of a fixed width, searched apart; of each chunk only the profiles that
+    matter beyond its ends go on to a second step over whole cells. ``_lo_alt`` and
+    ``_hi_alt`` answer whoever has to skip the only id of ``_lo`` and ``_hi``.
     """
+    every = points.withColumn("_q", F.lit(False)).unionByName(
+        asked.select(*cells, "_pos", F.lit(None).cast(points.schema["_p"].dataType).alias("_p"),
+                     F.lit(True).alias("_q")))
+    # One shuffle by chunk serves the grouping and both windows.
+    part = [*cells, "_chunk"]
+    rows = every.withColumn("_chunk", chunk).repartition(*part).groupBy(*part, "_pos").agg(
+        F.first("_p", ignorenulls=True).alias("_p"), F.bool_or("_q").alias("_q"))
+    pos = F.col("_pos")
+    ends = None
+    for side, order in (("lo", pos.asc()), ("hi", pos.desc())):
+        rows = _steps(rows, W.partitionBy(*part), [order], side)
+        last = F.max_by(F.struct(f"_{side}", f"_{side}_alt"), pos if side == "lo" else -pos)
+        end = rows.groupBy(*part).agg(last.alias("_end"))
+        # The chunk's last profile and the one before its run, in axis order.
+        two = F.array(F.struct(F.lit(0).alias("i"), F.col(f"_end._{side}_alt").alias("p")),
+                      F.struct(F.lit(1).alias("i"), F.col(f"_end._{side}").alias("p")))
+        summary = end.select(*part, F.explode(two).alias("_x")).select(
+            *part, F.col("_x.i").alias("_i"), F.col("_x.p").alias("_p"))
+        along = F.col("_chunk").asc() if side == "lo" else F.col("_chunk").desc()
+        carried = _steps(summary, W.partitionBy(*cells), [along, F.col("_i")], "c")
+        # What a chunk receives is what the chunk before it in this direction passes on.
+        passed = carried.where("_i = 1").select(
+            *part, F.lag(F.struct("_c", "_c_alt")).over(
+                W.partitionBy(*cells).orderBy(along)).alias(f"_{side}_in"))
+        ends = passed if ends is None else ends.join(passed, part)
+    rows = rows.where("_q").join(ends, part)
+    for side in ("lo", "hi"):
+        inner, alt, given = F.col(f"_{side}"), F.col(f"_{side}_alt"), F.col(f"_{side}_in")
+        skips = F.coalesce(_sole(f"_{side}") == _sole(f"_{side}_in._c"), F.lit(False))
+        beyond = F.when(skips, given["_c_alt"]).otherwise(given["_c"])
+        rows = rows.withColumn(f"_{side}_alt", F.when(inner.isNull(), given["_c_alt"]).otherwise(
+            F.coalesce(alt, beyond))).withColumn(f"_{side}", F.coalesce(inner, given["_c"]))
+    return rows.select(*cells, "_pos", "_lo", "_lo_alt", "_hi", "_hi_alt")
+
+
+def _hits(search: DataFrame, points: DataFrame, cells: list[str], pos: str, chunk: Column,
+          blocks: _Blocks, amount: Callable[[Column], Column]) -> DataFrame:
+    """Scores each search row against its nearest usable profiles on one axis."""
+    asked = search.select(*cells, F.col(pos).alias("_pos")).distinct()
+    found = _nearest(points, asked, cells, chunk).withColumnRenamed("_pos", "_at")
+    near = search.withColumn("_at", F.col(pos)).join(found, [*cells, "_at"])
+    picked = [F.struct(F.coalesce(_pick(F.col(f"_{s}"), F.col("_excl")),
+                                  _pick(F.col(f"_{s}_alt"), F.col("_excl"))).alias("c"))
+              for s in ("lo", "hi")]
+    pairs = near.select(*_KEY, "_v", F.explode(F.array(*picked)).alias("_c")).select(
+        *_KEY, "_v", F.col("_c.c").alias("c")).where("c IS NOT NULL")
+    return _scored(pairs.withColumn("c_amount", amount(F.col("c"))), blocks)
+
+
+def _with_amount(profiles: DataFrame) -> DataFrame:
+    """Profiles as ``_p`` whose two ids carry their amount."""
+    def rep(r: str) -> Column:
+        return F.when(F.col(r).isNotNull(), F.struct(
+            F.col(f"{r}.id").alias("id"), F.col(f"{r}.date").alias("date"),
+            F.col(f"{r}.vendor").alias("vendor"), F.col("amount").alias("amount")))
+
+    return profiles.withColumn("_p", F.struct(rep("r1").alias("r1"), rep("r2").alias("r2")))
+
+
+def _by_amount(profiles: DataFrame) -> DataFrame:
+    """Per vendor and amount the two smallest ids, whatever their date."""
+    reps = profiles.select("vkey", "amount", F.explode(F.array("r1", "r2")).alias("r"))
+    return _first_two(
+        reps.where("r IS NOT NULL").select("vkey", "amount", "r.id", "r.date", "r.vendor"),
+        ["vkey", "amount"])
+
+
+def _by_day(profiles: DataFrame) -> DataFrame:
+    """Per vendor and day the two smallest ids as ``_p``, with their amounts."""
     reps = profiles.where("date IS NOT NULL").select(
         "vkey", "date", "amount", F.explode(F.array("r1", "r2")).alias("r")).where("r IS NOT NULL")
     one = reps.groupBy("vkey", "date", "r.id").agg(F.min(F.struct("amount", "r.vendor")).alias("x"))
@@ -177,32 +237,7 @@ def _days(search: DataFrame, profiles: DataFrame, blocks: _Blocks) -> DataFrame:
     rep = F.struct("id", "date", F.col("x.vendor").alias("vendor"), F.col("x.amount").alias("amount"))
     two = one.withColumn("_rn", F.row_number().over(order)).where("_rn <= 2")
     filed = two.select("vkey", "date", "_rn", rep.alias("r1"), F.lead(rep).over(order).alias("r2"))
-    filed = filed.where("_rn = 1").select("vkey", F.col("date").alias("_date"),
-                                          F.struct("r1", "r2").alias("_p"))
-    asked = search.where("_date IS NOT NULL").select("vkey", "_date").distinct()
-    rows = asked.join(filed, ["vkey", "_date"], "full_outer")
-    group = W.partitionBy("vkey")
-    for side, way in (("lo", F.col("_date").asc()), ("hi", F.col("_date").desc())):
-        order = group.orderBy(way)
-        upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        rows = rows.withColumn("_prev", F.last("_p", ignorenulls=True).over(before))
-        # A run of days that hold nothing but one id is stepped over as a whole.
-        sole = F.when(F.col("_p.r2").isNull(), F.col("_p.r1.id"))
-        prev_sole = F.when(F.col("_prev.r2").isNull(), F.col("_prev.r1.id"))
-        head = F.col("_p").isNotNull() & ~F.coalesce(sole == prev_sole, F.lit(False))
-        rows = (rows.withColumn(f"_{side}", F.last("_p", ignorenulls=True).over(upto))
-                .withColumn(f"_{side}_alt", F.last(F.when(head, F.struct(F.col("_prev").alias("p"))),
-                                                   ignorenulls=True).over(upto)).drop("_prev"))
-    near = join_per_key(
-        search.where("_date IS NOT NULL"),
-        rows.select("vkey", "_date", "_lo", "_hi", F.col("_lo_alt.p").alias("_lo_alt"),
-                    F.col("_hi_alt.p").alias("_hi_alt")),
-        ["vkey", "_date"], "_amount", "inner")
-    hits = [F.coalesce(_pick(F.col(f"_{s}"), F.col("_excl")), _pick(F.col(f"_{s}_alt"), F.col("_excl")))
-            for s in ("lo", "hi")]
-    found = near.select(*_KEY, "_v", F.explode(F.array(*hits)).alias("c")).where("c IS NOT NULL")
-    return _scored(found.withColumn("c_amount", F.col("c.amount")), blocks)
+    return filed.where("_rn = 1").select("vkey", "date", F.struct("r1", "r2").alias("_p"))
 
 
 def _search_keys(
@@ -228,20 +263,63 @@ def _search_keys(
 
 @dataclass(frozen=True)
 class Filed:
-    """Invoices on file as the search reads them, written once for any number of searches."""
-    profiles: DataFrame
-    ids: DataFrame
+    """Invoices on file as the search reads them, made once for any number of searches.
+
+    As tables (:func:`file_invoices`) they are read whole; in a store (:func:`store_invoices`)
+    a search reads the parts that its vendors and amounts can meet.
+    """
+    blocks: _Blocks
+    profiles: DataFrame | Parted        # vkey, amount, date, r1, r2, _k, _h, _dense
+    by_amount: DataFrame | Parted       # vkey, amount, r1, r2, _k
+    by_day: DataFrame | Parted          # vkey, date, _p
+    ids: DataFrame | Parted             # _excl
+    names: NameStore | None = None
 
 
-def file_invoices(invoices: DataFrame) -> Filed:
+def _filed(invoices: DataFrame, blocks: _Blocks, dense_limit: int) -> Filed:
     usable = invoices.select(
         vendor_key(F.col("vendor")).alias("vkey"), "amount", F.col("posting_date").alias("date"),
         F.col("invoice_id").alias("id"), "vendor",
     ).where("vkey != '' AND amount IS NOT NULL AND NOT isnan(amount)")
     # The date is part of the key and of the representative.
-    profiles = _first_two(usable.withColumn("pdate", F.col("date")), ["vkey", "amount", "pdate"])
+    one = _first_two(usable.withColumn("pdate", F.col("date")), ["vkey", "amount", "pdate"])
+    profiles = materialize(one.withColumnRenamed("pdate", "date"), "profiles")
+    blocked = profiles.withColumns({
+        "_k": blocks.amount_bucket(F.col("amount")), "_h": blocks.date_bucket(_day(F.col("date")))})
+    block = ["vkey", "_k", "_h"]
+    dense = blocked.where("date IS NOT NULL").groupBy(*block).count().where(
+        F.col("count") > dense_limit)
+    crowded = materialize(dense.select(*block, F.lit(True).alias("_dense")), "crowded-blocks")
+    flagged = blocked.join(crowded, block, "left").withColumn(
+        "_dense", F.coalesce("_dense", F.lit(False)))
+    by_amount = _by_amount(profiles).withColumn("_k", blocks.amount_bucket(F.col("amount")))
     ids = invoices.select(F.col("invoice_id").alias("_excl")).where("_excl IS NOT NULL").distinct()
-    return Filed(materialize(profiles.withColumnRenamed("pdate", "date"), "profiles"), ids)
+    return Filed(blocks, flagged, by_amount, _by_day(profiles), ids)
+
+
+def file_invoices(invoices: DataFrame, min_score: float = DEFAULT_MIN_SCORE,
+                  dense_limit: int = DENSE_LIMIT) -> Filed:
+    """Invoices as one search reads them; their profiles are written once."""
+    return _filed(invoices, _Blocks(min_score), dense_limit)
+
+
+def store_invoices(invoices: DataFrame, parts: int = STORE_PARTS, *,
+                   min_score: float = DEFAULT_MIN_SCORE, dense_limit: int = DENSE_LIMIT,
+                   link_ratio: float | None = LINK_RATIO) -> Filed:
+    """Invoices on file in tables that are split by what a search looks them up by.
+
+    Profiles are split by vendor and amount block with a flag for crowded blocks, days by
+    vendor, ids by themselves; with ``link_ratio`` the names on file, their links and their
+    index come along, so that also arrivals under a new spelling find them.
+    """
+    plain = _filed(invoices, _Blocks(min_score), dense_limit)
+    names = None if link_ratio is None else NameStore.file(vendor_names(invoices), link_ratio, parts)
+    return Filed(
+        plain.blocks,
+        Parted.write(plain.profiles, ["vkey", "_k"], parts, "filed-profiles"),
+        Parted.write(plain.by_amount, ["vkey", "_k"], parts, "filed-amounts"),
+        Parted.write(plain.by_day, ["vkey"], parts, "filed-days"),
+        Parted.write(plain.ids, ["_excl"], parts, "filed-ids"), names)
 
 
 def closest_matches(
@@ -251,87 +329,108 @@ def closest_matches(
     min_score: float = DEFAULT_MIN_SCORE,
     links: DataFrame | None = None,
     dense_limit: int = DENSE_LIMIT,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Every row of ``queries`` with its closest match in ``history`` as ``match``.
 
     ``history`` defaults to ``queries`` itself. Both need invoice_id, vendor,
     amount and posting_date; other columns of ``queries`` pass through. Rows
-    that carry the query's own id never match it. ``links`` (see
-    :func:`vendor_links`) lets different spellings match; without it the
-    normalised names must be equal. Below ``min_score`` the match is empty.
+    that carry the query's own id never match it. ``links`` (a, b, v) tells which
+    spellings are one vendor and how alike they are (see :mod:`.names`); names without a
+    link are different vendors, and without ``links`` the normalised names must be equal.
+    A store brings its own links. Below ``min_score`` the match is empty.
 
     The profile table is read by several branches, so it is written once to the
     shared folder when this is called, or comes written as ``Filed``.
     """
-    blocks = _Blocks(min_score)
     same_table = history is None
     filed = history if isinstance(history, Filed) else file_invoices(
-        queries if same_table else history)
-    profiles = filed.profiles
+        queries if same_table else history, min_score, dense_limit)
+    blocks = filed.blocks
+    if blocks.min_score != min_score:
+        raise ValueError(f"the invoices are filed for scores from {blocks.min_score}")
 
     rows = (queries.withColumn("_vkey", vendor_key(F.col("vendor")))
             .withColumn("_amount", F.col("amount")).withColumn("_date", F.col("posting_date")))
     if same_table:
         rows = rows.withColumn("_excl", F.col("invoice_id"))
     else:
-        rows = rows.join(filed.ids, rows["invoice_id"] == filed.ids["_excl"], "left")
+        ids = near(filed.ids, queries.select(F.col("invoice_id").alias("_excl")))
+        rows = rows.join(ids, rows["invoice_id"] == ids["_excl"], "left")
     eligible = rows.where("_vkey != '' AND _amount IS NOT NULL AND NOT isnan(_amount)")
-
-    search = _search_keys(eligible, profiles, blocks, same_table)
-    if links is None:
-        search = search.withColumn("vkey", F.col("_vkey")).withColumn("_v", F.lit(1.0))
+    if links is None and filed.names is not None:
+        links = materialize(filed.names.of(
+            eligible.select(F.col("_vkey").alias("a")).distinct()), "links-met")
+
+    def named(keys: DataFrame) -> DataFrame:
+        if links is None:
+            return keys.withColumn("vkey", F.col("_vkey")).withColumn("_v", F.lit(1.0))
+        return keys.join(links.select(F.col("a").alias("_vkey"), F.col("b").alias("vkey"),
+                                      F.col("v").alias("_v")), "_vkey")
+
+    if isinstance(filed.profiles, Parted):
+        met = named(eligible.select("_vkey", "_amount")).select(
+            "vkey", F.explode(blocks.amount_buckets(F.col("_amount"))).alias("_k"))
+        profiles, by_amount = near(filed.profiles, met), near(filed.by_amount, met)
+        by_day = near(filed.by_day, met)
     else:
-        # Links know the ratio they are complete for; a lower score needs more of them.
-        built = links.schema["v"].metadata.get("min_ratio")
-        if built is not None and built > min_score:
-            raise ValueError(f"links hold ratios from {built}; min_score is {min_score}")
-        near_names = links.where(F.col("v") >= min_score).select(
-            F.col("a").alias("_vkey"), F.col("b").alias("vkey"), F.col("v").alias("_v"))
-        search = search.join(near_names, "_vkey")
-
-    # Blocks near in date: pair the sparse ones, sweep the dense ones.
-    day = _day(F.col("date"))
-    blocked = profiles.where("date IS NOT NULL").select(
-        "*", blocks.amount_bucket(F.col("amount")).alias("_k"), blocks.date_bucket(day).alias("_h"))
+        profiles, by_amount, by_day = filed.profiles, filed.by_amount, filed.by_day
+    search = named(_search_keys(eligible, profiles, blocks, same_table))
+
+    # Blocks near in date: pair the sparse ones, search the crowded ones day by day.
     block = ["vkey", "_k", "_h"]
-    dense = blocked.groupBy(*block).count().where(F.col("count") > dense_limit).drop("count")
-    any_dense = not dense.isEmpty()
-    dated = search.where("_date IS NOT NULL")
-    probes = dated.select(
+    dated = profiles.where("date IS NOT NULL")
+    sparse, dense = dated.where("NOT _dense"), dated.where("_dense")
+    probes = search.where("_date IS NOT NULL").select(
         "*", F.explode(blocks.amount_buckets(F.col("_amount"))).alias("_k")
     ).select("*", F.explode(blocks.date_buckets(_day(F.col("_date")))).alias("_h"))
-
-    sparse = blocked.join(dense, block, "left_anti") if any_dense else blocked
-    slim = probes if links is not None else probes.drop("_vkey")
-    pairs = slim.join(
+    pairs = probes.join(
         sparse.select(*block, F.col("amount").alias("c_amount"), "r1", "r2"), block)
-    if links is None:       # one name column is enough in the shuffle
-        pairs = pairs.withColumn("_vkey", F.col("vkey"))
     pairs = pairs.select(*_KEY, "_v", "c_amount", _pick(F.struct("r1", "r2"), F.col("_excl")).alias("c"))
     hits = _scored(pairs, blocks)
 
-    if any_dense:
-        dense_side = blocked.join(dense, block, "left_semi").withColumn("_cell", day)
-        # Only days that hold something are searched: at most 2 * days + 1 per row.
-        days = dense_side.select("vkey", "_h", "_cell").distinct()
-        rows_in = (probes.join(dense, block, "left_semi")
-                   .select(*_KEY, "vkey", "_v", "_h").distinct())
-        cells = join_per_key(rows_in, days, ["vkey", "_h"], "_amount", "inner").where(
-            F.abs(F.col("_cell") - _day(F.col("_date"))) <= blocks.days)
-        hits = hits.unionByName(_sweep(cells, dense_side, blocks, ["vkey", "_cell"]))
-
-    if blocks.far:
-        reps = profiles.select("vkey", "amount", F.explode(F.array("r1", "r2")).alias("r"))
-        by_amount = _first_two(
-            reps.where("r IS NOT NULL").select("vkey", "amount", "r.id", "r.date", "r.vendor"),
-            ["vkey", "amount"])
-        hits = hits.unionByName(_sweep(search, by_amount, blocks, ["vkey"]))
-
-    if blocks.by_date:
-        hits = hits.unionByName(_days(search, profiles, blocks))
+    # Only days that hold something are searched: at most 2 * days + 1 per row.
+    cell = _day(F.col("date")).alias("_cell")
+    days = dense.groupBy("vkey", "_h").agg(F.collect_set(cell).alias("_cells"))
+    crowded = (probes.join(dense.select(*block).distinct(), block, "left_semi")
+               .select(*_KEY, "vkey", "_v", "_h").distinct())
+    cells = crowded.join(days, ["vkey", "_h"]).select(
+        *_KEY, "vkey", "_v", F.explode("_cells").alias("_cell")).where(
+        F.abs(F.col("_cell") - _day(F.col("_date"))) <= blocks.days)
+    axis = F.floor(F.col("_pos") / F.lit(chunk * AMOUNT_STEP))
+    hits = hits.unionByName(_hits(
+        cells, _with_amount(dense).select("vkey", _day(F.col("date")).alias("_cell"),
+                                   F.col("amount").alias("_pos"), "_p"),
+        ["vkey", "_cell"], "_amount", axis, blocks, lambda c: c["amount"]))
 
+    # Keys as plain values: a missing date or id to skip still has to meet itself.
+    plain = {"_on_date": F.coalesce("_date", F.lit("0001-01-01").cast("date")),
+             "_on_excl": F.coalesce("_excl", F.lit("")), "_on_none": F.col("_excl").isNull()}
+    keys = ["_vkey", "_amount", *plain]
     best = hits.groupBy(*_KEY).agg(F.min("best").alias("_best"))
 
+    if blocks.far or blocks.by_date:
+        # Far matches share an amount or a date only. They are searched for rows that have
+        # nothing yet that such a match could not reach.
+        best = materialize(best, "near-best")
+        known = best.withColumns(plain).select(*keys, (-F.col("_best.neg")).alias("_had"))
+        left = search.withColumns(plain).join(known, keys, "left")
+        had = F.coalesce("_had", F.lit(0.0))
+        hits = best.select(*_KEY, F.col("_best").alias("best"))
+        if blocks.far:
+            hits = hits.unionByName(_hits(
+                left.where(had <= W_AMOUNT * F.col("_v")),
+                _with_amount(by_amount).select("vkey", F.col("amount").alias("_pos"), "_p"),
+                ["vkey"], "_amount", axis, blocks, lambda c: c["amount"]))
+        if blocks.by_date:
+            wanted = left.where((had <= W_DATE * F.col("_v")) & F.col("_date").isNotNull())
+            hits = hits.unionByName(_hits(
+                wanted.withColumn("_on_day", _day(F.col("_date"))),
+                by_day.select("vkey", _day(F.col("date")).alias("_pos"), "_p"),
+                ["vkey"], "_on_day", F.floor(F.col("_pos") / F.lit(chunk)), blocks,
+                lambda c: c["amount"]))
+        best = hits.groupBy(*_KEY).agg(F.min("best").alias("_best"))
+
     # A row's own profile can answer it if it holds two ids; on file it may also hold another's.
     answers = profiles.where("date IS NOT NULL")
     if same_table:
@@ -340,13 +439,8 @@ def closest_matches(
         F.col("vkey").alias("_vkey"), F.col("amount").alias("_amount"),
         F.col("date").alias("_date"), F.struct("r1", "r2").alias("_own"))
     joined = join_per_key(rows, own, ["_vkey", "_amount", "_date"], "invoice_id", salts=4)
-    # Keys as plain values: a missing date or id to skip still has to meet itself.
-    on_date = F.coalesce("_date", F.lit("0001-01-01").cast("date"))
-    on_excl = F.coalesce("_excl", F.lit(""))
-    plain = {"_on_date": on_date, "_on_excl": on_excl, "_on_none": F.col("_excl").isNull()}
     best = best.withColumns(plain).drop("_date", "_excl")
     joined = joined.withColumns(plain)
-    keys = ["_vkey", "_amount", *plain]
     # In one table the skipped id is the row's own, so no key repeats; arrivals may be copies.
     joined = joined.join(best, keys, "left") if same_table else join_per_key(
         joined, best, keys, "invoice_id", salts=4)
@@ -408,88 +502,15 @@ def describe(match: Column) -> Column:
 def pair_scores(pairs: DataFrame) -> DataFrame:
     """Score given pairs (vendor_a, amount_a, date_a, vendor_b, ...).
 
-    The name ratio runs once per distinct pair of unequal normalised names.
+    The vendor term is the edit ratio of the normalised names, whatever its size.
     """
-    keyed = pairs.withColumn("_a", vendor_key(F.col("vendor_a"))).withColumn(
-        "_b", vendor_key(F.col("vendor_b")))
-    names = keyed.where("_a != _b AND _a != '' AND _b != ''").select("_a", "_b").distinct()
-    ratios = names.withColumn("_ratio", sim.name_ratio("_a", "_b"))
-    equal = (F.col("_a") == F.col("_b")) & (F.col("_a") != "")
-    v = F.when(equal, F.lit(1.0)).otherwise(F.coalesce(F.col("_ratio"), F.lit(0.0)))
+    named = F.struct(vendor_key(F.col("vendor_a")).alias("a"), vendor_key(F.col("vendor_b")).alias("b"))
+    keyed = pairs.withColumn("_names", named)
+    v = sim.name_edit_ratio(F.col("_names.a"), F.col("_names.b"))
     amt = sim.amount_similarity(F.col("amount_a"), F.col("amount_b"))
     dat = sim.date_proximity(F.col("date_a"), F.col("date_b"))
-    out = keyed.join(ratios, ["_a", "_b"], "left").withColumn("vendor_similarity", v)
+    out = keyed.withColumn("vendor_similarity", v)
     return (out.withColumn("amount_similarity", amt).withColumn("date_proximity", dat)
             .withColumn("score", sim.weigh(F.col("vendor_similarity"), amt, dat))
             .select(*pairs.columns, "vendor_similarity", "amount_similarity", "date_proximity",
                     "score"))
-
-
-def edit_ratio(a: str, b: str) -> Column:
-    return sim.name_edit_ratio(F.col(a), F.col(b))
-
-
-def vendor_links(vendors: DataFrame, min_ratio: float,
-                 measure: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """Ordered pairs (a, b, v) of normalised names with ``measure`` >= ``min_ratio``.
-
-    The measure is the matching-blocks ratio, or the edit ratio (:func:`edit_ratio`),
-    which stays in built-in functions; the bounds below hold for both, since an edit
-    distance of d leaves at least the longer name's length less d letters matched in at
-    most d + 1 runs.
-
-    Candidates come from a lossless prefix filter. A ratio r over lengths m, n
-    leaves u = (1 - r)(m + n) characters unmatched and so at most u + 1 matched
-    runs; the names then share at least r(m + n)/2 - (u + 1) two-letter pieces.
-    Two piece sets with that overlap must meet within the rarest
-    (size - overlap + 1) pieces of each, so only those are joined. Names too
-    short for that bound (all of them, for ratios up to 2/3) use a weaker one in the
-    same way: at least m r / (2 - r) of a name's m letters, counted with repeats, are
-    also the partner's.
-    """
-    names = vendors.select(vendor_key(F.col("vendor")).alias("a")).where("a != ''").distinct()
-    size = F.length("a")
-    # Least overlap over every partner length the ratio allows, with the partner
-    # as short as it may be: n >= m r / (2 - r).
-    shortest = size * (min_ratio / (2.0 - min_ratio))
-    longest = size * ((2.0 - min_ratio) / min_ratio)
-
-    def overlap(n: Column) -> Column:
-        total = size + n
-        return total * (min_ratio / 2.0) - (total * (1.0 - min_ratio) + 1.0)
-
-    need = F.floor(F.least(overlap(shortest), overlap(longest)) - 1e-9)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))),
-        lambda i: F.substring(F.col("a"), i, F.lit(2)))
-    sized = names.withColumn("need", need).withColumn("grams", F.array_distinct(grams))
-    # Repeated pieces count once here, which can only lower the shared count by
-    # the number of repeats in the name.
-    repeats = F.greatest(size - 1, F.lit(1)) - F.size("grams")
-    sized = sized.withColumn("need", (F.col("need") - repeats).cast("int"))
-    pieces = sized.select("a", "need", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    freq = pieces.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(W.partitionBy("a").orderBy("f", "g"))
-    prefix = (pieces.join(freq, "g").withColumn("rk", rank)
-              .where("need >= 1 AND rk <= n - need + 1").select("a", "g"))
-    # A name without a usable bound is met through its rarest letters.
-    letters = F.filter(F.split("a", ""), lambda c: c != "")
-    counted = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(
-        F.slice(letters, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
-    single = names.select("a", F.length("a").alias("m"), F.explode(counted).alias("c"))
-    often = single.groupBy("c").agg(F.count(F.lit(1)).alias("f"))
-    nth = F.row_number().over(W.partitionBy("a").orderBy("f", "c"))
-    share = F.ceil(F.col("m") * (min_ratio / (2.0 - min_ratio)) - 1e-9)
-    rare = (single.join(often, "c").withColumn("rk", nth)
-            .where(F.col("rk") <= F.col("m") - share + 1).select("a", "c"))
-    loose = sized.where("need < 1").select("a")
-    by_piece = prefix.select("g", F.col("a").alias("b"))
-    strict_pairs = prefix.join(by_piece, "g").select("a", "b")
-    loose_pairs = loose.join(rare, "a").join(rare.withColumnRenamed("a", "b"), "c").select("a", "b")
-    both = strict_pairs.unionByName(loose_pairs).unionByName(
-        loose_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    la, lb = F.length("a"), F.length("b")
-    possible = both.where(2.0 * F.least(la, lb) >= (la + lb) * min_ratio - 1e-9)
-    measure = measure or sim.name_ratio
-    kept = possible.withColumn("v", measure("a", "b")).where(F.col("v") >= min_ratio)
-    return kept.withMetadata("v", {"min_ratio": min_ratio})

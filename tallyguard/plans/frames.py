@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import policy as P
-from tallyguard.operators import chain, confidence, duplicates, features, kpis, review, rules
+from tallyguard.operators import (
+    chain, confidence, duplicates, features, kpis, names, review, rules,
+)
 from tallyguard.operators.extract import extract_fields
 from tallyguard.operators.feedback import with_feedback
 from tallyguard.session import materialize
@@ -36,7 +38,8 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATCHED:
-        found = duplicates.closest_matches(td.invoices(spark, sf_dir))
+        rows = td.invoices(spark, sf_dir)
+        found = duplicates.closest_matches(rows, links=names.links(names.vendor_names(rows)))
         _MATCHED[key] = materialize(
             found.withColumn("duplicate_score", duplicates.duplicate_score(F.col("match")))
             .withColumn("duplicate_match_id", F.col("match.matched_invoice_id")), "matched")

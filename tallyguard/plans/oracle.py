@@ -45,15 +45,18 @@ _ROUTE = dict(enumerate(P.LADDER))
 _step("invoices", """
 SELECT concat('INV-', lpad(cast(l_orderkey AS varchar), 8, '0'), '-',
               lpad(cast(l_suppkey AS varchar), 6, '0')) AS invoice_id,
-       s_name AS vendor,
+       CASE l_orderkey % 10 WHEN 0 THEN name[1:11] || 'z' WHEN 5 THEN name[1:4] || name[6:12]
+            ELSE name END AS vendor,
        sum(cast(round(l_extendedprice * 100) AS bigint))
          / (CASE WHEN l_orderkey % 50 = 0 THEN 100.0 ELSE 1000.0 END)::double AS amount,
        cast(o_orderdate AS date) AS posting_date,
        cast(o_orderdate AS date)
          + cast(15 * (1 + (l_orderkey + l_suppkey) % 4) AS integer) AS due_date,
        l_orderkey AS order_key, o_orderstatus AS order_status
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey
-GROUP BY l_orderkey, l_suppkey, s_name, o_orderdate, o_orderstatus""")
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+JOIN (SELECT s_suppkey, translate(md5(s_suppkey::varchar)[1:12], '0123456789', 'ghijklmnop') AS name
+      FROM supplier) ON s_suppkey = l_suppkey
+GROUP BY l_orderkey, l_suppkey, name, o_orderdate, o_orderstatus""")
 
 _step("truth", """
 SELECT invoice_id, CASE WHEN isodow(posting_date) >= 6 OR amount BETWEEN 9500.0 AND 9999.99
@@ -97,21 +100,34 @@ FROM (SELECT *, (m1 + m2 + m3) / 3 AS mean,
              greatest(m1, m2, m3) - least(m1, m2, m3) AS spread FROM scores)""")
 
 
-def _closest(rows: str, tau: str) -> str:
-    """Closest match of every row of a table within itself, equal vendor keys only."""
+def _links(names: str) -> str:
+    """Ordered pairs (a, b, v) of the vendor keys of a table that are alike."""
+    keys = f"(SELECT DISTINCT {_vkey('vendor')} AS k FROM {names})"
+    return f"""
+SELECT a, b, v FROM (
+  SELECT x.k AS a, y.k AS b,
+         1.0::double - levenshtein(x.k, y.k) / greatest(length(x.k), length(y.k))::double AS v
+  FROM {keys} x, {keys} y WHERE x.k <> '' AND y.k <> '') WHERE v >= 0.8"""
+
+
+def _closest(rows: str, tau: str, filed: str | None = None) -> str:
+    """Closest match of every row of a table within itself or on file, over linked names."""
+    filed = filed or rows
     return f"""
 SELECT id, arg_min(m, (-s, m)) AS m, max(s) AS s, arg_min(amt, (-s, m)) AS amt,
        arg_min(prox, (-s, m)) AS prox, arg_min(m_amount, (-s, m)) AS m_amount,
-       arg_min(days, (-s, m)) AS days
-FROM (SELECT *, 0.75::double * amt + 0.25::double * prox AS s FROM (
-  SELECT a.invoice_id AS id, b.invoice_id AS m, b.amount AS m_amount,
+       arg_min(days, (-s, m)) AS days, arg_min(v, (-s, m)) AS v,
+       arg_min(m_vendor, (-s, m)) AS m_vendor
+FROM (SELECT *, v * (0.75::double * amt + 0.25::double * prox) AS s FROM (
+  SELECT a.invoice_id AS id, b.invoice_id AS m, b.amount AS m_amount, b.vendor AS m_vendor, v,
          abs(a.posting_date - b.posting_date) AS days,
          greatest(0.0::double, 1.0 - (abs(a.amount - b.amount)
            / greatest(abs(a.amount), abs(b.amount), 1.0)) / 0.1::double) AS amt,
          greatest(0.0::double, 1.0 - abs(a.posting_date - b.posting_date) / 90.0::double) AS prox
   FROM (SELECT *, {_vkey('vendor')} AS k FROM {rows}) a
-  JOIN (SELECT *, {_vkey('vendor')} AS k FROM {rows}) b
-    ON a.k = b.k AND a.invoice_id <> b.invoice_id))
+  JOIN ({_links('pairs' if 'pairs' in rows else 'invoices')}) l ON l.a = a.k
+  JOIN (SELECT *, {_vkey('vendor')} AS k FROM {filed}) b
+    ON b.k = l.b AND a.invoice_id <> b.invoice_id))
 WHERE s {tau} GROUP BY id"""
 
 
@@ -378,15 +394,7 @@ raw AS (SELECT * REPLACE (greatest(z_hi, z) AS z_hi, greatest(d_hi, dd) AS d_hi)
           / CASE WHEN (CASE WHEN n >= 2 THEN sd ELSE gsd END) > 0
                  THEN (CASE WHEN n >= 2 THEN sd ELSE gsd END) ELSE 1.0 END AS z
         FROM inc LEFT JOIN hv USING (vendor) CROSS JOIN hb) inc),
-best AS (
-  SELECT id, arg_min(m, (-s, m)) AS m, max(s) AS s
-  FROM (SELECT id, m, 0.75::double * amt + 0.25::double * prox AS s FROM (
-    SELECT a.invoice_id AS id, b.invoice_id AS m,
-           greatest(0.0::double, 1.0 - (abs(a.amount - b.amount)
-             / greatest(abs(a.amount), abs(b.amount), 1.0)) / 0.1::double) AS amt,
-           greatest(0.0::double, 1.0 - abs(a.posting_date - b.posting_date) / 90.0::double) AS prox
-    FROM inc a JOIN hist b ON {_vkey('a.vendor')} = {_vkey('b.vendor')}
-     AND a.invoice_id <> b.invoice_id)) WHERE s > 0 GROUP BY id)"""
+best AS ({_closest('inc', '> 0', 'hist')})"""
 ORACLE["features_incremental"] = f"""
 WITH invoices AS ({_STEPS['invoices']}), {_INC}
 SELECT invoice_id,
@@ -411,22 +419,20 @@ SELECT label, count(*) AS n FROM invoices LEFT JOIN truth USING (invoice_id) GRO
 _q("vendor_normalize", f"""
 SELECT {_vkey('vendor')} AS vendor_key, count(*) AS invoices, count(DISTINCT vendor) AS spellings
 FROM pairs GROUP BY 1""")
+_step("alike", _links("invoices"))
+_q("vendor_links", f"SELECT a, b, {_r('v')} AS similarity FROM alike")
+_q("vendor_links_incremental", f"""
+SELECT a, b, {_r('v')} AS similarity FROM alike
+WHERE a IN (SELECT {_vkey('vendor')} FROM invoices WHERE posting_date >= DATE '2001-01-01')
+  AND (a = b OR b IN (SELECT {_vkey('vendor')} FROM invoices WHERE posting_date < DATE '2001-01-01'))""")
 _q("vendor_levenshtein", f"""
-SELECT vendor_a, vendor_b,
-       {_r('1.0 - levenshtein(a, b) / greatest(length(a), length(b))::double')} AS similarity
-FROM (SELECT a.s_name AS vendor_a, b.s_name || ' Inc' AS vendor_b, {_vkey('a.s_name')} AS a,
-             {_vkey("b.s_name || ' Inc'")} AS b
-      FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)""")
+SELECT a, b, levenshtein(a, b)::integer AS distance, {_r('v')} AS similarity FROM alike WHERE a < b""")
 _q("pair_similarity", f"""
-SELECT invoice_id, 1.0::double AS vendor_similarity, {_r('amt')} AS amount_similarity,
-       {_r('prox')} AS date_proximity, {_r('0.75::double * amt + 0.25::double * prox')} AS score
-FROM (SELECT invoice_id, greatest(0.0::double, 1.0 - (abs(amount - amount_b)
-               / greatest(abs(amount), abs(amount_b), 1.0)) / 0.1::double) AS amt,
-             greatest(0.0::double, 1.0 - (order_key % 100) / 90.0::double) AS prox
-      FROM (SELECT *, amount * (1.0::double + (order_key % 13) / 100.0::double) AS amount_b
-            FROM invoices))""")
+SELECT id AS invoice_id, m AS id_b, {_r('v')} AS vendor_similarity, {_r('amt')} AS amount_similarity,
+       {_r('prox')} AS date_proximity, {_r('s')} AS score FROM closest""")
 
 _MATCH = f"""{_r('coalesce(s, 0.0)')} AS score, m AS matched_invoice_id,
+       {_r('coalesce(v, 0.0)')} AS vendor_similarity, m_vendor AS matched_vendor,
        {_r('coalesce(amt, 0.0)')} AS amount_similarity, {_r('coalesce(prox, 0.0)')} AS date_proximity,
        m_amount AS matched_amount, days AS days_apart, coalesce(s, 0.0) >= 0.8 AS is_near,
        coalesce(s, 0.0) >= 0.95 AS is_confirmed"""

@@ -18,8 +18,8 @@ from tallyguard.functions.numeric import half_up
 from tallyguard.functions.staging import once
 from tallyguard.functions.text import vendor_key
 from tallyguard.operators import (
-    chain, confidence, duplicates, extract, features, feedback, kpis, models, notify, queue,
-    review, rules,
+    chain, confidence, duplicates, extract, features, feedback, kpis, models, names, notify,
+    queue, review, rules,
 )
 from tallyguard.operators.ordering import top
 from tallyguard.plans import frames
@@ -105,8 +105,9 @@ def feat_amount_zscore(spark, d):
 
 @register
 def features_incremental(spark, d):
-    past = td.history(spark, d)
-    rows = duplicates.flat(duplicates.closest_matches(td.incoming(spark, d), past))
+    past, new = td.history(spark, d), td.incoming(spark, d)
+    links = names.links(names.vendor_names(past.unionByName(new)))
+    rows = duplicates.flat(duplicates.closest_matches(new, past, links=links))
     return features.incremental_features(rows, past).select(
         "invoice_id", "amount_zscore_norm", "threshold_proximity", "duplicate_score",
         "weekend_flag", "days_to_due_norm", "duplicate_match_id")
@@ -139,37 +140,50 @@ def vendor_normalize(spark, d):
         F.count(F.lit(1)).alias("invoices"), F.countDistinct("vendor").alias("spellings"))
 
 
-def _neighbour_names(spark, d):
-    """Every supplier's name next to that of the supplier with the following key."""
-    s = td.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("vendor_a"))
-    t = s.select((F.col("s_suppkey") - 1).alias("s_suppkey"),
-                 F.concat(F.col("vendor_a"), F.lit(" Inc")).alias("vendor_b"))
-    return s.join(t, "s_suppkey").select("vendor_a", "vendor_b")
+def _alike(spark, d):
+    """Every ordered pair of vendor spellings on the invoices that are linked."""
+    return names.links(names.vendor_names(td.invoices(spark, d)))
+
+
+@register
+def vendor_links(spark, d):
+    return _alike(spark, d).select("a", "b", r6("v").alias("similarity"))
+
+
+@register
+def vendor_links_incremental(spark, d):
+    """Links of the names that arrive to those on file: known ones read, new ones probed."""
+    store = names.NameStore.file(names.vendor_names(td.history(spark, d)), names.LINK_RATIO, 8)
+    return store.of(names.vendor_names(td.incoming(spark, d))).select(
+        "a", "b", r6("v").alias("similarity"))
 
 
 @register
 def vendor_similarity(spark, d):
-    names = _neighbour_names(spark, d).select(
-        "vendor_a", "vendor_b", vendor_key(F.col("vendor_a")).alias("a"),
-        vendor_key(F.col("vendor_b")).alias("b"))
-    return names.select("vendor_a", "vendor_b", r6(sim.name_ratio("a", "b")).alias("similarity"))
+    """The matching-blocks ratio of every linked pair; reviewers see it beside the edit ratio."""
+    return _alike(spark, d).select("a", "b", r6(sim.name_ratio("a", "b")).alias("similarity"))
 
 
 @register
 def vendor_levenshtein(spark, d):
-    ratio = sim.name_edit_ratio(vendor_key(F.col("vendor_a")), vendor_key(F.col("vendor_b")))
-    return _neighbour_names(spark, d).select("vendor_a", "vendor_b", r6(ratio).alias("similarity"))
+    """Each linked pair once, with the number of edits between the names."""
+    pairs = _alike(spark, d).where("a < b")
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance"),
+                        r6(sim.name_edit_ratio(F.col("a"), F.col("b"))).alias("similarity"))
 
 
 @register
 def pair_similarity(spark, d):
-    pairs = td.invoices(spark, d).select(
-        "invoice_id", F.col("vendor").alias("vendor_a"), F.col("amount").alias("amount_a"),
-        F.col("posting_date").alias("date_a"), F.concat("vendor", F.lit(", LLC")).alias("vendor_b"),
-        (F.col("amount") * (1.0 + (F.col("order_key") % 13) / 100.0)).alias("amount_b"),
-        F.date_add("posting_date", (F.col("order_key") % 100).cast("int")).alias("date_b"))
-    return duplicates.pair_scores(pairs).select(
-        "invoice_id", "vendor_similarity", r6("amount_similarity").alias("amount_similarity"),
+    """Every invoice against the one it matches best, scored anew as a given pair."""
+    rows = td.invoices(spark, d)
+    other = rows.select(F.col("invoice_id").alias("id_b"), F.col("vendor").alias("vendor_b"),
+                        F.col("amount").alias("amount_b"), F.col("posting_date").alias("date_b"))
+    found = frames.matched(spark, d).where("duplicate_match_id IS NOT NULL").select(
+        "invoice_id", F.col("duplicate_match_id").alias("id_b"), F.col("vendor").alias("vendor_a"),
+        F.col("amount").alias("amount_a"), F.col("posting_date").alias("date_a"))
+    return duplicates.pair_scores(found.join(other, "id_b")).select(
+        "invoice_id", "id_b", r6("vendor_similarity").alias("vendor_similarity"),
+        r6("amount_similarity").alias("amount_similarity"),
         r6("date_proximity").alias("date_proximity"), r6("score").alias("score"))
 
 
@@ -177,6 +191,8 @@ def _match_columns() -> list[Column]:
     m = F.col("match")
     return [F.col("invoice_id"), r6(m["score"]).alias("score"),
             m["matched_invoice_id"].alias("matched_invoice_id"),
+            r6(m["vendor_similarity"]).alias("vendor_similarity"),
+            m["matched_vendor"].alias("matched_vendor"),
             r6(m["amount_similarity"]).alias("amount_similarity"),
             r6(m["date_proximity"]).alias("date_proximity"),
             m["matched_amount"].alias("matched_amount"), m["days_apart"].alias("days_apart"),
@@ -185,7 +201,9 @@ def _match_columns() -> list[Column]:
 
 @register
 def closest_match(spark, d):
-    return duplicates.closest_matches(td.invoices(spark, d)).select(*_match_columns())
+    rows = td.invoices(spark, d)
+    links = names.links(names.vendor_names(rows))
+    return duplicates.closest_matches(rows, links=links).select(*_match_columns())
 
 
 @register
@@ -198,8 +216,7 @@ def duplicate_screen(spark, d):
 def duplicate_screen_fuzzy(spark, d):
     """The screen across spellings: names linked by edit ratio, down to the screen's score."""
     rows = td.respelled(spark, d)
-    links = materialize(duplicates.vendor_links(
-        rows.select("vendor").distinct(), P.NEAR_DUPLICATE, duplicates.edit_ratio), "vendor-links")
+    links = names.links(names.vendor_names(rows))
     found = duplicates.closest_matches(rows, min_score=P.NEAR_DUPLICATE, links=links)
     m = F.col("match")
     return found.where(duplicates.is_near(m)).select(
@@ -218,7 +235,8 @@ def top_duplicates(spark, d):
 def _pairs_and_matches(spark, d):
     rows = td.labelled_pairs(spark, d)
     found = duplicates.closest_matches(
-        rows.drop("is_duplicate_of"), min_score=P.NEAR_DUPLICATE)
+        rows.drop("is_duplicate_of"), min_score=P.NEAR_DUPLICATE,
+        links=names.links(names.vendor_names(rows)))
     labelled = rows.where("is_duplicate_of IS NOT NULL").select("invoice_id", "is_duplicate_of")
     return labelled, found
 
@@ -614,7 +632,7 @@ def _stream(spark: SparkSession, df: DataFrame, order: str, job, slices: int = 3
 @register
 def stream_score_route(spark, d):
     past = td.history(spark, d)
-    filed, stats = duplicates.file_invoices(past), features.history_statistics(past)
+    filed, stats = duplicates.store_invoices(past, 8), features.history_statistics(past)
     rows = td.incoming(spark, d).withColumn("_day", F.unix_date("posting_date"))
     out = _stream(spark, rows, "_day", lambda s, path, mark: jobs.score_stream(
         s.drop("_day"), filed, stats, frames.assess, path, mark), slices=2)

@@ -18,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vendor_name(key: Column) -> Column:
+    """A name of twelve letters for a supplier; those of different suppliers are unlike."""
+    return F.translate(F.substring(F.md5(key.cast("string")), 1, 12), "0123456789", "ghijklmnop")
+
+
+def typed_name(name: Column, order_key: Column) -> Column:
+    """The name as it stands on an invoice: every fifth is mistyped, in one of two ways."""
+    return (F.when(order_key % 10 == 0, F.concat(F.substring(name, 1, 11), F.lit("z")))
+            .when(order_key % 10 == 5, F.concat(F.substring(name, 1, 4), F.substring(name, 6, 7)))
+            .otherwise(name))
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One invoice per (order, supplier).
+    """One invoice per (order, supplier), under the supplier's name as it was typed.
 
     Lines join their order on the order key and are then grouped on it, so one
     shuffle serves both; the supplier name is looked up on the smaller result.
@@ -29,7 +41,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus",
         F.to_date("o_orderdate").alias("posting_date"))
     suppliers = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("vendor"))
+        F.col("s_suppkey").alias("l_suppkey"), vendor_name(F.col("s_suppkey")).alias("name"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     totals = (lines.join(orders, "l_orderkey")
               .groupBy("l_orderkey", "l_suppkey", "posting_date", "o_orderstatus")
@@ -39,7 +51,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("-"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
     terms = (15 * (1 + (F.col("l_orderkey") + F.col("l_suppkey")) % 4)).cast("int")
     return totals.join(suppliers, "l_suppkey").select(
-        number.alias("invoice_id"), "vendor",
+        number.alias("invoice_id"), typed_name(F.col("name"), F.col("l_orderkey")).alias("vendor"),
         (F.col("cents") / scale).alias("amount"),
         "posting_date", F.date_add("posting_date", terms).alias("due_date"),
         F.col("l_orderkey").alias("order_key"), F.col("o_orderstatus").alias("order_status"))

@@ -1,13 +1,12 @@
 import datetime as dt
 import random
 import re
-from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.functions.text import vendor_key
-from tallyguard.operators import duplicates
+from tallyguard.operators import duplicates, names
 from tallyguard.policy import LEGAL_SUFFIXES
 
 SCHEMA = "invoice_id string, vendor string, amount double, posting_date date"
@@ -18,24 +17,35 @@ def key(name):
     return " ".join(w for w in words if w not in LEGAL_SUFFIXES)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def ratio(a, b):
-    if not a or not b:
-        return 0.0
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    return 1.0 - distance(a, b) / max(len(a), len(b)) if a and b else 0.0
 
 
-def brute(queries, history, tau, fuzzy=False):
-    """Every query against every filed row, first id wins ties."""
-    out = {}
+def brute(queries, history, tau, linked=1.0):
+    """Every query against every filed row, first id wins ties; names under ``linked`` differ."""
+    out, alike = {}, {}
     for i, v, a, d in queries:
         best = (0.0, None)
         if a is not None and key(v):
             for j, w, b, e in history:
-                if j == i or b is None or not key(w) or (not fuzzy and key(v) != key(w)):
+                if j == i or b is None or not key(w):
+                    continue
+                if (v, w) not in alike:
+                    alike[v, w] = ratio(key(v), key(w))
+                if alike[v, w] < linked:
                     continue
                 amt = max(0.0, 1.0 - (abs(a - b) / max(abs(a), abs(b), 1.0)) / 0.10)
                 dat = 0.0 if d is None or e is None else max(0.0, 1.0 - abs((d - e).days) / 90.0)
-                s = ratio(key(v), key(w)) * (0.75 * amt + 0.25 * dat)
+                s = alike[v, w] * (0.75 * amt + 0.25 * dat)
                 if s > tau if tau in (0.0, 0.25) else s >= tau:
                     if s > best[0] or (s == best[0] and j < best[1]):
                         best = (s, j)
@@ -73,46 +83,88 @@ def tables():
     return filed, new
 
 
-@pytest.mark.parametrize("tau,dense", [(0.0, 4000), (0.0, 3), (0.25, 3), (0.8, 4000), (0.8, 3)])
-def test_equals_all_pairs(spark, tables, tau, dense):
+@pytest.mark.parametrize("tau,dense,chunk", [
+    (0.0, 4000, 100_000), (0.0, 3, 3), (0.0, 3, 5000), (0.25, 3, 3), (0.8, 4000, 3), (0.8, 3, 100_000)])
+def test_equals_all_pairs(spark, tables, tau, dense, chunk):
     filed, new = tables
     h = spark.createDataFrame(filed, SCHEMA).repartition(3)
     q = spark.createDataFrame(new, SCHEMA).repartition(2)
-    self_join = duplicates.closest_matches(h, min_score=tau, dense_limit=dense)
-    assert found(self_join) == brute(filed, filed, tau)
-    against = duplicates.closest_matches(q, h, min_score=tau, dense_limit=dense)
-    assert found(against) == brute(new, filed, tau)
+    how = {"min_score": tau, "dense_limit": dense, "chunk": chunk}
+    assert found(duplicates.closest_matches(h, **how)) == brute(filed, filed, tau)
+    assert found(duplicates.closest_matches(q, h, **how)) == brute(new, filed, tau)
 
 
-def test_other_spellings(spark):
-    rng = random.Random(9)
-    names = ["Sunrise Stationery", "Sunrise Stationary", "Kaveri Suppliers Ltd", "Kaveri Supplier",
-             "Bright Logistics", "Brite Logistics Pvt", "Zed", "Zedd"]
-    rows = make(rng, 80, names, 100, 0.3, 40, "F")
-    df = spark.createDataFrame(rows, SCHEMA)
-    links = duplicates.vendor_links(df, 0.6)
-    assert found(duplicates.closest_matches(df, min_score=0.6, links=links)) == brute(
-        rows, rows, 0.6, fuzzy=True)
+SPELLINGS = ["Sunrise Stationery", "Sunrise Stationary", "Kaveri Suppliers Ltd", "Kaveri Supplier",
+             "Acme", "Acne", "Acmes", "Bright Logistics", "Brite Logistics Pvt", "Zed", "Zedd", ""]
 
 
-@pytest.mark.parametrize("tau", [0.6, 0.8, 0.9])
-def test_vendor_links_lose_nothing(spark, tau):
+@pytest.mark.parametrize("tau,dense,chunk", [(0.0, 400, 100_000), (0.0, 2, 7), (0.8, 2, 7)])
+def test_other_spellings(spark, tau, dense, chunk):
+    rng = random.Random(9)
+    rows = make(rng, 120, SPELLINGS, 100, 0.3, 400, "F")
+    df = spark.createDataFrame(rows, SCHEMA)
+    links = names.links(names.vendor_names(df), 0.75)
+    assert found(duplicates.closest_matches(
+        df, min_score=tau, links=links, dense_limit=dense, chunk=chunk)) == brute(rows, rows, tau, 0.75)
+
+
+def test_acme_and_acne(spark):
+    day = dt.date(2025, 3, 1)
+    df = spark.createDataFrame([("I1", "Acme", 500.0, day), ("I2", "Acne", 500.0, day)], SCHEMA)
+    links = names.links(names.vendor_names(df), 0.75)
+    scores = {r.invoice_id: (r.match.score, r.match.matched_invoice_id)
+              for r in duplicates.closest_matches(df, links=links).collect()}
+    assert scores == {"I1": (0.75, "I2"), "I2": (0.75, "I1")}
+
+
+@pytest.mark.parametrize("tau,dense", [(0.0, 400), (0.0, 2), (0.8, 2)])
+def test_a_store_answers_like_the_table(spark, tau, dense):
+    rng = random.Random(11)
+    filed = make(rng, 200, SPELLINGS[:8], 100, 3, 500, "A")
+    new = make(rng, 50, SPELLINGS, 100, 3, 500, "A") + [("N1", "Sunrise Stationeri", 120.0, None)] * 2
+    h, q = spark.createDataFrame(filed, SCHEMA), spark.createDataFrame(new, SCHEMA)
+    store = duplicates.store_invoices(h, 16, min_score=tau, dense_limit=dense, link_ratio=0.75)
+    want = brute(new, filed, tau, 0.75)
+    assert found(duplicates.closest_matches(q, store, min_score=tau, chunk=9)) == want
+    with pytest.raises(ValueError):
+        duplicates.closest_matches(q, store, min_score=0.5)
+
+
+def test_a_small_batch_reads_a_small_part(spark):
+    rng = random.Random(12)
+    vendors = ["".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(60)]
+    h = spark.createDataFrame(make(rng, 900, vendors, 100, 3, 500, "A"), SCHEMA)
+    store = duplicates.store_invoices(h, 64, link_ratio=0.8)
+    few = h.where(F.col("vendor") == vendors[0]).select(vendor_key(F.col("vendor")).alias("vkey"))
+    assert store.by_day.near(few).count() < 0.1 * store.by_day.rows().count()
+    met = few.select("vkey", F.lit(25).alias("_k"))
+    assert store.profiles.near(met).count() < 0.1 * store.profiles.rows().count()
+
+
+@pytest.mark.parametrize("tau", [0.75, 0.8, 0.9])
+def test_links_lose_nothing(spark, tau):
     rng = random.Random(3)
-    base = ["northwind freight", "orion it consulting", "abc", "ab", "supplier 001", "supplier 002",
+    base = ["northwind freight", "orion it consulting", "abc", "ab", "a", "supplier 001", "aaaaaaaa",
             "sunrise stationery", "aaaa bbbb aaaa"]
-    names = set(base)
+    typed = set(base)
     for b in base:
-        for _ in range(8):
+        for _ in range(10):
             s = list(b)
             for _ in range(rng.randrange(1, 4)):
-                s[rng.randrange(len(s))] = rng.choice("abcxyz 0")
-            names.add(" ".join("".join(s).split()))
-    names = sorted(names)
-    df = spark.createDataFrame([(n,) for n in names], "vendor string")
-    got = {(r.a, r.b): r.v for r in duplicates.vendor_links(df, tau).collect()}
-    keys = {key(n) for n in names} - {""}
+                at = rng.randrange(len(s) + 1)
+                s[at:at + rng.randrange(2)] = rng.choice(["", "x", "a", "0 "])
+            typed.add("".join(s))
+    keys = sorted({key(n) for n in typed} - {""})
+    df = spark.createDataFrame([(k,) for k in keys], "a string")
     want = {(a, b): ratio(a, b) for a in keys for b in keys if ratio(a, b) >= tau}
-    assert got == pytest.approx(want)
+    assert {(r.a, r.b): r.v for r in names.links(df, tau).collect()} == pytest.approx(want)
+    # Half of the names are on file; all of them ask, the others over the index.
+    on_file = keys[::2]
+    store = names.NameStore.file(spark.createDataFrame([(k,) for k in on_file], "a string"), tau, 4)
+    got = {(r.a, r.b): r.v for r in store.of(df).collect()}
+    assert got == pytest.approx({p: v for p, v in want.items() if p[1] in on_file or p[0] == p[1]})
+    with pytest.raises(ValueError):
+        names.links(df, 0.6)
 
 
 def test_vendor_key(spark):
