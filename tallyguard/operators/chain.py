@@ -85,6 +85,51 @@ def verify_chain(log: DataFrame, key: str, seq: str = "seq", payload: str = "pay
     ).withColumn("ok", F.col("first_bad_seq").isNull())
 
 
+def checkpoints(log: DataFrame, key: str, seq: str = "seq") -> DataFrame:
+    """Per chain of a verified log: its last event (``at``), that event's hash and the count.
+
+    Kept apart from the log, they are what a later verification goes on from.
+    """
+    return log.groupBy(key).agg(
+        F.max(seq).alias("at"), F.max_by("entry_hash", seq).alias("head"),
+        F.count(F.lit(1)).alias("checked"))
+
+
+def verify_from(log: DataFrame, known: DataFrame, key: str, seq: str = "seq",
+                payload: str = "payload", chunk: int = CHUNK) -> DataFrame:
+    """Like :func:`verify_chain`, from ``known`` checkpoints on; new chains from their start.
+
+    Only events behind a checkpoint are hashed. The checkpoint's own event has to be there
+    with the hash it had; if it is gone, the log was shortened, also if nothing follows.
+    """
+    same = F.col(f"e.{key}").eqNullSafe(F.col(f"k.{key}"))
+    rows = log.alias("e").join(known.alias("k"), same, "left").where(
+        F.col("k.at").isNull() | (F.col(f"e.{seq}") >= F.col("k.at"))).select("e.*", "k.at", "k.head")
+    rows = with_previous(rows, key, seq, F.col("entry_hash"), "_stored", chunk)
+    boundary = F.col(seq) == F.col("at")
+    expected = F.when(F.col("at").isNotNull(), F.coalesce("_stored", F.col("head"))).otherwise(
+        F.coalesce("_stored", F.lit(P.GENESIS_HASH)))
+    broken = ~F.col("prev_hash").eqNullSafe(expected)
+    changed = ~link_hash(F.col("prev_hash"), F.col(payload)).eqNullSafe(F.col("entry_hash"))
+    reason = (F.when(boundary, F.when(~F.col("entry_hash").eqNullSafe(F.col("head")), "tampered content"))
+              .when(broken, "chain break").when(changed, "tampered content"))
+    checked = rows.withColumn("_reason", reason)
+    bad_seq = F.when(F.col("_reason").isNotNull(), F.col(seq))
+    seen = checked.groupBy(key).agg(
+        F.sum(F.when(F.coalesce(boundary, F.lit(False)), 0).otherwise(1)).alias("_new"),
+        F.max(F.coalesce(boundary, F.lit(False))).alias("_met"),
+        F.min(bad_seq).alias("_bad"), F.min_by("_reason", bad_seq).alias("_why"))
+    both = known.alias("k").join(
+        seen.alias("s"), F.col(f"k.{key}").eqNullSafe(F.col(f"s.{key}")), "full_outer")
+    gone = F.col("k.at").isNotNull() & ~F.coalesce("s._met", F.lit(False))
+    out = both.select(
+        F.coalesce(f"k.{key}", f"s.{key}").alias(key),
+        (F.coalesce("k.checked", F.lit(0)) + F.coalesce("s._new", F.lit(0))).alias("events"),
+        F.when(gone, F.col("k.at")).otherwise(F.col("s._bad")).alias("first_bad_seq"),
+        F.when(gone, "shortened log").otherwise(F.col("s._why")).alias("reason"))
+    return out.withColumn("ok", F.col("first_bad_seq").isNull())
+
+
 def verdict() -> Column:
     """The reviewer-facing line for one verified chain."""
     at = F.concat(F.lit(" at event #"), F.col("first_bad_seq").cast("string"))
@@ -92,6 +137,8 @@ def verdict() -> Column:
                                          F.lit(" event(s); hash chain intact.")))
             .when(F.col("reason") == "chain break", F.concat(
                 F.lit("Chain break"), at, F.lit(": predecessor hash does not match.")))
+            .when(F.col("reason") == "shortened log", F.concat(
+                F.lit("Shortened log"), at, F.lit(": the last verified event is missing.")))
             .otherwise(F.concat(F.lit("Tampered content"), at,
                                 F.lit(": recomputed hash does not match."))))
 
@@ -125,3 +172,28 @@ def event_facets(log: DataFrame) -> DataFrame:
     """Events and distinct invoices per event type."""
     return log.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("invoice_id").alias("invoices"))
+
+
+#: Buckets of a distinct-count sketch as a power of two, and the relative standard error.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def daily_facets(log: DataFrame, ts: str = "ts") -> DataFrame:
+    """Per day and event type: events and a mergeable sketch of their invoices."""
+    return log.groupBy(F.to_date(ts).alias("day"), "event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.hll_sketch_agg(F.col("invoice_id").cast("string"), F.lit(SKETCH_BITS)).alias("invoices"))
+
+
+def store_daily_facets(log: DataFrame, path: str, ts: str = "ts") -> None:
+    """Writes the days that ``log`` holds whole; a day that is written again is replaced."""
+    (daily_facets(log, ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(path))
+
+
+def facets_of_days(days: DataFrame) -> DataFrame:
+    """Events and estimated distinct invoices per event type, from stored days only."""
+    merged = days.groupBy("event_type").agg(
+        F.sum("events").alias("events"), F.hll_union_agg("invoices").alias("_all"))
+    return merged.select("event_type", "events", F.hll_sketch_estimate("_all").alias("invoices"))

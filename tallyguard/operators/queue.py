@@ -34,11 +34,28 @@ def fold_submissions(submissions: DataFrame) -> DataFrame:
     route while the status and the place in the queue stay. First and last row
     are mergeable aggregates, so repeats of one invoice collapse before the shuffle.
     """
+    return folded_queue(merge_folds(submission_folds(submissions)))
+
+
+def submission_folds(submissions: DataFrame) -> DataFrame:
+    """Each submission as a fold of itself: key, first and last submission, their number."""
     payload = [c for c in submissions.columns if c not in ("invoice_id", "seq", "ts", "actor")]
-    row = F.struct(*payload, "ts", "actor")
-    folded = submissions.withColumn("_key", queue_key()).groupBy("_key").agg(
-        F.min_by(row, "seq").alias("_first"), F.max_by(row, "seq").alias("_last"),
-        F.count(F.lit(1)).alias("_n"))
+    row = F.struct("seq", F.struct(*payload, "ts", "actor").alias("row"))
+    return submissions.select(queue_key().alias("_key"), row.alias("_first"), row.alias("_last"),
+                              F.lit(1).cast("long").alias("_n"))
+
+
+def merge_folds(folds: DataFrame) -> DataFrame:
+    """One fold per key from any folds of its submissions, in whatever order they come."""
+    return folds.groupBy("_key").agg(
+        F.min_by("_first", "_first.seq").alias("_first"),
+        F.max_by("_last", "_last.seq").alias("_last"), F.sum("_n").alias("_n"))
+
+
+def folded_queue(folds: DataFrame) -> DataFrame:
+    """Queue rows from one fold per key."""
+    folded = folds.select("_key", F.col("_first.row").alias("_first"),
+                          F.col("_last.row").alias("_last"), "_n")
     status = first_status(F.col("_first.route"))
     closed = P.is_terminal(status)
     kept = F.when(closed, F.col("_first")).otherwise(F.col("_last"))

@@ -14,6 +14,7 @@ so no invoice is folded row by row and none has to fit into one task:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyguard import policy as P
 from tallyguard.operators.ordering import CHUNK, join_per_key, with_previous
-from tallyguard.streaming.workflow import OUTCOME, State, outcome
+from tallyguard.streaming.workflow import OUTCOME, Effect, State, apply, effects, outcome
 
 #: Everything that counts as white space around a name, as in the stream.
 _AROUND = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
@@ -125,30 +126,78 @@ def replay(intake: DataFrame, actions: DataFrame, chunk: int = CHUNK) -> DataFra
         refused.select(*actions.columns, "refusal"), allowMissingColumns=True)
 
 
-def fold_interleaved(items: DataFrame) -> DataFrame:
+def fold_interleaved(items: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Outcome of submissions and reviewer actions in one log, in ``seq`` order per invoice.
 
-    ``items``: invoice_id, seq, kind (submit or action), route, action, actor. A
-    resubmission may change the route between any two actions, which has no closed
-    form, so a case is walked: rows arrive sorted and stream through with one small
-    state, and a case of any length needs no memory. Cases run in parallel.
+    ``items``: invoice_id, seq (unique per invoice), kind (submit or action), route, action,
+    actor. A resubmission may change the route between any two actions, which has no closed
+    form, so events are walked. A case of up to ``chunk`` events is walked as a whole. Longer
+    ones are cut into ranges of ``chunk`` sequence numbers: each range yields its effect on
+    every possible start, a case's effects are composed in order, which tells where each
+    range starts, and then the ranges are walked apart from each other.
     """
-    columns = [c.split()[0] for c in OUTCOME.split(", ")]
+    rows = items.select("invoice_id", "seq", "kind", "route", "action", "actor")
+    sizes = rows.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > chunk).select("invoice_id")
+    part = ["invoice_id", "_chunk"]
+    cut = rows.join(large, "invoice_id").withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)))
+    effect = ", ".join(f"{n} {t}" for n, t in _EFFECT)
+    ranges = cut.repartition(*part).sortWithinPartitions(*part, "seq").mapInPandas(
+        _effects, f"invoice_id string, _chunk long, {effect}")
+    starts = ranges.repartition("invoice_id").sortWithinPartitions(*part).mapInPandas(
+        _starts, f"invoice_id string, _chunk long, {_START}")
+    whole = rows.join(large, "invoice_id", "left_anti").select(
+        "*", F.lit(0).cast("long").alias("_chunk"),
+        *[F.lit(None).cast("string").alias(c) for c in ("_status", "_route", "_signer")])
+    begun = whole.unionByName(cut.join(starts, part))
+    return begun.repartition(*part).sortWithinPartitions(*part, "seq").mapInPandas(_walk, OUTCOME)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, now = object(), State()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.invoice_id != current:
-                    current, now = r.invoice_id, State()
-                now, said = outcome(now, r.kind, r.route, r.action, r.actor)
-                out.append((r.invoice_id, r.seq, *said))
-            yield pd.DataFrame(out, columns=columns)
 
-    rows = items.select("invoice_id", "seq", "kind", "route", "action", "actor")
-    return rows.repartition("invoice_id").sortWithinPartitions("invoice_id", "seq").mapInPandas(
-        walk, OUTCOME)
+_START = "_status string, _route string, _signer string"
+_EFFECT = list(zip(Effect._fields, ("string", "string", "string", "boolean", "string", "string",
+                                    "string", "boolean")))
+
+
+def _none(x: object) -> object:
+    """Missing values of a pandas column as None."""
+    return None if x is None or x != x else x
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, Iterator]]:
+    """Runs of equal keys over sorted batches, row by row, none of them held."""
+    flat = (r for pdf in batches for r in pdf.itertuples(index=False, name="Row"))
+    return groupby(flat, key=lambda r: tuple(_none(r[i]) for i in range(len(keys))))
+
+
+def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for key, rows in _groups((b[["invoice_id", "_chunk", "kind", "route", "action", "actor"]]
+                              for b in batches), ["invoice_id", "_chunk"]):
+        found = effects(tuple(map(_none, r[2:])) for r in rows)
+        yield pd.DataFrame([(*key, *e) for e in found], columns=["invoice_id", "_chunk", *Effect._fields])
+
+
+def _starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, now = object(), State()
+    for key, rows in _groups(batches, ["invoice_id", "_chunk"]):
+        if key[0] != current:
+            current, now = key[0], State()
+        yield pd.DataFrame([(*key, *now)], columns=["invoice_id", "_chunk", "_status", "_route", "_signer"])
+        now = apply((Effect(*map(_none, r[2:])) for r in rows), now)
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in OUTCOME.split(", ")]
+    current, now = object(), State()
+    names = {"_chunk": "part", "_status": "start_status", "_route": "start_route", "_signer": "start_signer"}
+    for pdf in batches:
+        out = []
+        for r in pdf.rename(columns=names).itertuples(index=False):
+            if (r.invoice_id, r.part) != current:
+                current = r.invoice_id, r.part
+                now = State(*map(_none, (r.start_status, r.start_route, r.start_signer)))
+            now, said = outcome(now, r.kind, _none(r.route), _none(r.action), _none(r.actor))
+            out.append((r.invoice_id, r.seq, *said))
+        yield pd.DataFrame(out, columns=columns)
 
 
 def _signer(intake: DataFrame) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import policy as P
@@ -118,6 +118,15 @@ def tampered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_log(spark, sf_dir).where("seq % 1700 <> 1699").withColumn("payload", edited)
 
 
+def half_damaged_log(log: DataFrame, half: Column) -> DataFrame:
+    """The log after events of its second half were edited or removed, and every seventh
+    chain was cut off in the first quarter."""
+    late, seq = F.col("seq") > half, F.col("seq")
+    edited = F.when(late & (seq % 1000 == 7), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    gone = (late & (seq % 1700 == 1699)) | ((F.col("chain_id") % 7 == 0) & (seq > half / 2))
+    return log.where(~gone).withColumn("payload", edited)
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One audit log: what submissions, reviewers and batch runs left, in canonical form,
     chained per invoice; runs have no invoice and form a chain of their own."""

@@ -623,6 +623,7 @@ SELECT t.invoice_id, seq, event_type, actor, refusal,
        CASE WHEN refusal IS NULL THEN {_case('rank', _ROUTE)} END AS route_after,
        CASE WHEN event_type = 'review.approved' AND was_rank = 3 THEN was_signer END AS first_approver
 FROM tread t JOIN items a ON a.invoice_id = t.invoice_id AND a.n = t.n""")
+ORACLE["stream_queue_upsert"] = ORACLE["queue_upsert"]
 ORACLE["stream_workflow"] = ORACLE["workflow_replay"]
 _q("chain_build", "SELECT chain_id, seq, prev_hash, entry_hash FROM chained")
 _q("chain_verify", """
@@ -640,6 +641,33 @@ FROM (SELECT user_id AS chain_id, count(*) AS events,
                 THEN 'chain break' WHEN event_id % 1000 = 7 THEN 'tampered content' END AS what
             FROM events)
       WHERE event_id % 1700 <> 1699 GROUP BY user_id)""")
+_q("chain_verify_resumed", """
+SELECT chain_id, checked + new AS events, bad IS NULL AS ok, bad AS first_bad_seq, reason,
+       CASE WHEN bad IS NULL THEN 'Verified ' || (checked + new) || ' event(s); hash chain intact.'
+            WHEN reason = 'chain break'
+              THEN 'Chain break at event #' || bad || ': predecessor hash does not match.'
+            WHEN reason = 'shortened log'
+              THEN 'Shortened log at event #' || bad || ': the last verified event is missing.'
+            ELSE 'Tampered content at event #' || bad || ': recomputed hash does not match.'
+       END AS message
+FROM (SELECT user_id AS chain_id, count(*) FILTER (event_id <= half) AS checked,
+             count(*) FILTER (event_id > half AND NOT gone) AS new,
+             CASE WHEN bool_or(event_id = last AND gone) THEN any_value(last)
+                  ELSE min(event_id) FILTER (what IS NOT NULL) END AS bad,
+             CASE WHEN bool_or(event_id = last AND gone) THEN 'shortened log'
+                  ELSE arg_min(what, event_id) FILTER (what IS NOT NULL) END AS reason
+      FROM (SELECT *, CASE WHEN event_id <= half OR gone THEN NULL
+                           WHEN before > half AND before % 1700 = 1699 THEN 'chain break'
+                           WHEN event_id % 1000 = 7 THEN 'tampered content' END AS what
+            FROM (SELECT e.*, half, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before,
+                         max(event_id) FILTER (event_id <= half) OVER (PARTITION BY user_id) AS last,
+                         (event_id > half AND event_id % 1700 = 1699)
+                           OR (user_id % 7 = 0 AND event_id > half / 2.0) AS gone
+                  FROM events e, (SELECT max(event_id) // 2 AS half FROM events)))
+      GROUP BY user_id) WHERE checked + new > 0""")
+_q("event_facets_daily", """
+SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS invoices,
+       count(DISTINCT ts::date) AS days, true AS within_error FROM events GROUP BY event_type""")
 _ST = "[" + ", ".join(f"'{v}'" for v in P.STATUS_LABELS.values()) + "]"
 _q("event_timeline", f"""
 SELECT position, seq, 'INV-' || chain_id AS invoice_id, event_type, 'rev' || (seq % 3) AS actor,
@@ -800,7 +828,8 @@ _q("stream_once_only", """
 SELECT user_id, count(*) AS events, count(DISTINCT event_id) AS distinct_events
 FROM events GROUP BY user_id""")
 _q("stream_vendor_counters", f"""
-SELECT vendor, total AS total_invoices, flagged AS flagged_invoices, approved_flagged
+SELECT vendor, total AS total_invoices, flagged AS flagged_invoices, approved_flagged,
+       recent_flagged AS recent_flagged_5
 FROM ({_VENDOR})""")
 # A day is closed once an event two days after its end has been seen.
 _q("stream_fp_trend", f"""

@@ -24,6 +24,7 @@ from tallyguard.operators import (
 from tallyguard.operators.ordering import top
 from tallyguard.plans import frames
 from tallyguard.session import materialize, scratch
+from tallyguard.sources.files import VersionedTable
 from tallyguard.sources import testdata as td
 from tallyguard.streaming import jobs
 
@@ -372,9 +373,12 @@ def batch_report(spark, d):
 
 @register
 def queue_upsert(spark, d):
-    return queue.fold_submissions(frames.routed_submissions(spark, d)).select(
-        "invoice_id", "source_file", "vendor", "amount", "route", "status", stamp("submitted_at"),
-        "submitted_by", stamp("updated_at"), "resubmissions", "resubmissions_refused")
+    return queue.fold_submissions(frames.routed_submissions(spark, d)).select(*_queue_columns())
+
+
+def _queue_columns() -> list:
+    return ["invoice_id", "source_file", "vendor", "amount", "route", "status", stamp("submitted_at"),
+            "submitted_by", stamp("updated_at"), "resubmissions", "resubmissions_refused"]
 
 
 @register
@@ -442,6 +446,18 @@ def chain_verify(spark, d):
                       chain.verdict().alias("message"))
 
 
+@register
+def chain_verify_resumed(spark, d):
+    """The second half of the log, verified from checkpoints at its middle; some chains were
+    shortened, some events changed or taken out since."""
+    log = frames.audit_log(spark, d)
+    half = log.agg(F.floor(F.max("seq") / 2)).scalar()
+    known = chain.checkpoints(log.where(F.col("seq") <= half), "chain_id")
+    out = chain.verify_from(frames.half_damaged_log(log, half), known, "chain_id")
+    return out.select("chain_id", "events", "ok", "first_bad_seq", "reason",
+                      chain.verdict().alias("message"))
+
+
 @register
 def ledger_chain(spark, d):
     return frames.ledger(spark, d).select("invoice_id", "seq", "event_type", "payload", "prev_hash",
@@ -468,6 +484,22 @@ def event_facets(spark, d):
         "event_type", F.col("user_id").alias("invoice_id")))
 
 
+@register
+def event_facets_daily(spark, d):
+    """Distinct invoices from one stored sketch a day, and whether they are as near as promised."""
+    log = td.table(spark, d, "events").select(
+        "event_type", F.col("user_id").alias("invoice_id"), F.col("ts").cast("timestamp").alias("ts"))
+    root = scratch(spark, "facets")
+    chain.store_daily_facets(log, root)
+    days = spark.read.parquet(root)
+    estimate = chain.facets_of_days(days).withColumnRenamed("invoices", "estimate").drop("events")
+    near = F.abs(F.col("estimate") - F.col("invoices")) <= F.greatest(
+        3 * chain.SKETCH_ERROR * F.col("invoices"), F.lit(1.0))
+    rows = days.groupBy("event_type").agg(F.count(F.lit(1)).alias("days"))
+    return chain.event_facets(log).join(estimate, "event_type").join(rows, "event_type").select(
+        "event_type", "events", "invoices", "days", near.alias("within_error"))
+
+
 # ---- figures ---------------------------------------------------------------
 
 @register
@@ -659,6 +691,21 @@ def stream_queue_state(spark, d):
         "route_after", "first_approver")
 
 
+@register
+def stream_queue_upsert(spark, d):
+    """The queue from submissions that arrive in slices, folded into a versioned table."""
+    subs = frames.routed_submissions(spark, d).withColumn("_day", F.unix_date(F.to_date("ts")))
+    empty = queue.merge_folds(queue.submission_folds(subs.drop("_day")))
+    table = VersionedTable(spark, scratch(spark, "queue"), empty.schema, "_key", 16)
+
+    def job(stream, path, mark):
+        return jobs.upsert_queue(stream.drop("_day"), table, mark)
+
+    _stream(spark, subs, "_day", job)
+    table.compact()
+    return queue.folded_queue(table.rows()).select(*_queue_columns())
+
+
 @register
 def stream_workflow(spark, d):
     out = _stream(spark, td.workflow_items(spark, d), "seq", lambda s, path, mark: jobs.append_to(
@@ -690,7 +737,7 @@ def stream_fp_trend(spark, d):
 
 @register
 def stream_vendor_counters(spark, d):
-    rows = frames.queue(spark, d).select("vendor", "route", "status", "submitted_at")
+    rows = frames.queue(spark, d).select("vendor", "route", "status", "submitted_at", "invoice_id")
     out = _stream(spark, rows, "submitted_at", lambda s, path, mark: jobs.versions_to(
         jobs.vendor_counters(s), path, mark))
     return jobs.latest_versions(spark, out, "vendor")

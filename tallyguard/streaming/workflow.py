@@ -3,10 +3,14 @@
 Streams meet submissions and reviewer actions interleaved and in small steps, so
 the state is kept per invoice and moved on event by event. The batch replay
 reaches the same outcomes without a fold.
+
+A stretch of events is also a value of its own: what it makes of every state it may start
+from (:class:`Effect`). Effects compose, so a long case need not be walked in one piece.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from tallyguard.policy import ACTIONS, LADDER, TERMINAL_STATUSES
@@ -76,3 +80,83 @@ def act(state: State, action: str | None, actor: str | None) -> tuple[State, Out
         return state, Outcome(refusal="same approver twice")
     return state._replace(status="approved"), Outcome(
         "review.approved", first_approver=state.signer)
+
+
+class Given(str):
+    """The signer a stretch of events starts with, whoever that is."""
+
+
+class Effect(NamedTuple):
+    """One row of a stretch's effect: from a start to an end.
+
+    A signer matters only while a second approval is awaited, and only in comparison with
+    the first who approves then (``asks``): ``same`` tells for which outcome of it this row
+    holds, null if it is never made. ``inherits`` means the end keeps the given signer.
+    """
+    status: str | None
+    route: str | None
+    asks: str | None
+    same: bool | None
+    end_status: str | None
+    end_route: str | None
+    end_signer: str | None
+    inherits: bool
+
+
+_AWAITS = "awaiting_second_approval"
+#: Every start that is not closed; a closed case stays as it is.
+STARTS = (State(), *(State(status, route) for status in ("pending_review", "info_requested", _AWAITS)
+                     for route in LADDER))
+
+
+def effects(events: Iterable[tuple]) -> list[Effect]:
+    """The effect of (kind, route, action, actor) events in order, one row per start."""
+    events = list(events)
+    # Longer than any name here, so equal to none of them.
+    nobody = Given("?" * (1 + max((len(e[3] or "") for e in events), default=0)))
+    starts = [s._replace(signer=nobody) if s.status == _AWAITS else s for s in STARTS]
+    ends, asked = _run(starts, events)
+    rows = []
+    for start, end in zip(starts, ends):
+        asks = asked.get(start)
+        rows.append(_effect(start, asks, False if asks else None, end))
+    again = [s._replace(signer=Given(asked[s])) for s in starts if s in asked]
+    for start, end in zip(again, _run(again, events)[0]):
+        rows.append(_effect(start, str(start.signer), True, end))
+    return rows
+
+
+def _effect(start: State, asks: str | None, same: bool | None, end: State) -> Effect:
+    inherits = isinstance(end.signer, Given)
+    return Effect(start.status, start.route, asks, same, end.status, end.route,
+                  None if inherits else end.signer, inherits)
+
+
+def _run(starts: list[State], events: list[tuple]) -> tuple[list[State], dict[State, str]]:
+    """Ends of the starts, and who first met the given signer; equal states walk together."""
+    at: dict[State, list[State]] = {}
+    for s in starts:
+        at.setdefault(s, []).append(s)
+    asked: dict[State, str] = {}
+    for kind, route, action, actor in events:
+        moved: dict[State, list[State]] = {}
+        for now, origins in at.items():
+            after, said = submit(now, route) if kind == "submit" else act(now, action, actor)
+            if isinstance(said.first_approver, Given):
+                asked.update(dict.fromkeys(origins, (actor or "").strip().lower()))
+            moved.setdefault(after, []).extend(origins)
+        at = moved
+    end = {start: now for now, origins in at.items() for start in origins}
+    return [end[s] for s in starts], asked
+
+
+def apply(rows: Iterable[Effect], now: State) -> State:
+    """The state after a stretch that was entered in state ``now``."""
+    if now.status in TERMINAL_STATUSES:
+        return now
+    for e in rows:
+        if (e.status, e.route) == (now.status, now.route):
+            same = e.asks is not None and e.asks == (now.signer or "").lower()
+            if e.same is None or e.same == same:
+                return State(e.end_status, e.end_route, now.signer if e.inherits else e.end_signer)
+    raise ValueError(f"no effect on {now}")

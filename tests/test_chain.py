@@ -1,10 +1,13 @@
+import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyguard.operators import chain
 from tallyguard.policy import GENESIS_HASH
+from tallyguard.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +77,45 @@ def test_events_without_a_key_form_one_chain(spark):
     assert after.prev_hash == last
     longer = built.unionByName(spark.createDataFrame([after], built.schema))
     assert all(r.ok for r in chain.verify_chain(longer, "chain_id", chunk=3).collect())
+
+
+def test_resumed_verification_agrees_with_a_full_one(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, 3, 4, None]), i, f"e{i}") for i in range(120)]
+    log = materialize(chain.build_chain(spark.createDataFrame(
+        rows, "k long, seq long, payload string"), "k"), "log")
+    known = materialize(chain.checkpoints(log.where("seq < 60 AND (k IS NULL OR k <> 4)"), "k"), "known")
+
+    def verdicts(df):
+        return sorted((str(r.k), r.events, r.ok, r.first_bad_seq, r.reason) for r in df.collect())
+
+    late = F.col("seq").isin(75, 101)
+    damaged = [log, log.where("seq <> 90"),
+               log.withColumn("payload", F.when(late, "x").otherwise(F.col("payload")))]
+    for now in damaged:
+        for chunk in (100_000, 5):
+            assert verdicts(chain.verify_from(now, known, "k", chunk=chunk)) == verdicts(
+                chain.verify_chain(now, "k", chunk=chunk))
+    # Only the events behind a checkpoint are looked at, and a cut tail is found.
+    early = log.withColumn("payload", F.when(F.col("seq") < 20, "x").otherwise(F.col("payload")))
+    assert {r.k: r.ok for r in chain.verify_from(early, known, "k").collect()} == {
+        1: True, 2: True, 3: True, 4: False, None: True}
+    cut = chain.verify_from(log.where("k = 1 AND seq < 30 OR k = 2 OR k = 4 AND seq < 50"), known, "k")
+    said = {r.k: (r.ok, r.reason) for r in cut.collect()}
+    assert said == {1: (False, "shortened log"), 2: (True, None), 3: (False, "shortened log"),
+                    4: (True, None), None: (False, "shortened log")}
+
+
+def test_daily_sketches_merge_and_replace(spark, tmp_path):
+    day = dt.datetime(2025, 1, 1)
+    rows = [("view" if i % 3 else "click", i % 700, day + dt.timedelta(hours=i % 96)) for i in range(6000)]
+    log = spark.createDataFrame(rows, "event_type string, invoice_id long, ts timestamp")
+    path = str(tmp_path / "facets")
+    chain.store_daily_facets(log, path)
+    chain.store_daily_facets(log.where("ts < '2025-01-02'"), path)      # a day again
+    stored = spark.read.parquet(path)
+    assert stored.count() == 8
+    exact = {r.event_type: (r.events, r.invoices) for r in chain.event_facets(log).collect()}
+    for r in chain.facets_of_days(stored).collect():
+        events, invoices = exact[r.event_type]
+        assert r.events == events and abs(r.invoices - invoices) <= 3 * chain.SKETCH_ERROR * invoices

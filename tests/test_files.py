@@ -4,10 +4,12 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import types as T
 
 from tallyguard.operators import chain, extract
 from tallyguard.schemas import INVOICE
 from tallyguard.sources import files
+from tallyguard.sources.files import VersionedTable
 
 DAY = dt.date(2025, 1, 2)
 
@@ -70,3 +72,39 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     files.upsert(rows((None, "found")), path, buckets=16)
     got = [r.status for r in spark.read.parquet(path).where("invoice_id IS NULL").collect()]
     assert got == ["found"]
+
+
+def test_versioned_table_applies_each_batch_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.LongType())])
+    table = VersionedTable(spark, str(tmp_path / "t"), schema, "k", 4)
+
+    def merge(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def state():
+        return {r.k: r.n for r in table.rows().collect()}
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, schema)
+
+    assert state() == {} and table.finished() == -1
+    table.update(batch(("a", 1), ("b", 2), ("a", 3)), 0, merge)
+    assert state() == {"a": 4, "b": 2}
+    table.update(batch(("a", 5), ("c", 1), (None, 7)), 1, merge)
+    want = {"a": 9, "b": 2, "c": 1, None: 7}
+    assert state() == want
+    table.update(batch(("a", 5), ("c", 1), (None, 7)), 1, merge)    # a finished batch again
+    assert state() == want
+    # A batch that broke off after its buckets were written but before it was recorded.
+    fs, path = table._fs()
+    fs.delete(path(f"{table.path}/finished/1"), False)
+    assert state() == {"a": 4, "b": 2}
+    table.update(batch(("a", 5), ("c", 1), (None, 7)), 1, merge)
+    assert state() == want
+    before = sum(map(len, table.versions().values()))
+    assert table.compact() == before - len(table.versions()) > 0
+    assert state() == want and table.compact() == 0
+    table.update(batch(), 2, merge)
+    assert state() == want and table.finished() == 2

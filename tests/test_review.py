@@ -2,9 +2,14 @@ import datetime as dt
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from tallyguard import policy as P
 from tallyguard.operators import queue, review
 from tallyguard.streaming import workflow
+from tallyguard.streaming.jobs import WORK_ITEM
 
 ACTS = "invoice_id string, action_seq long, action string, actor string, note string, ts timestamp"
 T0 = dt.datetime(2025, 1, 1)
@@ -98,3 +103,58 @@ def test_submission_fold(spark):
     assert kinds[2] == ["intake.duplicate_submission"]
     assert kinds[3] == ["intake.scored", "routing.assigned", "notification.generated"]
     assert kinds[4] == kinds[6] == ["intake.rescored", "routing.assigned"]
+
+
+NAMES = ["Ann", "ann ", "BOB", "bob", "", None, "cy"]
+EVENT = st.one_of(
+    st.tuples(st.just("submit"), st.sampled_from(P.LADDER), st.none(), st.just("bot")),
+    st.tuples(st.just("action"), st.none(), st.sampled_from(
+        ["approve", "approve", "approve", "request_info", "escalate", "reject", "shred"]),
+        st.sampled_from(NAMES)))
+ANY_STATE = st.one_of(
+    st.just(workflow.State()),
+    st.builds(workflow.State, st.sampled_from(["approved", "rejected", "auto_approved"]),
+              st.sampled_from(P.LADDER)),
+    st.builds(workflow.State, st.sampled_from(["pending_review", "info_requested"]),
+              st.sampled_from(P.LADDER)),
+    st.builds(workflow.State, st.just("awaiting_second_approval"), st.sampled_from(P.LADDER),
+              st.sampled_from(["Ann", "bob", "CY", "dee"])))
+
+
+def visible(state):
+    """A signer matters only while a second approval is awaited."""
+    return state if state.status == "awaiting_second_approval" else state._replace(signer=None)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ANY_STATE, st.lists(EVENT, max_size=12), st.integers(0, 12))
+def test_effects_compose(start, events, cut):
+    now = start
+    for e in events:
+        now, _ = workflow.outcome(now, *e)
+    assert visible(workflow.apply(workflow.effects(events), start)) == visible(now)
+    middle = workflow.apply(workflow.effects(events[:cut]), start)
+    assert visible(workflow.apply(workflow.effects(events[cut:]), middle)) == visible(now)
+
+
+def test_long_cases_are_walked_in_ranges(spark):
+    rng = random.Random(8)
+    rows = []
+    for seq in range(600):
+        inv = rng.choice(["hot", "hot", "hot", "I1", "I2", None, "I3"])
+        if rng.random() < 0.25:
+            rows.append((inv, seq, "submit", rng.choice(P.LADDER[1:]), None, "bot"))
+        else:
+            rows.append((inv, seq, "action", None, rng.choices(
+                ["approve", "request_info", "escalate", "reject", "shred"], [6, 3, 2, 0.05, 1])[0],
+                rng.choice(["ann", "ann", "Ann", ""])))
+    items = spark.createDataFrame(rows, WORK_ITEM)
+    got = [sorted(map(tuple, review.fold_interleaved(items, chunk).collect()), key=str)
+           for chunk in (100_000, 3, 40)]
+    assert len(got[0]) == 600 and got[1] == got[0] and got[2] == got[0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = review.fold_interleaved(items, 40).where("invoice_id = 'hot'")
+        assert hot.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
