@@ -41,8 +41,9 @@ CAPACITY = 1 << 18          # counters of a summary that its partition is laid o
 FILTER_BITS = 29            # the largest filter has 2**29 bits, 64 megabytes
 _PARTIAL = "part int, item boolean, hash long, n int"
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
+#: Lower case, blanks for tabs, and a full stop for every break: no word holds one.
 _PLAIN = bytes.maketrans(
-    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_BREAKS))
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz " + b"." * len(_BREAKS))
 
 
 class _Numbers(dict):
@@ -67,9 +68,9 @@ class Run:
 
 
 def read_run(lang: str, raw: bytes, carried: list[bytes]) -> Run:
-    numbers = _Numbers({b"\n": 0})
-    spaced = raw.translate(_PLAIN).replace(b"\n", b" \n ")
-    words = carried + [w for w in spaced.split(b" ") if w]
+    numbers = _Numbers({b".": 0})
+    words = raw.translate(_PLAIN).replace(b".", b" . ").split()
+    words[:0] = carried
     tokens = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     return Run(lang, tokens, list(numbers), len(carried))
 
@@ -87,7 +88,7 @@ def runs(batches: Iterator[pa.RecordBatch], longest: int, limit: int = RUN) -> I
                 if stop - start > 2 * limit:    # only a single text can be so long
                     # Cutting behind a blank or break leaves every word whole.
                     stop = start + limit
-                    while stop < len(raw) and raw[stop - 1:stop].translate(_PLAIN) not in (b" ", b"\n"):
+                    while stop < len(raw) and raw[stop - 1:stop].translate(_PLAIN) not in (b" ", b"."):
                         stop += 1
                 run = read_run(lang, raw[start:stop], carried)
                 yield run
