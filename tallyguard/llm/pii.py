@@ -1,27 +1,33 @@
 """Personal data: pattern spans, then terms that give a protected value away.
 
-Base spans (e-mail, ip, card, phone) are protected values. Corpus co-occurrence says
-how much a word of a text, near the value or not, reveals it: with n texts that hold the
-value, df texts with the word, n' of them with the value too, and N texts in all, the
-word's pointwise mutual information log(n' N / (n df)) is set against the value's own
-information log(N / n). Their ratio is the share of the value that the word discloses. Few
-texts prove little: n' / df enters as the lower end of its Wilson interval, so no count is
-too small to be scored but small counts score low. At ``GENERALISE`` or more a word is
-generalised, at ``REMOVE`` or more removed, in the documents that hold the value. A word
-is a run of letters outside e-mail addresses, in lower case. Copies of a text count once
-in all of n, n', df and N.
+Base spans (e-mail, ip, card, phone) are protected values. Corpus co-occurrence says how
+strongly a word of a text, near the value or not, reveals it: how little information is
+left in the value once the word is known, -log2 P(value | word). With df texts that hold
+the word and n' of them the value too, the probability is estimated as n' / (df + 1); the
+one more text, without the value, is what keeps a single joint sighting from being proof:
+one joint text gives a share of 0.5 (one bit left), three 0.75, nine 0.9, in a corpus of any
+size. From ``GENERALISE`` on a word is generalised, from ``REMOVE`` on removed, in the
+documents that hold the value. The pointwise mutual information log2(n' N / (n df)), with n
+texts that hold the value and N texts, is reported beside it; it grows with the corpus
+for any word that is rare, so it decides nothing. A word is a run of letters outside e-mail
+addresses, in lower case. Copies of a text count once in all of n, n', df and N.
 
 A null text is read as empty and has no spans. Spans are in code points, end
-exclusive. Identical texts get identical spans; rows are never merged or dropped.
+exclusive. Identical texts get identical spans; rows are never merged or dropped, an empty
+table gives an empty result, long texts are read whole, and columns of any name pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.staging import once
+from tallyguard.llm.decontaminate import if_small
 from tallyguard.llm.text import or_empty, packed
+from tallyguard.operators.ordering import join_per_key
 from tallyguard.session import materialize
 
 #: Kind to expression. A match starts where a run of its first class starts, or where
@@ -34,11 +40,14 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"\p{L}+"
-#: Normal deviate of the interval (95 %).
-SURE = 1.96
 GENERALISE, REMOVE = 0.75, 0.9
+#: A word in the value's texts only reaches the lower threshold from this many texts on.
+LEAST = math.ceil(GENERALISE / (1 - GENERALISE))
 BLOCK = 256
-SALTS = 8
+#: Candidate words, about 40 bytes each, up to which their list goes to every task.
+BROADCAST_TERMS = 1_000_000
+#: Copies of a text from which its rows are spread over tasks.
+HOT_COPIES = 100_000
 
 
 def starts(lengths: Column, before: Column) -> Column:
@@ -63,14 +72,14 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0), lambda a, x: a + x)
 
 
-def located(df: DataFrame, text: str, pattern: str, name: str, wanted: Column) -> DataFrame:
+def located(df: DataFrame, text: str, pattern: str | Column, name: str, wanted: Column) -> DataFrame:
     """Adds ``name``: array of (s, e, v) of every match, and ``name_p``: the pieces between.
 
     Both are null where ``wanted`` is false or nothing matches. The pieces that the
     expression splits off and its matches alternate, which gives the offsets.
     """
-    t = F.col(text)
-    df = once(df, _m=F.when(wanted, F.regexp_extract_all(t, F.lit(pattern), 0)))
+    t, pattern = F.col(text), F.lit(pattern)
+    df = once(df, _m=F.when(wanted, F.regexp_extract_all(t, pattern, 0)))
     df = once(df, **{f"{name}_p": F.when(F.size("_m") > 0, F.split(t, pattern))})
     pieces, found = F.col(f"{name}_p"), F.col("_m")
     df = once(df, _l=F.transform(found, lambda m, i: F.length(m) + F.length(pieces[i])),
@@ -134,45 +143,40 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), 0))
 
 
-def lower_share(k: Column, n: Column) -> Column:
-    """Lower end of the Wilson interval of the share k / n."""
-    p, z = k / n, SURE * SURE / n
-    return (p + z / 2 - SURE * F.sqrt(p * (1 - p) / n + z / (4 * n))) / (1 + z)
-
-
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, term, disclosure) of terms at or over the lower threshold.
+def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, term, disclosure, pmi) of the words at or over the lower threshold.
 
-    ``found`` has (held, terms) of each distinct text with values, ``docs`` the distinct
-    texts ``t``. Shuffled are values and terms of those texts and per-task vocabularies with counts.
+    ``found`` has (held, words) of each distinct text with values, ``texts`` (digest, t) all
+    texts. Values and pairs in too few texts to reach the threshold go first, which loses
+    nothing; how often a word occurs is then only counted for words that are left, and what
+    is shuffled for it are digests of texts that hold one.
     """
-    pairs = found.select(F.explode("held").alias("value"), "terms")
-    values = pairs.groupBy("value").agg(F.count("*").alias("n"))
-    pairs = (pairs.select("value", F.explode("terms").alias("term"))
-             .groupBy("value", "term").agg(F.count("*").alias("both")))
-    df = (docs.select(F.explode(terms_of(F.col("t"))).alias("term"))
+    values = materialize(found.select(F.explode("held").alias("value")).groupBy("value").agg(
+        F.count("*").alias("n")).where(F.col("n") >= LEAST), "pii-values")
+    held = found.select(F.explode("held").alias("value"), "words").join(
+        if_small(values.select("value"), BROADCAST_TERMS), "value")
+    pairs = materialize(
+        held.select("value", F.explode("words").alias("term")).groupBy("value", "term")
+        .agg(F.count("*").alias("both")).where(F.col("both") >= LEAST), "pii-pairs")
+    terms = if_small(pairs.select("term").distinct(), BROADCAST_TERMS)
+    spoken = texts.select("digest", F.explode(terms_of(F.col("t"))).alias("term"))
+    df = (spoken.join(terms, "term", "left_semi").distinct()
           .groupBy("term").agg(F.count("*").alias("df")))
-    total = docs.agg(F.count("*").alias("total"))
-    own = F.log(F.col("total") / F.col("n"))
-
-    def disclosure(of: Column) -> Column:
-        return F.when(own > 0, 1 + F.log(lower_share(F.col("both"), of)) / own)
-
-    # No word is in fewer texts than the pair is, so this loses none.
-    pairs = pairs.join(values, "value").crossJoin(F.broadcast(total)).where(
-        disclosure(F.col("both")) >= GENERALISE)
-    return (pairs.join(df, "term")
-            .withColumn("disclosure", disclosure(F.greatest("df", "both")))
-            .where(F.col("disclosure") >= GENERALISE)
-            .select("value", "term", "disclosure"))
+    total = texts.select("digest").distinct().agg(F.count("*").alias("total"))
+    share = F.col("both") / (F.col("df") + 1)
+    strong = (pairs.join(df, "term").withColumn("disclosure", share)
+              .where(F.col("disclosure") >= GENERALISE))
+    pmi = F.log2(F.col("both") * F.col("total") / (F.col("n") * F.col("df")))
+    return strong.join(values, "value").crossJoin(F.broadcast(total)).select(
+        "value", "term", "disclosure", pmi.alias("pmi"))
 
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row``, base span arrays, and ``terms``: array of (s, e, v, action).
 
-    Only documents that hold a disclosed value are read again for term offsets; the
-    result is joined back on the text's digest, salted where values occur, so one
-    text in any number of copies is spread over tasks.
+    Only documents that hold a disclosed value are read again, for the places of the words
+    that disclose it. These are joined back on the text's digest, of which hot ones are
+    spread over tasks by their number.
     """
     base = base_spans(docs, text, carry)
     key = F.md5("t")
@@ -180,33 +184,35 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     light = materialize(base.select(
         "row", *PATTERNS, "held", F.when(holds, terms_of(F.col("t"))).alias("words"),
         F.when(holds, key).alias("digest")), "pii-base")
-    found = (light.where(holds).select("digest", "held", F.col("words").alias("terms"))
-             .dropDuplicates(["digest"]))
+    found = light.where(holds).groupBy("digest").agg(
+        F.first("held").alias("held"), F.first("words").alias("words"), F.count("*").alias("copies"))
     texts = (packed(docs).select(or_empty(F.col("row")[text]).alias("t"))
              .withColumn("digest", key))
-    flagged = materialize(disclosing(found, texts.dropDuplicates(["digest"])), "pii-flagged")
-    # Which terms to look for in which text.
-    wanted = (found.select("digest", F.explode("held").alias("value"))
-              .join(flagged, "value").groupBy("digest", "term")
-              .agg(F.max("disclosure").alias("disclosure"))
-              .groupBy("digest").agg(F.map_from_entries(
-                  F.collect_list(F.struct("term", "disclosure"))).alias("wanted")))
-    again = (texts.join(wanted, "digest")
-             .dropDuplicates(["digest"]))
-    again = located(again, "t", TERM, "hits", F.lit(True))
+    flagged = materialize(disclosing(found, texts), "pii-flagged")
+    # Which words to look for in which text.
+    wanted = materialize(
+        found.select("digest", "copies", F.explode("held").alias("value"))
+        .join(if_small(flagged, BROADCAST_TERMS), "value").groupBy("digest", "term")
+        .agg(F.max("disclosure").alias("disclosure"), F.first("copies").alias("copies"))
+        .groupBy("digest").agg(F.first("copies").alias("copies"), F.map_from_entries(
+            F.collect_list(F.struct("term", "disclosure"))).alias("wanted")), "pii-wanted")
+    again = (texts.join(if_small(wanted.select("digest"), BROADCAST_TERMS), "digest", "left_semi")
+             .dropDuplicates(["digest"]).join(wanted, "digest"))
+    # Words are letters only, so they are patterns as they stand; whole runs of letters count.
+    any_of = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("wanted"), "|"),
+                      F.lit(r")(?!\p{L})"))
+    again = located(again, "t", any_of, "hits", F.lit(True))
     action = lambda m: F.when(
         F.try_element_at("wanted", F.lower(m["v"])) >= REMOVE, "remove").otherwise("generalise")
     hits = F.transform(
         F.filter("hits", lambda m: F.map_contains_key("wanted", F.lower(m["v"]))),
         lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"),
                            action(m).alias("action")))
-    spans = again.select("digest", hits.alias("terms")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    spans = again.select("digest", "copies", hits.alias("terms"))
     # A document without personal data has a key of its own that matches nothing.
-    left = light.drop("held", "words").withColumn("salt", salt).withColumn(
+    left = light.drop("held", "words").withColumn(
         "digest", F.coalesce("digest", F.xxhash64("row").cast("string")))
-    return (left.join(spans, ["digest", "salt"], "left")
+    return (join_per_key(left, spans, "digest", "row", count="copies", hot_rows=HOT_COPIES)
             .select("row", *PATTERNS, F.coalesce("terms", F.array()).alias("terms")))
 
 

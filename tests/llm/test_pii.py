@@ -1,8 +1,12 @@
 """Base spans against plain expressions; disclosed terms on a small corpus."""
 
+import math
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from tallyguard.llm import pii
 
 PLAIN = {
@@ -78,16 +82,56 @@ def test_terms(spark):
 
 
 def fillers(n):
-    return [(i, f"plain filler text number{chr(97 + i % 26)}{chr(97 + i // 26)} about nothing") for i in range(n)]
+    return [(i, f"plain filler text number{i} about nothing") for i in range(n)]
 
 
 def test_terms_anywhere_in_few_texts(spark):
-    """A short name in the heading of two texts, far from the value that it gives away."""
+    """A short name in the heading of three texts, far from the value that it gives away."""
     rest = "about nothing plain text " * 12
-    rows = fillers(400) + [(500 + i, f"Ann Li\n{'xyz'[i] * 4} {rest} text a@b.org about") for i in range(2)]
+    rows = fillers(400) + [(500 + i, f"Ann Li\n{'xyz'[i] * 4} {rest} text a@b.org about") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.row.doc_id: {m.v for m in r.terms} for r in pii.scan(docs).collect() if r.terms}
-    assert got == {500: {"Ann", "Li"}, 501: {"Ann", "Li"}}
+    assert got == {i: {"Ann", "Li"} for i in (500, 501, 502)}
+
+
+def test_the_size_of_the_corpus_decides_nothing(spark):
+    some = [(5000 + i, f"Ann Li and ÉMILE's {'xyz'[i] * 4} text a@b.org nothing") for i in range(3)]
+    some += [(6000, "write to ann@x.org about zebra quagga okapi"), (6001, "zebra quagga b@x.org"),
+             (6002, "okapi zebra b@x.org")]
+    for n in (300, 3000):
+        docs = spark.createDataFrame(fillers(n) + some, "doc_id long, text string")
+        got = {r.row.doc_id: {m.v for m in r.terms} for r in pii.scan(docs).collect() if r.terms}
+        assert got == {i: {"Ann", "Li", "and", "ÉMILE", "s"} for i in (5000, 5001, 5002)}
+
+
+def test_disclosure_equals_plain_counting(spark):
+    rng = random.Random(6)
+    words = ["Ada", "ÉVA", "Bo", "cy", "Dee", "ada", "the", "of", "mail"]
+    held = ["a@x.org", "B@x.org", "+1 555 010 9999", "10.0.0.1"]
+    rows = []
+    for i in range(150):
+        who = rng.randrange(4)
+        said = [words[who]] * (rng.random() < 0.8) + rng.sample(words[4:], 2)
+        rows.append((i, " ".join([*said, str(i % 120), *([held[who]] if rng.random() < 0.95 else [])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    distinct = {t for _, t in rows}
+    terms = {t: set(re.findall(r"[^\W\d_]+", re.sub(PLAIN["email"], " ", t).lower())) for t in distinct}
+    values = {t: {f"{k}:{t[s:e].lower()}" for k, spans in brute(t).items() for s, e in spans}
+              for t in distinct}
+    want = {}
+    for v in set().union(*values.values()):
+        for w in set().union(*terms.values()):
+            both = sum(v in values[t] and w in terms[t] for t in distinct)
+            df, n = (sum(x in of[t] for t in distinct) for x, of in ((w, terms), (v, values)))
+            if both / (df + 1) >= pii.GENERALISE:
+                want[v, w] = (both / (df + 1), math.log2(both * len(distinct) / (n * df)))
+    base = pii.base_spans(docs).where("size(held) > 0").select(
+        "held", pii.terms_of(F.col("t")).alias("words"), "t").dropDuplicates(["t"])
+    texts = docs.select(F.md5("text").alias("digest"), F.col("text").alias("t"))
+    got = {(r.value, r.term): (r.disclosure, r.pmi) for r in pii.disclosing(base, texts).collect()}
+    assert len(want) > 3 and got.keys() == want.keys()
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x)
 
 
 def test_copies_hide_nothing(spark):
