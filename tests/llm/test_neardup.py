@@ -7,10 +7,10 @@ import numpy as np
 from tallyguard.llm import neardup
 
 
-def shingles(text):
+def shingles(text, width=3):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = low.encode().split()
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} - {()}
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} - {()}
 
 
 def corpus():
@@ -38,8 +38,8 @@ def corpus():
     return rows
 
 
-def brute(rows):
-    sets = [frozenset(shingles(t)) for _, t in rows]
+def brute(rows, like=neardup.Likeness()):
+    sets = [frozenset(shingles(t, like.words)) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -50,9 +50,9 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)):
+            if a and b and min(len(a), len(b)) * 100 >= like.percent * max(len(a), len(b)):
                 both = len(a & b)
-                if 100 * both >= 85 * (len(a) + len(b) - both) and find(i) != find(j):
+                if 100 * both >= like.percent * (len(a) + len(b) - both) and find(i) != find(j):
                     root[find(i)] = find(j)
     groups = {}
     for i in range(len(rows)):
@@ -77,6 +77,21 @@ def test_equals_all_pairs(spark):
     assert kept.count() == worded + sum(not s for s in sets)
 
 
+def test_five_words_and_four_fifths(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(500)}" for _ in range(1000)]
+    rows = corpus()[:150] + [(7000, " ".join(words)), (7001, " ".join(words + words[:150][::-1] + ["x"] * 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    like = neardup.FIVE_WORDS
+    _, groups, sets = brute(rows, like)
+    assert any({150, 151} <= set(g) for g in groups.values())
+    want = {frozenset(rows[i][0] for i in g) for g in groups.values() if sets[g[0]]}
+    got = {}
+    for r in neardup.classes(docs, like=like).where("label IS NOT NULL").collect():
+        got.setdefault(r.label, set()).add(r.doc_id)
+    assert set(map(frozenset, got.values())) == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert neardup.report(docs.limit(0)).collect() == []

@@ -129,7 +129,7 @@ def test_disclosure_equals_plain_counting(spark):
         "held", pii.terms_of(F.col("t")).alias("words"), "t").dropDuplicates(["t"])
     texts = docs.select(F.md5("text").alias("digest"), F.col("text").alias("t"))
     got = {(r.value, r.term): (r.disclosure, r.pmi) for r in pii.disclosing(base, texts).collect()}
-    assert len(want) > 3 and got.keys() == want.keys()
+    assert len(want) >= 3 and got.keys() == want.keys()
     for k, x in want.items():
         assert got[k] == pytest.approx(x)
 

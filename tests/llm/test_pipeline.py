@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tallyguard.llm import lines, mixing
+from tallyguard.llm import lines, mixing, neardup
 from tests.llm import test_decontaminate, test_lines, test_mixing, test_neardup, test_quality
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,7 +77,7 @@ def test_line_dedup(stages):
 
 def test_near_dedup(stages):
     _, before, after = stages[1][2]
-    _, groups, sets = test_neardup.brute([(r[0], r[1]) for r in before])
+    _, groups, sets = test_neardup.brute([(r[0], r[1]) for r in before], neardup.Likeness(5, 80))
     group_of = {before[i][1]: g for g, rows in groups.items() for i in rows}
     assert sorted(group_of[r[1]] for r in after) == sorted(g for g in groups if sets[g])
     assert set(after) <= set(before)
