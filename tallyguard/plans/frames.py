@@ -74,14 +74,23 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-invoice batch rows; one run per posting month."""
-    return decisions(spark, sf_dir).select(
-        F.date_format("posting_date", "yyyyMM").cast("long").alias("run_id"),
-        F.trunc("posting_date", "month").cast("timestamp").alias("started_at"),
-        "invoice_id", "vendor", "amount", F.col("confidence_mean").alias("confidence"),
+    """Per-invoice batch rows; one run per posting month. A document that could not be read
+    in full failed: it has no scores and is routed on that and on its amount."""
+    unread = extracted(spark, sf_dir).where("NOT extraction_ok")
+    read = decisions(spark, sf_dir).join(unread.select("invoice_id"), "invoice_id", "left_anti")
+    run = [F.date_format("posting_date", "yyyyMM").cast("long").alias("run_id"),
+           F.trunc("posting_date", "month").cast("timestamp").alias("started_at")]
+    scored = read.select(
+        *run, "invoice_id", "vendor", "amount", F.col("confidence_mean").alias("confidence"),
         F.col("confidence_band").alias("band"), F.col("is_split").alias("split"),
-        "duplicate_score", "duplicate_match_id", "route", "rules",
-        F.lit(False).alias("failed"))
+        "duplicate_score", "duplicate_match_id", "route", "rules", F.lit(False).alias("failed"))
+    failed = rules.evaluate(unread, texts=False).select(
+        *run, "invoice_id", "vendor", "amount", F.lit(None).cast("double").alias("confidence"),
+        F.lit(None).cast("string").alias("band"), F.lit(False).alias("split"),
+        F.lit(None).cast("double").alias("duplicate_score"),
+        F.lit(None).cast("string").alias("duplicate_match_id"), "route", "rules",
+        F.lit(True).alias("failed"))
+    return scored.unionByName(failed)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

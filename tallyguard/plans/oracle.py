@@ -510,7 +510,7 @@ SELECT invoice_id, route, {_case('route', _META[0])} AS route_label,
             ELSE hits || ' rule(s) triggered; highest authority required: '
                  || {_case('route', _META[0])} || '.' END AS summary,
        match_id AS duplicate_match_id, '{P.POLICY_VERSION}' AS policy_version FROM decided""")
-_q("unscored_routing", f"""
+_step("unscored", f"""
 SELECT invoice_id, {_case('greatest(coalesce(r1, 0), coalesce(r2, 0), 1)', _ROUTE)} AS route,
        concat_ws(', ', CASE WHEN r1 = 3 THEN 'R-01' END, CASE WHEN r1 = 2 THEN 'R-01' END,
                  CASE WHEN r2 = 2 THEN 'R-02' END, CASE WHEN r1 = 1 THEN 'R-01' END, 'R-08')
@@ -519,6 +519,7 @@ FROM (SELECT *, CASE WHEN amount >= 50000 THEN 3 WHEN amount >= 10000 THEN 2
                      WHEN amount >= 2500 THEN 1 END AS r1,
              CASE WHEN amount >= 9500 AND amount < 10000 THEN 2 END AS r2
       FROM doc_fields WHERE NOT extraction_ok)""")
+_q("unscored_routing", "SELECT invoice_id, route, rules_fired FROM unscored")
 _q("score_and_route_fixed", f"""
 SELECT invoice_id, {_r('mean')} AS mean, band, route, codes AS rules_fired FROM decided
 WHERE order_key % 37 <> 0 AND order_key % 41 <> 0
@@ -558,7 +559,10 @@ SELECT invoice_id, route, rank > 0 AS is_actionable,
        END AS sla_line FROM queue""")
 _q("batch_report", f"""
 SELECT rank AS route_rank, {_r('mean')} AS confidence, invoice_id, route, band, is_split AS split,
-       dscore AS duplicate_score, codes AS rules_fired FROM decided""")
+       dscore AS duplicate_score, codes AS rules_fired FROM decided
+WHERE order_key % 37 <> 0 AND order_key % 41 <> 0
+UNION ALL
+SELECT {_case('route', _RANK)}, 0.0, invoice_id, route, NULL, false, NULL, rules_fired FROM unscored""")
 
 _q("queue_upsert", f"""
 SELECT qid AS invoice_id, source_file, vendor, amount, route, status,
@@ -683,13 +687,16 @@ _q("event_facets", """
 SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS invoices
 FROM events GROUP BY event_type""")
 
+# What could not be read in full is always routed, and counts in no score.
 _BATCH = """
 SELECT strftime(posting_date, '%Y%m')::bigint AS run_id, count(*) AS total,
-       count(*) FILTER (rank = 0) AS auto_approved, count(*) FILTER (rank > 0) AS routed,
-       0::bigint AS failed, count(*) FILTER (band = 'high') AS high_band,
-       count(*) FILTER (is_split) AS split, count(*) FILTER (dscore >= 0.8) AS duplicates,
+       count(*) FILTER (rank = 0 AND is_read) AS auto_approved,
+       count(*) FILTER (rank > 0 OR NOT is_read) AS routed,
+       count(*) FILTER (NOT is_read) AS failed, count(*) FILTER (band = 'high' AND is_read) AS high_band,
+       count(*) FILTER (is_split AND is_read) AS split,
+       count(*) FILTER (dscore >= 0.8 AND is_read) AS duplicates,
        min(date_trunc('month', posting_date)) AS started_at
-FROM decided GROUP BY 1"""
+FROM (SELECT *, order_key % 37 <> 0 AND order_key % 41 <> 0 AS is_read FROM decided) GROUP BY 1"""
 _step("runs", _BATCH)
 _step("log", f"""
 SELECT t.invoice_id, a.seq, e.ts::timestamp AS ts, t.event_type, a.actor,
