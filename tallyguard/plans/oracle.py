@@ -628,7 +628,7 @@ SELECT t.invoice_id, seq, event_type, actor, refusal,
        CASE WHEN event_type = 'review.approved' AND was_rank = 3 THEN was_signer END AS first_approver
 FROM tread t JOIN items a ON a.invoice_id = t.invoice_id AND a.n = t.n""")
 ORACLE["stream_queue_upsert"] = ORACLE["queue_upsert"]
-ORACLE["stream_workflow"] = ORACLE["workflow_replay"]
+ORACLE["stream_workflow"] = ORACLE["stream_workflow_closing"] = ORACLE["workflow_replay"]
 _q("chain_build", "SELECT chain_id, seq, prev_hash, entry_hash FROM chained")
 _q("chain_verify", """
 SELECT chain_id, events, bad IS NULL AS ok, bad AS first_bad_seq, reason,

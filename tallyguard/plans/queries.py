@@ -27,6 +27,7 @@ from tallyguard.session import materialize, scratch
 from tallyguard.sources.files import VersionedTable
 from tallyguard.sources import testdata as td
 from tallyguard.streaming import jobs
+from tallyguard.streaming.workflow import OUTCOME as WORK_OUTCOME
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,6 +714,22 @@ def stream_workflow(spark, d):
     return spark.read.parquet(out)
 
 
+@register
+def stream_workflow_closing(spark, d):
+    """The workflow stream whose state forgets closed cases; event time is one minute a step."""
+    rows = td.workflow_items(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+
+    def job(stream, out, mark):
+        outcomes = spark.read.schema(WORK_OUTCOME).parquet(made(out))
+        return jobs.append_to(jobs.queue_state(stream, jobs.closed_cases(outcomes), "30 minutes"), out, mark)
+
+    def made(out):
+        spark.createDataFrame([], WORK_OUTCOME).write.mode("append").parquet(out)
+        return out
+
+    return spark.read.parquet(_stream(spark, rows, "seq", job, slices=5))
+
+
 @register
 def stream_once_only(spark, d):
     ev = td.table(spark, d, "events").select(
