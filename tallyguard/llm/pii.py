@@ -147,17 +147,21 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(value, term, disclosure, pmi) of the words at or over the lower threshold.
 
     ``found`` has (held, words) of each distinct text with values, ``texts`` (digest, t) all
-    texts. Values and pairs in too few texts to reach the threshold go first, which loses
-    nothing; how often a word occurs is then only counted for words that are left, and what
-    is shuffled for it are digests of texts that hold one.
+    texts. Values and pairs in too few texts to reach the threshold go first, and so do words
+    that are too frequent for it among the texts with values alone; neither loses anything.
+    How often a word occurs in all texts is then only counted for words that are left, and
+    what is shuffled for it are digests of texts that hold one.
     """
     values = materialize(found.select(F.explode("held").alias("value")).groupBy("value").agg(
         F.count("*").alias("n")).where(F.col("n") >= LEAST), "pii-values")
     held = found.select(F.explode("held").alias("value"), "words").join(
         if_small(values.select("value"), BROADCAST_TERMS), "value")
+    among = found.select(F.explode("words").alias("term")).groupBy("term").agg(
+        F.count("*").alias("among"))
     pairs = materialize(
         held.select("value", F.explode("words").alias("term")).groupBy("value", "term")
-        .agg(F.count("*").alias("both")).where(F.col("both") >= LEAST), "pii-pairs")
+        .agg(F.count("*").alias("both")).where(F.col("both") >= LEAST).join(among, "term")
+        .where(F.col("both") / (F.col("among") + 1) >= GENERALISE).drop("among"), "pii-pairs")
     terms = if_small(pairs.select("term").distinct(), BROADCAST_TERMS)
     spoken = texts.select("digest", F.explode(terms_of(F.col("t"))).alias("term"))
     df = (spoken.join(terms, "term", "left_semi").distinct()
