@@ -717,7 +717,7 @@ def stream_workflow(spark, d):
 @register
 def stream_workflow_closing(spark, d):
     """The workflow stream whose state forgets closed cases; event time is one minute a step."""
-    rows = td.workflow_items(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60))
+    rows = td.workflow_items(spark, d).withColumn("ts", F.timestamp_seconds(F.col("seq") * 60 + 86_400))
 
     def job(stream, out, mark):
         outcomes = spark.read.schema(WORK_OUTCOME).parquet(made(out))
