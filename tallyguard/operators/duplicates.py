@@ -169,9 +169,12 @@ def _nearest(points: DataFrame, asked: DataFrame, cells: list[str], chunk: Colum
     rows = every.withColumn("_chunk", chunk).repartition(*part).groupBy(*part, "_pos").agg(
         F.first("_p", ignorenulls=True).alias("_p"), F.bool_or("_q").alias("_q"))
     pos = F.col("_pos")
-    ends = None
     for side, order in (("lo", pos.asc()), ("hi", pos.desc())):
         rows = _steps(rows, W.partitionBy(*part), [order], side)
+    # Read three times from here on.
+    rows = materialize(rows.drop("_p"), "nearest")
+    ends = None
+    for side in ("lo", "hi"):
         last = F.max_by(F.struct(f"_{side}", f"_{side}_alt"), pos if side == "lo" else -pos)
         end = rows.groupBy(*part).agg(last.alias("_end"))
         # The chunk's last profile and the one before its run, in axis order.
@@ -414,13 +417,14 @@ def closest_matches(
         # nothing yet that such a match could not reach.
         best = materialize(best, "near-best")
         known = best.withColumns(plain).select(*keys, (-F.col("_best.neg")).alias("_had"))
-        left = search.withColumns(plain).join(known, keys, "left")
         had = F.coalesce("_had", F.lit(0.0))
+        most = (W_AMOUNT if blocks.far else W_DATE) * F.col("_v")
+        left = materialize(search.withColumns(plain).join(known, keys, "left").where(had <= most)
+                           .drop(*plain), "far-search")
         hits = best.select(*_KEY, F.col("_best").alias("best"))
         if blocks.far:
             hits = hits.unionByName(_hits(
-                left.where(had <= W_AMOUNT * F.col("_v")),
-                _with_amount(by_amount).select("vkey", F.col("amount").alias("_pos"), "_p"),
+                left, _with_amount(by_amount).select("vkey", F.col("amount").alias("_pos"), "_p"),
                 ["vkey"], "_amount", axis, blocks, lambda c: c["amount"]))
         if blocks.by_date:
             wanted = left.where((had <= W_DATE * F.col("_v")) & F.col("_date").isNotNull())

@@ -38,7 +38,7 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATCHED:
-        rows = td.invoices(spark, sf_dir)
+        rows = materialize(td.invoices(spark, sf_dir), "invoices")
         found = duplicates.closest_matches(rows, links=names.links(names.vendor_names(rows)))
         _MATCHED[key] = materialize(
             found.withColumn("duplicate_score", duplicates.duplicate_score(F.col("match")))

@@ -107,7 +107,8 @@ def feat_amount_zscore(spark, d):
 
 @register
 def features_incremental(spark, d):
-    past, new = td.history(spark, d), td.incoming(spark, d)
+    rows = materialize(td.invoices(spark, d), "invoices")
+    past, new = td.before(rows), td.since(rows)
     links = names.links(names.vendor_names(past.unionByName(new)))
     rows = duplicates.flat(duplicates.closest_matches(new, past, links=links))
     return features.incremental_features(rows, past).select(
@@ -203,7 +204,7 @@ def _match_columns() -> list[Column]:
 
 @register
 def closest_match(spark, d):
-    rows = td.invoices(spark, d)
+    rows = materialize(td.invoices(spark, d), "invoices")
     links = names.links(names.vendor_names(rows))
     return duplicates.closest_matches(rows, links=links).select(*_match_columns())
 

@@ -57,12 +57,20 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("order_key"), F.col("o_orderstatus").alias("order_status"))
 
 
+def before(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("posting_date") < F.lit(HISTORY_CUTOFF).cast("date"))
+
+
+def since(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("posting_date") >= F.lit(HISTORY_CUTOFF).cast("date"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invoices(spark, sf_dir).where(F.col("posting_date") < F.lit(HISTORY_CUTOFF).cast("date"))
+    return before(invoices(spark, sf_dir))
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invoices(spark, sf_dir).where(F.col("posting_date") >= F.lit(HISTORY_CUTOFF).cast("date"))
+    return since(invoices(spark, sf_dir))
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
