@@ -132,15 +132,11 @@ def verify_from(log: DataFrame, known: DataFrame, key: str, seq: str = "seq",
 
 def verdict() -> Column:
     """The reviewer-facing line for one verified chain."""
-    at = F.concat(F.lit(" at event #"), F.col("first_bad_seq").cast("string"))
-    return (F.when(F.col("ok"), F.concat(F.lit("Verified "), F.col("events").cast("string"),
-                                         F.lit(" event(s); hash chain intact.")))
-            .when(F.col("reason") == "chain break", F.concat(
-                F.lit("Chain break"), at, F.lit(": predecessor hash does not match.")))
-            .when(F.col("reason") == "shortened log", F.concat(
-                F.lit("Shortened log"), at, F.lit(": the last verified event is missing.")))
-            .otherwise(F.concat(F.lit("Tampered content"), at,
-                                F.lit(": recomputed hash does not match."))))
+    at = F.col("first_bad_seq").cast("string")
+    said = F.when(F.col("ok"), P.say("verified", F.col("events").cast("string")))
+    for reason in ("chain break", "shortened log"):
+        said = said.when(F.col("reason") == reason, P.say(reason, at))
+    return said.otherwise(P.say("tampered content", at))
 
 
 def load_events(log: DataFrame, invoice_id: str | None = None,

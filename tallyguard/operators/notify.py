@@ -22,22 +22,18 @@ def build_notifications(queue: DataFrame) -> DataFrame:
     """
     route = F.col("route")
     auto = route == P.LADDER[0]
-    who = F.coalesce(blank_to_null(F.col("invoice_id")), F.lit("unassigned invoice"))
-    vendor = F.coalesce(blank_to_null(F.col("vendor")), F.lit("an unidentified vendor"))
-    amount = F.coalesce(money(F.col("amount")), F.lit("amount not extracted"))
+    who = F.coalesce(blank_to_null(F.col("invoice_id")), P.say("no invoice"))
+    vendor = F.coalesce(blank_to_null(F.col("vendor")), P.say("no vendor"))
+    amount = F.coalesce(money(F.col("amount")), P.say("no amount"))
     label = F.lower(P.route_label(route))
     sla = P.route_sla(route)
     priority = F.coalesce(P.lookup(P.route_tier(route), P.PRIORITY), F.lit("Standard"))
     hours = sla.cast("string")
     deadline = due_by(F.col("submitted_at"), sla)
-    two = F.when(route == "dual_control", F.lit(
-        " Requires sign-off from two different approvers. A single approval will not "
-        "release this invoice.")).otherwise(F.lit(""))
+    two = F.when(route == P.LADDER[-1], P.say("two approvers")).otherwise(F.lit(""))
     sla_line = F.concat(
-        F.when(deadline.isNotNull(), F.concat(
-            F.lit("Respond by "), deadline, F.lit(" ("), hours, F.lit("h SLA).")))
-        .when(sla > 0, F.concat(F.lit("Respond within "), hours, F.lit(" hours of assignment.")))
-        .otherwise(F.lit("Respond as soon as practical.")), two)
+        F.when(deadline.isNotNull(), P.say("respond by", deadline, hours))
+        .when(sla > 0, P.say("respond within", hours)).otherwise(P.say("respond")), two)
     none = F.array().cast("array<string>")
     people = none
     for r, names in P.RECIPIENTS.items():
@@ -46,15 +42,11 @@ def build_notifications(queue: DataFrame) -> DataFrame:
         who.alias("invoice_id"), "route", (~auto).alias("is_actionable"),
         F.when(auto, F.lit("None")).otherwise(priority).alias("priority"),
         people.alias("recipients"),
-        F.when(auto, F.concat(F.lit("No notification: "), who, F.lit(" cleared automatically")))
-        .otherwise(F.concat(F.lit("["), priority, F.lit("] "), who, F.lit(" needs "), label,
-                            F.lit(", "), amount)).alias("subject"),
-        F.when(auto, F.concat(
-            who, F.lit(" from "), vendor, F.lit(" for "), amount,
-            F.lit(" triggered no approval rules and was auto-approved. No approver is notified.")))
-        .otherwise(F.concat(
-            who, F.lit(" from "), vendor, F.lit(" for "), amount, F.lit(" was routed to "), label,
-            F.lit(" under policy v"), F.col("policy_version"), F.lit("."))).alias("summary_line"),
+        F.when(auto, P.say("subject, automatic", who))
+        .otherwise(P.say("subject", priority, who, label, amount)).alias("subject"),
+        F.when(auto, P.say("summary, automatic", who, vendor, amount))
+        .otherwise(P.say("summary", who, vendor, amount, label, F.col("policy_version")))
+        .alias("summary_line"),
         F.when(auto, F.filter("rules", lambda _: F.lit(False))).otherwise(F.col("rules"))
         .alias("reasons"),
-        F.when(auto, F.lit("No action required.")).otherwise(sla_line).alias("sla_line"))
+        F.when(auto, P.say("no action")).otherwise(sla_line).alias("sla_line"))

@@ -11,11 +11,11 @@ from tallyguard.operators import (
 )
 from tallyguard.operators.extract import extract_fields
 from tallyguard.operators.feedback import with_feedback
-from tallyguard.session import materialize
+from tallyguard.session import file_states, materialize
 from tallyguard.sources import testdata as td
 
-#: Matches already written by this application: (application, input folder) to table.
-_MATCHED: dict[tuple[str, str], DataFrame] = {}
+#: Matches already written by this application: input files as they were, to the table.
+_MATCHED: dict[tuple, DataFrame] = {}
 
 
 def assess(df: DataFrame) -> DataFrame:
@@ -36,8 +36,10 @@ def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     Features, rules, queue and training rows all start here, so the search runs once per
     application and input and its result is a written table.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MATCHED:
+    key = (spark.sparkContext.applicationId, *(
+        state for name in ("lineitem", "orders", "supplier")
+        for state in file_states(spark, f"{sf_dir}/{name}.parquet")))
+    if key not in _MATCHED or not file_states(spark, _MATCHED[key].inputFiles()[0]):
         rows = materialize(td.invoices(spark, sf_dir), "invoices")
         found = duplicates.closest_matches(rows, links=names.links(names.vendor_names(rows)))
         _MATCHED[key] = materialize(

@@ -76,8 +76,41 @@ RUN_HISTORY_LIMIT = 200
 VENDOR_PROFILE_LIMIT = 100
 EVENT_LIMIT = 500
 EVENT_VIEW_ROWS = 200
+
+# Sentences that reviewers read; {} stands for a value.
+TEXTS = {
+    "decision, no rule": "No approval rules triggered, cleared for automatic payment.",
+    "decision": "{} rule(s) triggered; highest authority required: {}.",
+    "no invoice": "unassigned invoice",
+    "no vendor": "an unidentified vendor",
+    "no amount": "amount not extracted",
+    "two approvers": " Requires sign-off from two different approvers. A single approval will not "
+                     "release this invoice.",
+    "respond by": "Respond by {} ({}h SLA).",
+    "respond within": "Respond within {} hours of assignment.",
+    "respond": "Respond as soon as practical.",
+    "subject, automatic": "No notification: {} cleared automatically",
+    "subject": "[{}] {} needs {}, {}",
+    "summary, automatic": "{} from {} for {} triggered no approval rules and was auto-approved. "
+                          "No approver is notified.",
+    "summary": "{} from {} for {} was routed to {} under policy v{}.",
+    "no action": "No action required.",
+    "verified": "Verified {} event(s); hash chain intact.",
+    "chain break": "Chain break at event #{}: predecessor hash does not match.",
+    "tampered content": "Tampered content at event #{}: recomputed hash does not match.",
+}
 # ---- End of fixed values --------------------------------------------------
 
+TEXTS["shortened log"] = "Shortened log at event #{}: the last verified event is missing."
+
+
+def say(text: str, *values: Column) -> Column:
+    """The sentence with its values in place; null if one of them is."""
+    first, *rest = TEXTS[text].split("{}")
+    parts = [x for value, piece in zip(values, rest, strict=True) for x in (value, F.lit(piece))]
+    return F.concat(F.lit(first), *parts)
+
+
 FEATURES = (
     "amount_zscore_norm", "threshold_proximity", "duplicate_score",
     "weekend_flag", "days_to_due_norm",

@@ -59,3 +59,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of a file or of the files of a folder; none if it is gone."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = jvm.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime())
+                  for s in fs.listStatus(where))
