@@ -7,7 +7,10 @@ row. GitHub and npm tokens end in a base-62 CRC-32 of their body, and JSON web t
 start with an encoded JSON header: these are decoded and checked before they count.
 
 A null text is read as empty. Spans are in code points, end exclusive; per kind they
-are leftmost and do not overlap. Repeated rows give repeated results.
+are leftmost and do not overlap. A match of the base kinds that fails is dropped with all
+it covers; one of the checked kinds hides nothing, the search goes on behind its keyword.
+The header of a web token is a test of its form, not a checksum. Repeated rows give repeated
+results, an empty table an empty one; other columns are not read and long texts are read whole.
 """
 
 from __future__ import annotations
@@ -99,8 +102,10 @@ def find(text: str | None, keywords: ahocorasick.Automaton) -> list[tuple[int, i
         done, pattern, index = 0, _ANCHORED[kind], KINDS.index(kind)
         for start in sorted(at):
             if start >= done and (match := pattern.match(raw, start)):
-                done = match.end()
-                if _accepts(kind, match):
+                accepted = _accepts(kind, match)
+                if accepted or index < BASE_KINDS:
+                    done = match.end()
+                if accepted:
                     found.append((start, index, done))
     classes = raw.translate(_HEX_CLASS)
     start = classes.find(b"h" * HEX_RUN)

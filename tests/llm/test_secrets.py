@@ -55,6 +55,8 @@ def test_checksums_decide():
     assert kinds(token("npm_")) == ["npm"]
     assert kinds("eyJhbGciOiJIUzI1NiJ9.e30.c2ln") == ["jwt"]
     assert kinds("eyJub3RoaW5nIjoxfQ.e30.c2ln") == []
+    assert kinds("eyJx.eyJhbGciOiJIUzI1NiJ9.e30.c2ln") == ["jwt"]     # a failed one hides nothing
+    assert kinds("ghp_" + good) == ["github"]
 
 
 def test_rows(spark):
