@@ -191,8 +191,11 @@ def _writer(folder: str, rotate: int) -> Callable:
         for batch in in_pieces(batches, text=2):
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"{root}/pages-{task.partitionId():06d}-{number:04d}.warc.gz"
-                    names = (f"{name}.{task.taskAttemptId()}.writing", name)
+                    # Two attempts at a task may deal rows otherwise; the manifest names the
+                    # files of the one that counts.
+                    name = (f"{root}/pages-{task.partitionId():06d}-{number:04d}"
+                            f"-{task.taskAttemptId()}.warc.gz")
+                    names = (f"{name}.writing", name)
                     out, written, count = files.open_output_stream(names[0], compression=None), 0, 0
                     number += 1
                 data = record(row["page_id"], row["url"], (row["html"] or "").encode(),
