@@ -15,6 +15,8 @@ QUICK = [
     "notifications", "queue_upsert", "intake_events", "queue_view", "review_replay",
     "review_events", "chain_build", "chain_verify", "event_timeline", "run_history", "fp_trend",
     "vendor_risk_summary", "classification_metrics", "stream_queue_state", "stream_chain",
+    "vendor_links", "vendor_links_incremental", "chain_verify_resumed", "event_facets_daily",
+    "batch_summary", "stratified_split", "workflow_replay",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else QUICK
 
