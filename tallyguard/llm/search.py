@@ -326,15 +326,20 @@ def _round(docs: DataFrame, asked: list, limit: int) -> DataFrame:
     hits = ready.mapInArrow(partial(_search, items=items, beat=beat, limit=limit), schema)
     best = tables.put(_ranked(hits, limit), "search-hits")
     tables.drop_all_but(best)
-    names = spark.createDataFrame([(i, row["item_id"]) for i, row in enumerate(asked)],
-                                  "item int, item_id long")
-    return best.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    names = spark.createDataFrame([(i, row["item_id"], row["copies"]) for i, row in enumerate(asked)],
+                                  "item int, item_id long, copies long")
+    # An item that is there n times has its results n times.
+    return best.join(names, "item").select(
+        "item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score",
+        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def search(docs: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``limit`` best documents (doc_id, text) of each
     item (item_id, text), best first; documents that score 0 are no result."""
-    asked = items.selectExpr("cast(item_id as long) item_id", "text")
+    # Equal rows are one item with a number, so that no round holds a hot one many times.
+    asked = items.selectExpr("cast(item_id as long) item_id", "text").groupBy("item_id", "text").agg(
+        F.count("*").alias("copies"))
     rounds = (asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES + 1
     found = None
     for number in range(rounds):
