@@ -167,6 +167,16 @@ def test_links_lose_nothing(spark, tau):
         names.links(df, 0.6)
 
 
+def test_unlike_names_rarely_meet(spark):
+    rng = random.Random(4)
+    drawn = {"".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(3000)}
+    df = spark.createDataFrame([(k,) for k in sorted(drawn)], "a string")
+    on_file = names._segments(df, 0.8).withColumnRenamed("a", "b")
+    met = names._probes(df, 0.8).join(on_file, "g").where("a <> b")
+    # Two-letter pieces brought each name together with a fixed share of all others.
+    assert met.count() < 3 * len(drawn)
+
+
 def test_vendor_key(spark):
     rows = [("Kaveri Suppliers", "Kaveri Suppliers Ltd."), ("bright logistics", "Bright  Logistics!"),
             ("Bright Logistics Pvt Ltd", "Bright Logistics"), (None, "Inc."), ("", "  ")]

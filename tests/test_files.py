@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import types as T
 
+from tallyguard import session
 from tallyguard.operators import chain, extract
 from tallyguard.schemas import INVOICE
 from tallyguard.sources import files
@@ -108,3 +109,12 @@ def test_versioned_table_applies_each_batch_once(spark, tmp_path):
     assert state() == want and table.compact() == 0
     table.update(batch(), 2, merge)
     assert state() == want and table.finished() == 2
+
+
+def test_tasks_follow_the_size_of_the_file(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "rows.parquet")
+    spark.range(20_000).write.parquet(path)
+    size = sum(n for _, n, _ in session.file_states(spark, path))
+    assert session.tasks_for(spark, path) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "TASK_BYTES", size // 50)
+    assert 50 <= session.tasks_for(spark, path) <= 51
