@@ -209,3 +209,47 @@ def test_pair_scores_and_description(spark):
         "invoice_id", duplicates.describe(F.col("match")).alias("t")).collect()}
     assert lines["I1"] == "I2 at 96% similarity (vendor 100%, amount 96%, 3d apart)"
     assert lines["I3"] == "No comparable invoice on file."
+
+
+@pytest.mark.parametrize("tau", [0.0, 0.25, 0.8])
+def test_names_that_meet_few_are_searched_whole(spark, tau):
+    rng = random.Random(21)
+    letters = "abcdefghij"
+    bases = ["".join(rng.choice(letters) for _ in range(12)) for _ in range(6)]
+    vendors = bases + [b[:11] + "z" for b in bases] + [b[:4] + b[5:] for b in bases]
+    rows = make(rng, 260, vendors, 100, 2, 700, "A") + make(rng, 60, vendors, -90, 1, 90, "B") + [
+        # alone by amount: only a date is shared; one of them has its only near day under its own id
+        ("D1", bases[0], 1e6, dt.date(2025, 1, 9)), ("D1", bases[0], 1e7, dt.date(2025, 1, 9)),
+        ("D2", bases[0], 0.0, dt.date(2027, 9, 9)), ("D3", bases[0], 0.04, dt.date(2031, 9, 9))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    links = names.links(names.vendor_names(df), 0.8)
+    result = duplicates.closest_matches(df, min_score=tau, links=links)
+    # No row is copied to the blocks around it: each goes once to the names it may meet.
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_h#" not in plan
+    assert found(result) == brute(rows, rows, tau, 0.8)
+    new = make(rng, 50, vendors, 100, 2, 700, "A")
+    q = spark.createDataFrame(new, SCHEMA)
+    assert found(duplicates.closest_matches(q, df, min_score=tau, links=links)) == brute(
+        new, rows, tau, 0.8)
+
+
+def test_batches_may_end_inside_a_name(spark):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    from tallyguard.operators import whole
+
+    asked, out = (to_arrow_schema(StructType.fromDDL(s)) for s in (whole.ASKED, whole.FOUND))
+    day = dt.date(2025, 1, 1)
+    rows = [r for name in ("a", "b", "c") for r in (
+        [(name, 0, 0, f"{name}{i:05d}", name, 10.0 + i, day, 1.0) for i in range(900)]
+        + [(name, 0, 1, f"{name}{i % 900:05d}", None, 10.0 + i % 900, day, None) for i in range(60_000)])]
+    table = pa.table([list(c) for c in zip(*rows)], schema=asked)
+    got = pa.Table.from_batches(list(whole.best_of_points(0.0, out)(
+        iter(table.to_batches(max_chunksize=7_000)))), schema=out).to_pylist()
+    assert len(got) == 180_000
+    for r in got:       # the neighbour above is nearer by share, but for the last one
+        i = int(r["_excl"][1:])
+        assert r["id"] == f"{r['_vkey']}{i + 1 if i < 899 else 898:05d}"
