@@ -162,3 +162,17 @@ def test_one_class_fits_nothing_and_the_projection_is_the_kernel_map(spark):
     got = x.select(e.fourier(F.col("x")).alias("z")).first().z
     want = [math.cos(0.3 + 1.4 + 0.1), math.cos(0.15 - 0.7 + 0.2)]
     assert got == pytest.approx(want)
+
+
+def test_the_projection_works_on_batches_of_rows(spark):
+    e = models.Ensemble(weights=[[i / 7, -i / 3] for i in range(64)], offsets=[i / 5 for i in range(64)])
+    rows = spark.range(0, 30_000, numPartitions=3).where("id < 20100").select(
+        "id", F.array(F.col("id") / 1000, F.col("id") % 7).alias("x"))
+    out = rows.select("id", "x", e.fourier(F.col("x")).alias("z"))
+    assert "zip_with" not in out._jdf.queryExecution().toString()      # lambdas run interpreted
+    got = out.where("id % 67 = 0").collect()
+    assert len(got) == 300
+    for r in got:
+        want = [math.cos(b + w[0] * r.x[0] + w[1] * r.x[1]) * math.sqrt(2 / 64)
+                for w, b in zip(e.weights, e.offsets)]
+        assert r.z == pytest.approx(want)
