@@ -253,3 +253,30 @@ def test_batches_may_end_inside_a_name(spark):
     for r in got:       # the neighbour above is nearer by share, but for the last one
         i = int(r["_excl"][1:])
         assert r["id"] == f"{r['_vkey']}{i + 1 if i < 899 else 898:05d}"
+
+
+@pytest.mark.parametrize("tau", [0.0, 0.8])
+def test_rows_of_a_group_travel_once(spark, tau):
+    rng = random.Random(31)
+    # A chain whose ends are not linked, a pair, copies, rows without a usable name or amount.
+    chain = ["aaaaaaaaaa", "aaaaaaaabb", "aaaaaabbbb", "aaaabbbbbb", "aabbbbbbbb", "bbbbbbbbbb"]
+    pair = ["Mainline Paper", "Mainline Papers Ltd", "mainline paper"]
+    rows = make(rng, 200, chain + pair, 100, 1, 300, "A") + [
+        (f"C{i:02d}", "Mainline Paper", 70.0, dt.date(2025, 2, 2)) for i in range(30)] + [
+        ("N1", None, 70.0, dt.date(2025, 2, 2)), ("N2", "Inc.", 70.0, dt.date(2025, 2, 2)),
+        ("N3", "Mainline Paper", float("nan"), dt.date(2025, 2, 2)),
+        ("C01", "Mainline Paper", 70.0, dt.date(2025, 2, 3))]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("more", F.array(F.col("invoice_id"))).repartition(3)
+    links = names.links(names.vendor_names(df), 0.8)
+    every = duplicates.closest_matches(df, min_score=tau, links=links)
+    want = brute([r for r in rows if r[0] != "N3"], [r for r in rows if r[0] != "N3"], tau, 0.8)
+    got = {k: v for k, v in found(every).items() if k[0] != "N3"}
+    assert got == want and every.count() == len(rows)
+    assert every.where("match.matched_invoice_id IS NULL AND invoice_id IN ('N1', 'N2', 'N3')").count() == 3
+    assert every.where("more[0] <> invoice_id").isEmpty()
+    # Only names of closed groups: one exchange of the rows, no join with profiles.
+    some = df.where(~F.col("vendor").rlike("^[ab]+$"))
+    plan = duplicates.closest_matches(some, min_score=tau, links=links)._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning(_group") == 1
+    assert "SortMergeJoin" not in text
