@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,28 @@ def test_train_save_load(spark, tmp_path):
     assert all(r.accuracy > 0.9 for r in m.collect())
 
 
+def test_the_svm_is_the_same_without_room_for_projected_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(str(i), *(rng.random() for _ in P.FEATURES)) for i in range(600)]
+    rows = [(*r, int(r[1] * r[2] + 0.3 * rng.random() > 0.4)) for r in rows]
+    df = spark.createDataFrame(rows, "invoice_id string, " + ", ".join(f"{n} double" for n in P.FEATURES)
+                               + ", label int")
+    monkeypatch.setattr(models, "SVM_ITERATIONS", 25)
+    for tolerance in (1e-4, 0.3):       # ends by its bound, ends early
+        monkeypatch.setattr(models, "SVM_TOLERANCE", tolerance)
+        monkeypatch.setattr(models, "MEMORY_SHARE", 1.0)
+        kept = models.train(df, (models.SVM,))
+        monkeypatch.setattr(models, "MEMORY_SHARE", 0.0)
+        anew = models.train(df, (models.SVM,))
+        assert kept.unconverged == anew.unconverged == ([models.SVM] if tolerance < 0.1 else [])
+        a, b = kept.models[models.SVM], anew.models[models.SVM]
+        assert b.coefficients.toArray() == pytest.approx(a.coefficients.toArray(), rel=1e-6)
+        assert (b.intercept, *anew.platt) == pytest.approx((a.intercept, *kept.platt), rel=1e-6)
+        want = {r.invoice_id: r.probabilities[models.SVM] for r in kept.score(df).collect()}
+        for r in anew.score(df).collect():
+            assert r.probabilities[models.SVM] == pytest.approx(want[r.invoice_id])
+
+
 def test_run_totals_do_not_depend_on_the_limit(spark):
     t = dt.datetime(2025, 1, 1)
     rows = [(i, t + dt.timedelta(hours=10 * i), 10, i % 4) for i in range(12)]
