@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyguard import policy as P
 from tallyguard.operators import extract, features, feedback, kpis, models
+from tallyguard.plans import queries
 
 T = dt.datetime
 
@@ -199,3 +201,10 @@ def test_the_projection_works_on_batches_of_rows(spark):
         want = [math.cos(b + w[0] * r.x[0] + w[1] * r.x[1]) * math.sqrt(2 / 64)
                 for w, b in zip(e.weights, e.offsets)]
         assert r.z == pytest.approx(want)
+
+
+def test_training_rows_are_not_sorted_and_parsed_once(spark):
+    rows = queries.QUERIES["training_rows"](spark, entry.SMOKE_DIR)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort " not in plan and plan.count("to_json") <= 2 and plan.count("from_json") <= 1
+    assert "GlobalLimit" in plan or "LocalLimit" in rows._jdf.queryExecution().toString()
