@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from tallyguard.functions.numeric import nan_to_null
 from tallyguard.schemas import INVOICE, LABEL
-from tallyguard.session import materialize
+from tallyguard.session import materialize, shuffles_dropped
 
 #: Partitions of an upsert table; fixed for its life.
 BUCKETS = 64
+#: Rounds in which the buckets of a versioned table are merged; their shuffles follow each other.
+ROUNDS = 4
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = INVOICE) -> DataFrame:
@@ -140,20 +142,25 @@ class VersionedTable:
         """Applies micro-batch ``batch_id``: rows of the schema, any number per key.
 
         ``merge`` turns old and new rows together into one row per key. It has to be a
-        mergeable aggregate, as the rows of a key come from several batches.
+        mergeable aggregate, as the rows of a key come from several batches. The buckets are
+        merged in a few rounds, each of which reads the batch and shuffles its share of the table.
         """
         if batch_id <= self.finished():
             return
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-        new = materialize(merge(batch).select(*self.schema.names).withColumn("_bucket", bucket), "update")
+        new = batch.select(*self.schema.names).withColumn("_bucket", bucket)
         touched = {r[0] for r in new.select("_bucket").distinct().collect()}
         newest = {b: max(old) for b, vs in self.versions().items()
                   if b in touched and (old := [v for v in vs if v < batch_id])}
-        both = self._at(newest).select(*new.columns).unionByName(new)
-        merged = merge(both.drop("_bucket")).select(*self.schema.names).withColumn("_bucket", bucket)
-        (merged.withColumn("_version", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version")
-         .parquet(f"{self.path}/rows"))
+        for i in range(min(ROUNDS, len(touched))):
+            some = sorted(touched)[i::ROUNDS]
+            old = self._at({b: newest[b] for b in some if b in newest}).select(*new.columns)
+            both = old.unionByName(new.where(F.col("_bucket").isin(some)))
+            merged = merge(both.drop("_bucket")).select(*self.schema.names).withColumn("_bucket", bucket)
+            with shuffles_dropped(batch.sparkSession):
+                (merged.withColumn("_version", F.lit(batch_id)).write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version")
+                 .parquet(f"{self.path}/rows"))
         fs, path = self._fs()
         fs.create(path(f"{self.path}/finished/{batch_id}"), True).close()
 

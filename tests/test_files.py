@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from tallyguard import session
-from tallyguard.operators import chain, extract
+from tallyguard.operators import chain, extract, queue
 from tallyguard.schemas import INVOICE
 from tallyguard.sources import files
 from tallyguard.sources.files import VersionedTable
@@ -118,3 +118,25 @@ def test_tasks_follow_the_size_of_the_file(spark, tmp_path, monkeypatch):
     assert session.tasks_for(spark, path) == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "TASK_BYTES", size // 50)
     assert 50 <= session.tasks_for(spark, path) <= 51
+
+
+def test_a_lone_submission_is_kept_once_and_nothing_is_written_aside(spark, tmp_path):
+    schema = "invoice_id string, source_file string, route string, seq long, ts timestamp, actor string"
+    t = dt.datetime(2025, 1, 1)
+    first = [(f"I{i}", "f", "manager_review", 1, t, "a") for i in range(40)]
+    again = [(f"I{i}", "g", "dual_control", 2, t, "b") for i in range(0, 40, 4)] + [("N", "f", "auto_approve", 1, t, "a")]
+    empty = queue.merge_folds(queue.submission_folds(spark.createDataFrame([], schema)))
+    table = VersionedTable(spark, str(tmp_path / "queue"), empty.schema, "_key", 8)
+    shared = os.path.join(session.shared_dir(spark), "tallyguard")
+    os.makedirs(shared, exist_ok=True)
+    aside = set(os.listdir(shared))
+    for n, rows in enumerate((first, again)):
+        table.update(queue.submission_folds(spark.createDataFrame(rows, schema)), n, queue.merge_folds)
+    assert set(os.listdir(shared)) == aside
+    folds = table.rows()
+    assert folds.count() == 41
+    assert {r["_key"] for r in folds.where("_last IS NOT NULL").collect()} == {f"I{i}" for i in range(0, 40, 4)}
+    got = {r.invoice_id: (r.route, r.source_file, r.resubmissions) for r in queue.folded_queue(folds).collect()}
+    want = queue.fold_submissions(spark.createDataFrame(first + again, schema)).collect()
+    assert got == {r.invoice_id: (r.route, r.source_file, r.resubmissions) for r in want}
+    assert got["I4"] == ("dual_control", "g", 1) and got["I5"] == ("manager_review", "f", 0)
