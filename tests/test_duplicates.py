@@ -130,6 +130,17 @@ def test_a_store_answers_like_the_table(spark, tau, dense):
         duplicates.closest_matches(q, store, min_score=0.5)
 
 
+def test_small_groups_of_a_store_are_searched_in_one_pass(spark, monkeypatch):
+    rng = random.Random(13)
+    filed = make(rng, 300, SPELLINGS[:8], 100, 3, 500, "A")
+    new = make(rng, 60, SPELLINGS, 100, 3, 500, "A") + [("N1", None, 120.0, None), ("N2", "", 1.0, None)]
+    store = duplicates.store_invoices(spark.createDataFrame(filed, SCHEMA), 4, link_ratio=0.75)
+    monkeypatch.setattr(duplicates, "_by_profiles", None)
+    for rows in (new, new[:3]):     # few rows meet few parts, of the others days are read
+        got = duplicates.closest_matches(spark.createDataFrame(rows, SCHEMA), store)
+        assert found(got) == brute(rows, filed, 0.0, 0.75)
+
+
 def test_a_small_batch_reads_a_small_part(spark):
     rng = random.Random(12)
     vendors = ["".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(60)]
